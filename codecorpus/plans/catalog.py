@@ -51,3 +51,48 @@ def maven_feedback(spark, sf_dir):
     logs = X.maven_logs(_t(spark, sf_dir, "events"), MAVEN_BASE)
     return (R.maven_feedback(logs, MAVEN_BASE)
             .select("event_id", "proj_name", "relative_path", "compiler_feedback"))
+
+
+# --- code spans ---------------------------------------------------------------
+
+from codecorpus.operators import samples as SM  # noqa: E402
+from codecorpus.operators import spans as S  # noqa: E402
+
+
+def sol_scanned(spark, sf_dir):
+    """Solidity corpus scanned once: file columns + spans array."""
+    return S.scan_files(X.sol_files(_t(spark, sf_dir, "documents")), "source_code", "solidity")
+
+
+def java_scanned(spark, sf_dir, body_tokens=False):
+    return S.scan_files(X.java_files(_t(spark, sf_dir, "documents")), "source_code", "java",
+                        body_tokens)
+
+
+@query
+def contracts(spark, sf_dir):
+    """D3 + C5: contracts (kind contract only) with their source text."""
+    return (SM.contracts(sol_scanned(spark, sf_dir), ["source_idx"])
+            .select("source_idx", "contract_name", "contract_source"))
+
+
+@query
+def function_spans(spark, sf_dir):
+    """Functions with body, body text and the contract with that body masked."""
+    return (SM.contract_functions(sol_scanned(spark, sf_dir), ["source_idx"])
+            .select("source_idx", "contract_name", "func_name", "func_body", "masked_contract"))
+
+
+@query
+def whole_functions(spark, sf_dir):
+    """Whole functions cut out of their contract (``<FILL_FUNCTION>``)."""
+    return (SM.contract_functions(sol_scanned(spark, sf_dir), ["source_idx"], whole=True)
+            .select("source_idx", "contract_name", "func_name", "function", "masked_contract"))
+
+
+@query
+def masked_samples(spark, sf_dir):
+    """D1 + F5 + E8 + H16: one Java masked sample per method with a body."""
+    return (SM.java_methods(java_scanned(spark, sf_dir), ["proj_name", "relative_path"])
+            .select("proj_name", "relative_path", "class_name", "func_name", "func_body",
+                    "masked_class"))

@@ -95,3 +95,145 @@ SELECT l.event_id, l.proj_name, l.relative_path,
        ELSE array_to_string(m.entries, {NL}) END AS compiler_feedback
 FROM mvn_logs l LEFT JOIN mvn_entries m USING (event_id)
 """
+
+# ---------------------------------------------------------------------------
+# Generated code corpora (FIXTURES §3.1 / §3.2), recomputed from documents
+# ---------------------------------------------------------------------------
+
+DOCS = r"""
+docs AS (
+  SELECT doc_id AS d, source,
+    list_filter(list_transform(string_split(text, E'\n'),
+      lambda x: trim(regexp_replace(x, '[^A-Za-z0-9 ]', '', 'g'))), lambda x: x <> '') AS ls
+  FROM documents
+),
+lines AS (
+  SELECT d, source, i, ls[i + 1] AS x, len(ls) AS n
+  FROM (SELECT d, source, ls, unnest(range(0, len(ls))) AS i FROM docs)
+)"""
+
+# Solidity contract C<d>: per line i a comment, signature, body; offsets of each
+# line inside the contract text (which starts at the 'contract' keyword).
+SOL = DOCS + r""",
+sol_l AS (
+  SELECT d, i, x,
+    CASE i % 3 WHEN 0 THEN '  // note ' || i || E'\n'
+               WHEN 1 THEN '  /* note ' || i || E' */\n  // more ' || i || E'\n' ELSE '' END AS cm,
+    '  function f' || (i // 2) || '(uint256 a, address b) public {' AS sig,
+    ' ' || x || ' ' AS body
+  FROM lines
+),
+sol_head AS (
+  SELECT d, 'contract C' || d || ' is Base' || d || '_' || (d % 4)
+         || CASE WHEN d % 10 = 0 THEN ', Side' || d ELSE '' END || E' {\n' AS head
+  FROM docs
+),
+sol_c AS (
+  SELECT h.d, h.head || coalesce(string_agg(l.cm || l.sig || l.body || E'}\n', '' ORDER BY l.i), '') || '}' AS c_text,
+         h.head
+  FROM sol_head h LEFT JOIN sol_l l ON l.d = h.d GROUP BY h.d, h.head
+),
+sol_fn AS (
+  SELECT l.d, l.i, l.x, l.cm, l.sig, l.body, c.c_text,
+    length(c.head) + coalesce(sum(length(l.cm || l.sig || l.body) + 2) OVER (
+      PARTITION BY l.d ORDER BY l.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+  FROM sol_l l JOIN sol_c c ON c.d = l.d
+),
+base_k AS (
+  SELECT d, unnest(range(0, d % 4 + 1)) AS k FROM docs
+),
+base_c AS (
+  SELECT d, k, 'Base' || d || '_' || k AS name,
+    'contract Base' || d || '_' || k || CASE WHEN k > 0 THEN ' is Base' || d || '_' || (k - 1) ELSE '' END || E' {\n'
+      || '  uint256 public s' || d || '_' || k || E';\n'
+      || '  uint256 private p' || d || '_' || k || E';\n' AS pre,
+    '  function g' || d || '_' || k || '() internal {' AS gsig,
+    '  function h' || d || '_' || k || '() external {' AS hsig
+  FROM base_k
+),
+side_c AS (
+  SELECT d, 'Side' || d AS name,
+    'contract Side' || d || ' is Base' || d || E'_0 {\n  uint256 internal q' || d || E';\n' AS pre,
+    '  function m' || d || '(uint256 v) public virtual returns (uint256) {' AS msig
+  FROM docs WHERE d % 10 = 0
+)"""
+
+ORACLE["contracts"] = "WITH " + SOL + r"""
+SELECT d AS source_idx, name AS contract_name,
+       pre || gsig || E' return; }\n' || hsig || E' return; }\n}' AS contract_source FROM base_c
+UNION ALL
+SELECT d, name, pre || msig || E' return v; }\n}' FROM side_c
+UNION ALL
+SELECT d, 'C' || d, c_text FROM sol_c
+"""
+
+ORACLE["function_spans"] = "WITH " + SOL + r"""
+SELECT d AS source_idx, name AS contract_name, 'g' || d || '_' || k AS func_name, ' return; ' AS func_body,
+       pre || gsig || E'<FILL_FUNCTION_BODY>}\n' || hsig || E' return; }\n}' AS masked_contract FROM base_c
+UNION ALL
+SELECT d, name, 'h' || d || '_' || k, ' return; ',
+       pre || gsig || E' return; }\n' || hsig || E'<FILL_FUNCTION_BODY>}\n}' FROM base_c
+UNION ALL
+SELECT d, name, 'm' || d, ' return v; ', pre || msig || E'<FILL_FUNCTION_BODY>}\n}' FROM side_c
+UNION ALL
+SELECT d, 'C' || d, 'f' || (i // 2), body,
+       left(c_text, CAST(off + length(cm) + length(sig) AS BIGINT)) || '<FILL_FUNCTION_BODY>'
+       || substr(c_text, CAST(off + length(cm) + length(sig) + length(body) + 1 AS BIGINT))
+FROM sol_fn
+"""
+
+ORACLE["whole_functions"] = "WITH " + SOL + r"""
+SELECT d AS source_idx, name AS contract_name, 'g' || d || '_' || k AS func_name,
+       ltrim(gsig) || ' return; }' AS function,
+       pre || E'  <FILL_FUNCTION>\n' || hsig || E' return; }\n}' AS masked_contract FROM base_c
+UNION ALL
+SELECT d, name, 'h' || d || '_' || k, ltrim(hsig) || ' return; }',
+       pre || gsig || E' return; }\n' || E'  <FILL_FUNCTION>\n}' FROM base_c
+UNION ALL
+SELECT d, name, 'm' || d, ltrim(msig) || ' return v; }', pre || E'  <FILL_FUNCTION>\n}' FROM side_c
+UNION ALL
+SELECT d, 'C' || d, 'f' || (i // 2), ltrim(sig) || body || '}',
+       left(c_text, CAST(off + length(cm) + 2 AS BIGINT)) || '<FILL_FUNCTION>'
+       || substr(c_text, CAST(off + length(cm) + length(sig) + length(body) + 2 AS BIGINT))
+FROM sol_fn
+"""
+
+# Java class C<d>: text from the 'class' keyword to its closing brace.
+JAVA = DOCS + r""",
+java_l AS (
+  SELECT d, source, i, x, n,
+    CASE WHEN d % 5 = 0 AND i = n - 1 THEN '  static class N' || d || E' {\n' ELSE '' END AS nopen,
+    CASE i % 3 WHEN 0 THEN '  /** note ' || i || E' */\n' WHEN 1 THEN '  // more ' || i || E'\n' ELSE '' END AS cm,
+    '  public void f' || (i // 2) || '(int a, String b) {' AS sig,
+    ' ' || x || ' ' AS body,
+    CASE WHEN d % 5 = 0 AND i = n - 1 THEN E'  }\n' ELSE '' END AS nclose
+  FROM lines
+),
+java_head AS (
+  SELECT d, source, 'class C' || d || E' {\n  private int x' || d || E';\n  private static final String NAME'
+         || d || E' = "a//b{";\n' AS head,
+         CASE WHEN d % 7 = 0 THEN '  interface J' || d || E' {\n    void ping' || d || E'(int a);\n  }\n' ELSE '' END AS iface,
+         'mod/src/' || CASE WHEN d % 10 = 9 THEN 'test' ELSE 'main' END || '/java/p' || (d % 7) || '/C' || d || '.java' AS relative_path,
+         'own_' || source AS proj_name
+  FROM docs
+),
+java_c AS (
+  SELECT h.d, h.proj_name, h.relative_path, h.head,
+    h.head || coalesce(string_agg(l.nopen || l.cm || l.sig || l.body || E'}\n' || l.nclose, '' ORDER BY l.i), '')
+      || h.iface || '}' AS c_text
+  FROM java_head h LEFT JOIN java_l l ON l.d = h.d
+  GROUP BY h.d, h.proj_name, h.relative_path, h.head, h.iface
+),
+java_fn AS (
+  SELECT l.*, c.c_text, c.proj_name, c.relative_path,
+    length(c.head) + coalesce(sum(length(l.nopen || l.cm || l.sig || l.body || l.nclose) + 2) OVER (
+      PARTITION BY l.d ORDER BY l.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+  FROM java_l l JOIN java_c c ON c.d = l.d
+)"""
+
+ORACLE["masked_samples"] = "WITH " + JAVA + r"""
+SELECT proj_name, relative_path, 'C' || d AS class_name, 'f' || (i // 2) AS func_name, body AS func_body,
+  left(c_text, CAST(off + length(nopen) + length(cm) + length(sig) AS BIGINT)) || '<FILL_FUNCTION_BODY>'
+  || substr(c_text, CAST(off + length(nopen) + length(cm) + length(sig) + length(body) + 1 AS BIGINT)) AS masked_class
+FROM java_fn
+"""
