@@ -96,3 +96,146 @@ def masked_samples(spark, sf_dir):
     return (SM.java_methods(java_scanned(spark, sf_dir), ["proj_name", "relative_path"])
             .select("proj_name", "relative_path", "class_name", "func_name", "func_body",
                     "masked_class"))
+
+
+# --- paths, filters, text functions -------------------------------------------
+
+from codecorpus.functions import paths as P  # noqa: E402
+from codecorpus.functions import text as TX  # noqa: E402
+from codecorpus.operators import sampling as G  # noqa: E402
+
+PROJECT_BASE = "/work/projects"
+
+
+@query
+def path_columns(spark, sf_dir):
+    """Derived path columns of the Java corpus."""
+    f = X.java_files(_t(spark, sf_dir, "documents"))
+    rel, proj = F.col("relative_path"), F.col("proj_name")
+    return f.select(
+        "proj_name", "relative_path",
+        P.absolute_path(PROJECT_BASE, proj, rel).alias("abs_path"),
+        P.repo_from_owner_repo(proj).alias("repo"),
+        P.class_file(rel).alias("class_path"),
+        P.qualified_class(rel).alias("fq_class"),
+        P.package_of(P.qualified_class(rel)).alias("package"),
+        P.module_dir(rel).alias("module_dir"),
+        P.test_dir(PROJECT_BASE, proj, rel).alias("test_dir"))
+
+
+@query
+def url_parts(spark, sf_dir):
+    """Project / relative path and owner / repo split of page URLs."""
+    u = F.col("url")
+    return _t(spark, sf_dir, "pages").select(
+        "page_id", P.project_of(u).alias("proj_name"), P.relative_of(u).alias("relative_path"),
+        P.repo_owner(u).alias("owner"), P.repo_name(u).alias("repo"),
+        P.owner_repo(u).alias("owner_repo"))
+
+
+@query
+def filter_funnel(spark, sf_dir):
+    """C1 + F1 + C2: per-project counts after each path filter and the
+    semi-join with the compiled-class listing."""
+    f = X.java_files(_t(spark, sf_dir, "documents"))
+    listing = X.compiled_classes(f)
+    rel = F.col("relative_path")
+    kept = f.where(P.is_main_source(rel)).withColumn("class_path", P.class_file(rel))
+    compiled = kept.join(listing, ["proj_name", "class_path"], "left_semi")
+    stages = f.groupBy("proj_name").agg(
+        F.count(F.lit(1)).alias("n_files"),
+        F.count_if(~F.contains(rel, F.lit("test"))).alias("n_not_test"),
+        F.count_if(P.is_main_source(rel)).alias("n_main"))
+    return stages.join(compiled.groupBy("proj_name").agg(F.count(F.lit(1)).alias("n_compiled")),
+                       "proj_name", "left").fillna(0, subset=["n_compiled"])
+
+
+@query
+def remove_comments(spark, sf_dir):
+    """E2 + B11: Solidity sources with comments removed."""
+    f = X.sol_files(_t(spark, sf_dir, "documents"))
+    return f.select("source_idx", TX.remove_comments(F.col("source_code"))
+                    .alias("source_code_removed_comment"))
+
+
+@query
+def strip_private(spark, sf_dir):
+    """Java sources with ``private`` modifiers removed."""
+    f = X.java_files(_t(spark, sf_dir, "documents"))
+    return f.select("proj_name", "relative_path",
+                    TX.strip_private(F.col("source_code")).alias("source_code"))
+
+
+@query
+def text_measures(spark, sf_dir):
+    """Collapsed text, non-control length, blank flag, casts."""
+    d = _t(spark, sf_dir, "documents")
+    t = F.col("text")
+    return d.select("doc_id", TX.collapse_ws(t).alias("collapsed"),
+                    TX.non_control_length(t).alias("len_no_control"),
+                    TX.is_blank(t).alias("is_blank"),
+                    F.col("doc_id").cast("string").alias("doc_key"))
+
+
+# --- sampling, order, histograms ------------------------------------------------
+
+@query
+def capped_sample(spark, sf_dir):
+    """At most 20 random documents per source (seed 0)."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source")
+    return G.capped_sample(d, "source", "doc_id", 20, 0).select("source", "doc_id", "sample_rank")
+
+
+@query
+def weighted_sample(spark, sf_dir):
+    """One document per source, weight n_chars (seed 11)."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return G.weighted_choice(d, "source", "doc_id", "n_chars", 11, ["doc_id", "n_chars"])
+
+
+@query
+def uniform_sample(spark, sf_dir):
+    """One uniformly random document per source (seed 0)."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "source")
+    return G.uniform_choice(d, "source", "doc_id", 0, ["doc_id"])
+
+
+@query
+def shards(spark, sf_dir):
+    """A10: 4 contiguous shards of documents in doc_id order."""
+    d = _t(spark, sf_dir, "documents").select("doc_id")
+    return G.shard(d, ["doc_id"], 4).select("doc_id", "idx", "shard")
+
+
+@query
+def positional_zip(spark, sf_dir):
+    """i-th document paired with the i-th label row."""
+    d = _t(spark, sf_dir, "documents").select("doc_id")
+    lab = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_doc_id"), "quality")
+    return G.positional_zip(d, lab, ["doc_id"], ["label_doc_id"])
+
+
+@query
+def orders_histogram(spark, sf_dir):
+    """Customers by number of orders, zero-order customers kept."""
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"))
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"))
+    return G.lookup_histogram(c, o, ["custkey"])
+
+
+@query
+def project_batches(spark, sf_dir):
+    """G2 + G17 + G1: distinct projects in fixed batches of 3, with file counts."""
+    d = _t(spark, sf_dir, "documents").select(F.concat(F.lit("own_"), F.col("source")).alias("proj_name"))
+    counts = d.groupBy("proj_name").agg(F.count(F.lit(1)).alias("n_files"))
+    return G.fixed_batches(counts, ["proj_name"], 3).select("proj_name", "n_files", "batch")
+
+
+@query
+def stage_reached(spark, sf_dir):
+    """J3 + J4 + J6: runnable flag, last stage and result locations per test run."""
+    runs = X.test_logs(_t(spark, sf_dir, "events")).withColumn(
+        "test_dir", F.concat(F.lit("/work/tests/"), F.col("event_id").cast("string")))
+    out = R.stage_results(R.runnable_flags(runs))
+    return out.select("event_id", "runnable", "run_label", "stage", "pass_test_info_url",
+                      "fail_test_info_url")

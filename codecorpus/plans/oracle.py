@@ -237,3 +237,118 @@ SELECT proj_name, relative_path, 'C' || d AS class_name, 'f' || (i // 2) AS func
   || substr(c_text, CAST(off + length(nopen) + length(cm) + length(sig) + length(body) + 1 AS BIGINT)) AS masked_class
 FROM java_fn
 """
+
+# Whole Solidity / Java files (for text-level operators)
+SOL_FILE = SOL + r""",
+sol_file AS (
+  SELECT c.d,
+    'pragma solidity ^0.8.0;' || E'\n'
+    || CASE WHEN c.d % 5 = 1 THEN 'interface I' || c.d || E' {\n  function ping' || c.d || E'(uint256 x) external returns (bool);\n}\n' ELSE '' END
+    || (SELECT string_agg(b.pre || b.gsig || E' return; }\n' || b.hsig || E' return; }\n}\n', '' ORDER BY b.k) FROM base_c b WHERE b.d = c.d)
+    || coalesce((SELECT s.pre || s.msig || E' return v; }\n}\n' FROM side_c s WHERE s.d = c.d), '')
+    || c.c_text || E'\n' AS source_code
+  FROM sol_c c
+)"""
+
+JAVA_FILE = JAVA + r""",
+java_file AS (
+  SELECT d, proj_name, relative_path,
+    'package p' || (d % 7) || E';\n\nimport java.util.List;\n\n/** Class C' || d || E'. */\npublic ' || c_text || E'\n' AS source_code
+  FROM java_c
+)"""
+
+ORACLE["path_columns"] = "WITH " + JAVA + r"""
+SELECT proj_name, relative_path,
+  '/work/projects/' || proj_name || '/' || relative_path AS abs_path,
+  regexp_replace(proj_name, '^[^_]*_?', '') AS repo,
+  replace(replace(relative_path, '/src/main/java', '/target/classes'), '.java', '.class') AS class_path,
+  regexp_replace(replace(split_part(relative_path, 'src/main/java/', 2), '/', '.'), '\.java$', '') AS fq_class,
+  regexp_replace(regexp_replace(replace(split_part(relative_path, 'src/main/java/', 2), '/', '.'), '\.java$', ''), '\.?[^.]*$', '') AS package,
+  split_part(relative_path, '/src/main/java', 1) AS module_dir,
+  concat_ws('/', '/work/projects', proj_name, split_part(relative_path, '/src/main/java', 1), 'evosuite-tests',
+    replace(regexp_replace(replace(split_part(relative_path, 'src/main/java/', 2), '/', '.'), '\.java$', ''), '.', '/')) AS test_dir
+FROM java_head
+"""
+
+ORACLE["url_parts"] = r"""
+SELECT page_id, split_part(url, '/', 1) AS proj_name, regexp_extract(url, '^[^/]*/(.*)$', 1) AS relative_path,
+  string_split(url, '/')[-2] AS owner, string_split(url, '/')[-1] AS repo,
+  concat_ws('_', string_split(url, '/')[-2], string_split(url, '/')[-1]) AS owner_repo
+FROM pages
+"""
+
+ORACLE["filter_funnel"] = "WITH " + JAVA + r"""
+SELECT proj_name, count(*) AS n_files,
+  count(*) FILTER (WHERE NOT contains(relative_path, 'test')) AS n_not_test,
+  count(*) FILTER (WHERE NOT contains(relative_path, 'test') AND contains(relative_path, 'src/main/java')) AS n_main,
+  count(*) FILTER (WHERE NOT contains(relative_path, 'test') AND contains(relative_path, 'src/main/java') AND d % 4 <> 3) AS n_compiled
+FROM java_head GROUP BY proj_name
+"""
+
+ORACLE["remove_comments"] = "WITH " + SOL_FILE + r"""
+SELECT d AS source_idx,
+  regexp_replace(source_code, '//[^\n]*\n?\z|//[^\n]*|/\*[\s\S]*?\*/|(/\*[\s\S]*)\z', '\1', 'g') AS source_code_removed_comment
+FROM sol_file
+"""
+
+ORACLE["strip_private"] = "WITH " + JAVA_FILE + r"""
+SELECT proj_name, relative_path, regexp_replace(source_code, '(\s)(?:private\s)+', '\1', 'g') AS source_code
+FROM java_file
+"""
+
+ORACLE["text_measures"] = r"""
+SELECT doc_id, trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS collapsed,
+  length(regexp_replace(text, '[\n\t\r\x07]', '', 'g')) AS len_no_control,
+  coalesce(regexp_replace(text, '[\t\n\r ]', '', 'g') = '', true) AS is_blank,
+  CAST(doc_id AS VARCHAR) AS doc_key
+FROM documents
+"""
+
+ORACLE["capped_sample"] = r"""
+SELECT source, doc_id, sample_rank FROM (
+  SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('0:' || doc_id), doc_id) AS sample_rank
+  FROM documents) WHERE sample_rank <= 20
+"""
+
+ORACLE["weighted_sample"] = r"""
+SELECT source, arg_min(doc_id, k) AS doc_id, arg_min(n_chars, k) AS n_chars FROM (
+  SELECT source, doc_id, n_chars,
+    struct_pack(e := -ln((CAST(('0x' || substr(md5('11:' || source || ':' || doc_id), 1, 8)) AS BIGINT) + 1.0) / 4294967296.0) / n_chars, i := doc_id) AS k
+  FROM documents WHERE n_chars > 0) GROUP BY source
+"""
+
+ORACLE["uniform_sample"] = r"""
+SELECT source, arg_min(doc_id, md5('0:' || source || ':' || doc_id)) AS doc_id FROM documents GROUP BY source
+"""
+
+ORACLE["shards"] = r"""
+SELECT doc_id, idx, CAST(least(floor(idx / ceil(n / 4.0)) + 1, 4) AS BIGINT) AS shard FROM (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx, count(*) OVER () AS n FROM documents)
+"""
+
+ORACLE["positional_zip"] = r"""
+SELECT d.idx, d.doc_id, l.label_doc_id, l.quality FROM
+  (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents) d
+  JOIN (SELECT doc_id AS label_doc_id, quality, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM labels) l
+  ON d.idx = l.idx
+"""
+
+ORACLE["orders_histogram"] = r"""
+SELECT coalesce(o.n, 0) AS n_matches, count(*) AS n_rows
+FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON o.o_custkey = c.c_custkey
+GROUP BY 1
+"""
+
+ORACLE["project_batches"] = r"""
+SELECT proj_name, n_files, (row_number() OVER (ORDER BY proj_name) - 1) // 3 AS batch FROM (
+  SELECT 'own_' || source AS proj_name, count(*) AS n_files FROM documents GROUP BY 1)
+"""
+
+ORACLE["stage_reached"] = r"""
+SELECT event_id, event_type <> 'error' AS runnable,
+  CASE WHEN event_type NOT IN ('click', 'error') THEN 'ok' WHEN event_type = 'click' THEN 'some_fail' ELSE 'cannot_run' END AS run_label,
+  CAST(1 + event_id % 13 AS INTEGER) AS stage,
+  CASE WHEN 1 + event_id % 13 = 13 THEN '/work/tests/' || event_id || '/clover_html_pass' END AS pass_test_info_url,
+  CASE WHEN 1 + event_id % 13 = 13 THEN '/work/tests/' || event_id || '/clover_html_fail' END AS fail_test_info_url
+FROM events
+"""
