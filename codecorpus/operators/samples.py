@@ -27,7 +27,16 @@ def cut(text: Column, start: Column, end: Column) -> Column:
 
 
 def _explode(df: DataFrame, keys: list[str], arr: Column) -> DataFrame:
-    return df.select(*keys, arr.alias("_r")).select(*keys, F.inline("_r"))
+    """One row per struct of ``arr``, keeping ``keys``.
+
+    ``inline_outer`` + a marker instead of ``inline``: for ``inline`` the
+    optimizer infers a ``size(arr) > 0`` filter and pushes it below the
+    projections, which would evaluate the whole per-file array expression a
+    second time (with its lambdas inlined).
+    """
+    wrapped = F.transform(arr, lambda x: F.struct(F.lit(True).alias("_ok"), x.alias("_v")))
+    return (df.select(*keys, wrapped.alias("_r")).select(*keys, F.inline_outer("_r"))
+            .where(F.col("_ok").isNotNull()).select(*keys, "_v.*"))
 
 
 # ---------------------------------------------------------------------------

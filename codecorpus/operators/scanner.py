@@ -518,4 +518,15 @@ def scan(text: str, lang: str = "java", body_tokens: bool = False):
         if r["parent_ord"] is not None:
             r["parent_ord"] = final[r["parent_ord"]]
         out.append(r)
+    # a comment's parent is the innermost declaration containing it
+    open_ = []
+    for r in out:
+        while open_ and (open_[-1]["end"] or 0) <= r["start"]:
+            open_.pop()
+        if r["kind"] == "comment":
+            if open_:
+                r["parent_ord"] = open_[-1]["ord"]
+            continue
+        if r["kind"] in ("contract", "class", "function", "method", "constructor", "modifier"):
+            open_.append(r)
     return out

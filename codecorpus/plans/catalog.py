@@ -239,3 +239,75 @@ def stage_reached(spark, sf_dir):
     out = R.stage_results(R.runnable_flags(runs))
     return out.select("event_id", "runnable", "run_label", "stage", "pass_test_info_url",
                       "fail_test_info_url")
+
+
+# --- comment adjacency, masked Solidity samples, inheritance, refill -----------
+
+from codecorpus.operators import joins as J  # noqa: E402
+
+
+@query
+def commented_functions(spark, sf_dir):
+    """H15 + F14 + E3 + G8: functions with their leading-comment requirement."""
+    return (J.commented_functions(sol_scanned(spark, sf_dir), ["source_idx"])
+            .select("source_idx", "contract_name", "func_name", "masked_contract", "func_body",
+                    "func_requirement"))
+
+
+@query
+def cumulative_weight_sample(spark, sf_dir):
+    """G14 + H14: one function per contract by cumulative body-length weight."""
+    return (J.cumulative_weight_samples(sol_scanned(spark, sf_dir), ["source_idx"])
+            .select("source_idx", "contract_name", "func_name", "masked_body", "masked_all",
+                    "func_body", "signature_only", "signature_extend"))
+
+
+@query
+def solidity_samples(spark, sf_dir):
+    """F8 + H14 (+F7): masked-sample rows re-derived from (contract, name,
+    masked contract) by choosing the overload nearest to the marker."""
+    sc = sol_scanned(spark, sf_dir)
+    samples = (SM.contract_functions(sc, ["source_idx"])
+               .select("source_idx", "contract_name", "func_name", "masked_contract")
+               .join(SM.contracts(sc, ["source_idx"]).select("source_idx", "contract_name",
+                                                             "contract_source"),
+                     ["source_idx", "contract_name"]))
+    cands = J.candidates(sol_scanned(spark, sf_dir), ["source_idx"])
+    return J.nearest_overload(samples, cands, ["source_idx"])
+
+
+@query
+def inherited_members(spark, sf_dir):
+    """F15 + G9: members inherited from all ancestors, breadth first."""
+    out = J.inherited_elements(sol_scanned(spark, sf_dir), ["source_idx"])
+    return out.select("source_idx", "contract_name",
+                      F.array_join("inherit_elements", "\n").alias("inherit_elements"),
+                      F.size("inherit_elements").alias("n_elements"))
+
+
+def _refill_samples(spark, sf_dir):
+    sc = sol_scanned(spark, sf_dir)
+    samples = (SM.contract_functions(sc, ["source_idx"]).where(F.col("contract_name").startswith("C"))
+               .select("source_idx", "contract_name", "func_name", "func_body",
+                       F.upper("func_body").alias("deepseek_output")))
+    return sc, samples
+
+
+@query
+def similar_overload(spark, sf_dir):
+    """E17 + F9: for each sample, the overload whose body is most similar."""
+    sc, samples = _refill_samples(spark, sf_dir)
+    best = J.most_similar_overload(samples, sc, ["source_idx"])
+    return best.select("source_idx", "contract_name", "func_name", "func_body", "body_start",
+                       F.round("sim", 6).alias("sim"))
+
+
+@query
+def refill_files(spark, sf_dir):
+    """F13 (+F9, E9): ground truth and model output spliced into the file."""
+    sc, samples = _refill_samples(spark, sf_dir)
+    best = J.most_similar_overload(samples, sc, ["source_idx"])
+    out = J.refill(best, sc.select("source_idx", "source_code"), ["source_idx"],
+                   {"filled_source_body": "func_body", "filled_source_deepseek": "deepseek_output"})
+    return out.select("source_idx", "contract_name", "func_name", "filled_source_body",
+                      "filled_source_deepseek")

@@ -352,3 +352,150 @@ SELECT event_id, event_type <> 'error' AS runnable,
   CASE WHEN 1 + event_id % 13 = 13 THEN '/work/tests/' || event_id || '/clover_html_fail' END AS fail_test_info_url
 FROM events
 """
+
+# Every Solidity function with a body, with offsets inside its contract text:
+# fs = function start, bs/be = body (no braces), fe = function end, ext = start
+# of the leading comments (or fs); ovl = index among same-name overloads.
+ALL_FN = SOL_FILE + r""",
+all_fn AS (
+  SELECT d, name AS contract, pre || gsig || E' return; }\n' || hsig || E' return; }\n}' AS cs,
+    'g' || d || '_' || k AS fname, 0 AS fpos, 0 AS ovl, ' return; ' AS body,
+    length(pre) + 2 AS fs, length(pre) + length(gsig) AS bs, '' AS req FROM base_c
+  UNION ALL
+  SELECT d, name, pre || gsig || E' return; }\n' || hsig || E' return; }\n}',
+    'h' || d || '_' || k, 1, 0, ' return; ',
+    length(pre) + length(gsig) + 11 + 2, length(pre) + length(gsig) + 11 + length(hsig), '' FROM base_c
+  UNION ALL
+  SELECT d, name, pre || msig || E' return v; }\n}', 'm' || d, 0, 0, ' return v; ',
+    length(pre) + 2, length(pre) + length(msig), '' FROM side_c
+  UNION ALL
+  SELECT d, 'C' || d, c_text, 'f' || (i // 2), i, i % 2, body,
+    off + length(cm) + 2, off + length(cm) + length(sig),
+    CASE i % 3 WHEN 0 THEN 'note ' || i WHEN 1 THEN 'note ' || i || E'\nmore ' || i ELSE '' END
+  FROM sol_fn
+),
+fn AS (
+  SELECT *, bs + length(body) AS be, bs + length(body) + 1 AS fe,
+    CASE WHEN req <> '' THEN fs - length(fs_cm) ELSE fs END AS ext
+  FROM (SELECT *, CASE WHEN contract LIKE 'C%' AND fpos % 3 = 0 THEN '// note ' || fpos || E'\n  '
+                       WHEN contract LIKE 'C%' AND fpos % 3 = 1 THEN '/* note ' || fpos || E' */\n  // more ' || fpos || E'\n  '
+                       ELSE '' END AS fs_cm FROM all_fn)
+),
+h14 AS (
+  SELECT d AS source_idx, contract AS contract_name, fname AS func_name,
+    left(cs, CAST(bs AS BIGINT)) || '<FILL_FUNCTION_BODY>' || substr(cs, CAST(be + 1 AS BIGINT)) AS masked_body,
+    left(cs, CAST(ext AS BIGINT)) || '<FILL_FUNCTION>' || substr(cs, CAST(fe + 1 AS BIGINT)) AS masked_all,
+    body AS func_body,
+    substr(cs, CAST(fs + 1 AS BIGINT), CAST(bs - 1 - fs AS BIGINT)) AS signature_only,
+    substr(cs, CAST(ext + 1 AS BIGINT), CAST(bs - 1 - ext AS BIGINT)) AS signature_extend,
+    fpos, ovl, length(body) AS blen
+  FROM fn
+)"""
+
+ORACLE["commented_functions"] = "WITH " + SOL + r"""
+SELECT d AS source_idx, 'C' || d AS contract_name, 'f' || (i // 2) AS func_name,
+  left(c_text, CAST(off + length(cm) + length(sig) AS BIGINT)) || '<FILL_FUNCTION_BODY>'
+  || substr(c_text, CAST(off + length(cm) + length(sig) + length(body) + 1 AS BIGINT)) AS masked_contract,
+  body AS func_body,
+  CASE i % 3 WHEN 0 THEN 'note ' || i ELSE 'note ' || i || E'\nmore ' || i END AS func_requirement
+FROM sol_fn WHERE i % 3 <> 2
+"""
+
+ORACLE["solidity_samples"] = "WITH " + ALL_FN + r"""
+SELECT source_idx, contract_name, func_name, masked_body, masked_all, func_body, signature_only, signature_extend
+FROM h14
+"""
+
+ORACLE["cumulative_weight_sample"] = "WITH " + ALL_FN + r"""
+, w AS (
+  SELECT *, sum(blen) OVER (PARTITION BY source_idx, contract_name ORDER BY blen, fpos
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cw
+  FROM h14
+)
+SELECT source_idx, contract_name,
+  arg_min(func_name, k) AS func_name, arg_min(masked_body, k) AS masked_body, arg_min(masked_all, k) AS masked_all,
+  arg_min(func_body, k) AS func_body, arg_min(signature_only, k) AS signature_only,
+  arg_min(signature_extend, k) AS signature_extend
+FROM (SELECT *, struct_pack(e := -ln((CAST(('0x' || substr(md5('42:' || source_idx || ':' || contract_name || ':'
+        || func_name || ':' || ovl), 1, 8)) AS BIGINT) + 1.0) / 4294967296.0) / cw, p := fpos) AS k
+      FROM w WHERE cw > 0)
+GROUP BY source_idx, contract_name
+"""
+
+ORACLE["inherited_members"] = "WITH RECURSIVE " + SOL + r""",
+edges AS (
+  SELECT d, 'C' || d AS child, 'Base' || d || '_' || (d % 4) AS base, 0 AS pos FROM docs
+  UNION ALL SELECT d, 'C' || d, 'Side' || d, 1 FROM docs WHERE d % 10 = 0
+  UNION ALL SELECT d, name, 'Base' || d || '_' || (k - 1), 0 FROM base_c WHERE k > 0
+  UNION ALL SELECT d, name, 'Base' || d || '_0', 0 FROM side_c
+),
+roots AS (
+  SELECT d, name AS root FROM base_c UNION ALL SELECT d, name FROM side_c UNION ALL SELECT d, 'C' || d FROM docs
+),
+rec(d, root, node, depth, path) AS (
+  SELECT r.d, r.root, e.base, 1, [e.pos] FROM roots r JOIN edges e ON e.d = r.d AND e.child = r.root
+  UNION ALL
+  SELECT r.d, r.root, e.base, r.depth + 1, list_append(r.path, e.pos)
+  FROM rec r JOIN edges e ON e.d = r.d AND e.child = r.node
+),
+best AS (
+  SELECT d, root, node, depth, path FROM (
+    SELECT *, row_number() OVER (PARTITION BY d, root, node ORDER BY depth, path) AS rn FROM rec) WHERE rn = 1
+),
+members AS (
+  SELECT d, name AS node, 0 AS m, 'uint256 public s' || d || '_' || k || ';' AS element FROM base_c
+  UNION ALL SELECT d, name, 1, ltrim(gsig) || '<BODY>}' FROM base_c
+  UNION ALL SELECT d, name, 0, 'uint256 internal q' || d || ';' FROM side_c
+  UNION ALL SELECT d, name, 1, ltrim(msig) || '<BODY>}' FROM side_c
+),
+agg AS (
+  SELECT b.d, b.root, string_agg(m.element, E'\n' ORDER BY b.depth, b.path, m.m) AS els, count(*) AS n
+  FROM best b JOIN members m ON m.d = b.d AND m.node = b.node GROUP BY b.d, b.root
+)
+SELECT r.d AS source_idx, r.root AS contract_name, coalesce(a.els, '') AS inherit_elements,
+  CAST(coalesce(a.n, 0) AS INTEGER) AS n_elements
+FROM roots r LEFT JOIN agg a ON a.d = r.d AND a.root = r.root
+"""
+
+# Dice similarity of lower-cased, white-space-free bodies among same-name
+# overloads of C<d>; the winner is the most similar (ties: file order).
+SIM = SOL_FILE + r""",
+cand AS (
+  SELECT f.d, f.i, 'f' || (f.i // 2) AS fname, f.body, f.x,
+    length(s.source_code) - length(f.c_text) - 1 + f.off + length(f.cm) + length(f.sig) AS abs_bs,
+    regexp_replace(lower(f.body), '\s+', '', 'g') AS nb
+  FROM sol_fn f JOIN sol_file s ON s.d = f.d
+),
+pairs AS (
+  SELECT a.d, a.i AS si, b.i AS ci, a.fname, a.body AS sbody, b.body AS cbody, b.abs_bs, a.nb AS sa, b.nb AS cb
+  FROM cand a JOIN cand b ON a.d = b.d AND a.fname = b.fname
+),
+bg_s AS (SELECT d, si, ci, substr(sa, g, 2) AS bg, count(*) AS c
+         FROM (SELECT *, unnest(range(1, length(sa))) AS g FROM pairs) GROUP BY ALL),
+bg_c AS (SELECT d, si, ci, substr(cb, g, 2) AS bg, count(*) AS c
+         FROM (SELECT *, unnest(range(1, length(cb))) AS g FROM pairs) GROUP BY ALL),
+inter AS (SELECT s.d, s.si, s.ci, sum(least(s.c, c.c)) AS hit FROM bg_s s JOIN bg_c c USING (d, si, ci, bg) GROUP BY ALL),
+scored AS (
+  SELECT p.*, CASE WHEN p.sa = p.cb THEN 1.0 WHEN length(p.sa) < 2 OR length(p.cb) < 2 THEN 0.0
+                   ELSE 2.0 * coalesce(i.hit, 0) / (length(p.sa) + length(p.cb) - 2) END AS sim,
+         count(*) OVER (PARTITION BY p.d, p.si) AS ncand
+  FROM pairs p LEFT JOIN inter i USING (d, si, ci)
+),
+chosen AS (
+  SELECT d, si, arg_min(struct_pack(ci := ci, bs := abs_bs, sim := sim, cbody := cbody), struct_pack(ns := -sim, c := ci)) AS c,
+         any_value(fname) AS fname, any_value(sbody) AS sbody
+  FROM scored WHERE ncand = 1 OR sim > 0 GROUP BY d, si
+)"""
+
+ORACLE["similar_overload"] = "WITH " + SIM + r"""
+SELECT d AS source_idx, 'C' || d AS contract_name, fname AS func_name, sbody AS func_body,
+  CAST(c.bs AS INTEGER) AS body_start, round(c.sim, 6) AS sim
+FROM chosen
+"""
+
+ORACLE["refill_files"] = "WITH " + SIM + r"""
+SELECT ch.d AS source_idx, 'C' || ch.d AS contract_name, ch.fname AS func_name,
+  left(s.source_code, CAST(ch.c.bs AS BIGINT)) || ch.sbody || E'\n' || substr(s.source_code, CAST(ch.c.bs + length(ch.c.cbody) + 1 AS BIGINT)) AS filled_source_body,
+  left(s.source_code, CAST(ch.c.bs AS BIGINT)) || upper(ch.sbody) || E'\n' || substr(s.source_code, CAST(ch.c.bs + length(ch.c.cbody) + 1 AS BIGINT)) AS filled_source_deepseek
+FROM chosen ch JOIN sol_file s ON s.d = ch.d
+"""
