@@ -311,3 +311,68 @@ def refill_files(spark, sf_dir):
                    {"filled_source_body": "func_body", "filled_source_deepseek": "deepseek_output"})
     return out.select("source_idx", "contract_name", "func_name", "filled_source_body",
                       "filled_source_deepseek")
+
+
+# --- training tables -------------------------------------------------------------
+
+from codecorpus.operators import training as TR  # noqa: E402
+
+
+@query
+def token_filter(spark, sf_dir):
+    """H1 + C4: token counts of text and its first line; keep total <= 2048."""
+    d = _t(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
+    return TR.count_tokens(d, "text", "title").select("doc_id", "len_input", "len_output", "total")
+
+
+def _instructions(spark, sf_dir):
+    rows = TR.instruction_rows(_t(spark, sf_dir, "conversations"))
+    return rows.select("conv_id", "turn", TR.instruction_prompt(F.col("instruction")).alias("source"),
+                       TR.target(F.col("output")).alias("target"))
+
+
+@query
+def instruction_prompts(spark, sf_dir):
+    """H6 + H7: instruction prompt (user turn) and target (next assistant turn)."""
+    return _instructions(spark, sf_dir)
+
+
+def _ints(c: str):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@query
+def loss_mask(spark, sf_dir):
+    """H8 + H9: token ids truncated to 512, labels with the prompt masked."""
+    m = TR.loss_masked(_instructions(spark, sf_dir), "source", "target")
+    return m.select("conv_id", "turn", F.size("input_ids").alias("n_ids"), "source_len",
+                    _ints("input_ids").alias("input_ids"), _ints("labels").alias("labels"))
+
+
+@query
+def padded_batches(spark, sf_dir):
+    """H10 (+G17): batches of 4 instruction rows, padded to the longest."""
+    m = TR.loss_masked(_instructions(spark, sf_dir), "source", "target")
+    b = TR.padded_batches(m.select("conv_id", "turn", "input_ids", "labels"), ["conv_id", "turn"], 4)
+    return b.select("conv_id", "turn", "batch", _ints("input_ids").alias("input_ids"),
+                    _ints("labels").alias("labels"),
+                    F.array_join(F.transform("attention_mask", lambda x: x.cast("string")), ",")
+                    .alias("attention_mask"))
+
+
+@query
+def fim_prompts(spark, sf_dir):
+    """H2 + H3 + H4 + H7 + E19 (+F7): prompts for masked Solidity functions,
+    the refine variant joined with the compile status of the same id."""
+    fns = SM.contract_functions(sol_scanned(spark, sf_dir), ["source_idx"])
+    status = R.compile_status(X.solidity_logs(_t(spark, sf_dir, "events"))) \
+        .select(F.col("event_id").alias("source_idx"), "compile_info")
+    j = fns.join(status, "source_idx", "left")
+    masked, out = F.col("masked_contract"), F.upper("func_body")
+    return j.select("source_idx", "contract_name", "func_name",
+                    TR.fim_prompt(masked).alias("prompt_fim"),
+                    TR.psm_prompt(masked).alias("prompt_psm"),
+                    TR.marker_status(masked).alias("marker_status"),
+                    TR.task_source("refine", masked, out, F.col("compile_info")).alias("source_refine"),
+                    TR.target(F.col("func_body")).alias("target"))

@@ -499,3 +499,63 @@ SELECT ch.d AS source_idx, 'C' || ch.d AS contract_name, ch.fname AS func_name,
   left(s.source_code, CAST(ch.c.bs AS BIGINT)) || upper(ch.sbody) || E'\n' || substr(s.source_code, CAST(ch.c.bs + length(ch.c.cbody) + 1 AS BIGINT)) AS filled_source_deepseek
 FROM chosen ch JOIN sol_file s ON s.d = ch.d
 """
+
+# Training tables
+TOK = r"regexp_extract_all({s}, '[A-Za-z0-9_]+|[^A-Za-z0-9_\s]')"
+IDS = r"list_transform(" + TOK + r", lambda t: CAST(CAST(('0x' || substr(md5(t), 1, 6)) AS BIGINT) % 50000 + 1 AS INTEGER))"
+
+ORACLE["token_filter"] = r"""
+SELECT doc_id, len_input, len_output, len_input + len_output AS total FROM (
+  SELECT doc_id, CAST(len(""" + TOK.format(s="text") + r""") AS BIGINT) AS len_input,
+         CAST(len(""" + TOK.format(s="split_part(text, E'\n', 1)") + r""") AS BIGINT) AS len_output
+  FROM documents) WHERE len_input + len_output <= 2048
+"""
+
+INSTR = r"""
+instr AS (
+  SELECT conv_id, turn,
+    'You are an AI programming assistant, utilizing the DeepSeek Coder model, developed by DeepSeek Company, and you only answer questions related to computer science. For politically sensitive questions, security and privacy issues, and other non-computer science questions, you will refuse to answer.'
+    || E'\n### Instruction:\n' || regexp_replace(text, '^\s+|\s+$', '', 'g') || E'\n### Response:\n' AS source,
+    next_text || E'\n<|EOT|>' AS target
+  FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
+               lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text FROM conversations)
+  WHERE role = 'user' AND next_role = 'assistant'
+),
+masked AS (
+  SELECT conv_id, turn, ids, source_len,
+    list_transform(ids, lambda x, i: CASE WHEN i - 1 < source_len THEN -100 ELSE x END) AS labels
+  FROM (SELECT conv_id, turn,
+          """ + IDS.format(s="source || target") + r"""[1:512] AS ids,
+          CAST(len(""" + IDS.format(s="source") + r"""[1:512]) AS INTEGER) AS source_len
+        FROM instr)
+)"""
+
+ORACLE["instruction_prompts"] = "WITH " + INSTR + " SELECT conv_id, turn, source, target FROM instr"
+
+ORACLE["loss_mask"] = "WITH " + INSTR + r"""
+SELECT conv_id, turn, CAST(len(ids) AS INTEGER) AS n_ids, source_len,
+  array_to_string(ids, ',') AS input_ids, array_to_string(labels, ',') AS labels FROM masked
+"""
+
+ORACLE["padded_batches"] = "WITH " + INSTR + r""",
+b AS (
+  SELECT *, (row_number() OVER (ORDER BY conv_id, turn) - 1) // 4 AS batch FROM masked
+),
+p AS (SELECT *, max(len(ids)) OVER (PARTITION BY batch) - len(ids) AS pad FROM b)
+SELECT conv_id, turn, batch,
+  array_to_string(list_concat(ids, list_transform(range(pad), lambda x: 0)), ',') AS input_ids,
+  array_to_string(list_concat(labels, list_transform(range(pad), lambda x: -100)), ',') AS labels,
+  array_to_string(list_transform(list_concat(ids, list_transform(range(pad), lambda x: 0)), lambda x: x <> 0), ',') AS attention_mask
+FROM p
+"""
+
+ORACLE["fim_prompts"] = "WITH " + ALL_FN + ", " + SOL_LOGS + ", " + COMPILE_INFO + r"""
+SELECT f.source_idx, f.contract_name, f.func_name,
+  '<｜fim▁begin｜>' || replace(f.masked_body, '<FILL_FUNCTION_BODY>', '<｜fim▁hole｜>') || '<｜fim▁end｜>' AS prompt_fim,
+  '▁<PRE>' || split_part(f.masked_body, '<FILL_FUNCTION_BODY>', 1) || '▁<SUF>' || split_part(f.masked_body, '<FILL_FUNCTION_BODY>', 2) || '▁<MID>' AS prompt_psm,
+  'ok' AS marker_status,
+  '<｜fim▁begin｜>' || replace(f.masked_body, '<FILL_FUNCTION_BODY>', '<｜fim▁hole｜>') || '<｜fim▁end｜>'
+    || E'\n<ouput>\n' || upper(f.func_body) || E'\n<compile>\n' || replace(c.compile_info, '<COMPILED_SUCCESSFULLY>', 'success') || E'\n<correct> ' AS source_refine,
+  f.func_body || E'\n<|EOT|>' AS target
+FROM h14 f LEFT JOIN compiled c ON c.event_id = f.source_idx
+"""
