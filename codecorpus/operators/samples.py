@@ -165,3 +165,127 @@ def java_match_back(samples: DataFrame, expected: DataFrame, keys: list[str]) ->
     s = samples.withColumn("_nb", norm(F.col("func_body")))
     e = expected.select(*keys, "func_name", norm(F.col("func_body")).alias("_nb")).distinct()
     return s.join(e, [*keys, "func_name", "_nb"], "left_semi").drop("_nb")
+
+
+# ---------------------------------------------------------------------------
+# Java type index, skeletons, fields, methods (D7-D11, D16), parameter context
+# ---------------------------------------------------------------------------
+
+def _package(spans: Column) -> Column:
+    return F.element_at(F.transform(F.filter(spans, lambda s: s["kind"] == "package"),
+                                    lambda s: s["name"]), 1)
+
+
+def _enclosing_type(s: Column) -> Column:
+    """Nearest enclosing class / interface / enum / record (Q29: by parent)."""
+    return span_at(s["parent_ord"])
+
+
+def java_types(scanned: DataFrame, keys: list[str], text: str = "source_code") -> DataFrame:
+    """D7 + D10 + D11: one row per top-level type.
+
+    ``abstract``: the type's text with every method body (from the end of
+    the signature to the closing brace) replaced by ``;``.
+    ``abstract_compact``: also without Javadoc comments and annotations (and
+    the blanks after them).  Both are built by cutting the text between the
+    sorted removal ranges of the type (no parser re-run).
+    """
+    t = F.col(text)
+    sp = F.col("spans")
+    df = scanned.withColumn("_types", F.filter(sp, lambda s: (s["kind"] == "class") & (s["depth"] == 0)))
+
+    def ranges(ty, compact):
+        bodies = F.transform(
+            F.filter(sp, lambda m: m["kind"].isin("method", "constructor") & m["body_start"].isNotNull()
+                     & (m["start"] >= ty["start"]) & (m["end"] <= ty["end"])),
+            lambda m: F.struct(m["head_end"].alias("a"), m["body_end"].alias("_e"),
+                               (m["body_end"] + 1).alias("b"), F.lit(";").alias("r")))
+        if not compact:
+            return bodies
+        docs = F.transform(
+            F.filter(sp, lambda c: ((c["kind"] == "annotation")
+                                    | ((c["kind"] == "comment") & cut(t, c["start"], c["start"] + 3).eqNullSafe("/**")))
+                     & (c["start"] > ty["start"]) & (c["end"] <= ty["end"])
+                     & (c["parent_ord"].isNull() | (span_at(c["parent_ord"])["kind"] == "class"))),
+            lambda c: F.struct(c["start"].alias("a"), c["end"].alias("_e"), c["gap_end"].alias("b"),
+                               F.lit("").alias("r")))
+        return F.concat(bodies, docs)
+
+    def rebuild(ty, rs):
+        pieces = F.transform(rs, lambda r, i: F.concat(
+            cut(t, F.when(i == 0, ty["start"]).otherwise(F.element_at(rs, F.greatest(i, F.lit(1)))["b"]), r["a"]),
+            r["r"]))
+        last = F.when(F.size(rs) > 0, F.element_at(rs, -1)["b"]).otherwise(ty["start"])
+        return F.concat(F.array_join(pieces, ""), cut(t, last, ty["end"]))
+
+    df = df.withColumn("_r1", F.transform("_types", lambda ty: F.array_sort(ranges(ty, False))))
+    df = df.withColumn("_r2", F.transform("_types", lambda ty: F.array_sort(ranges(ty, True))))
+    pkg = _package(sp)
+    arr = F.transform("_types", lambda ty, i: F.struct(
+        ty["name"].alias("name"),
+        F.coalesce(ty["modifiers"], F.lit("")).alias("modifiers"),
+        F.when(pkg.isNull(), ty["name"]).otherwise(F.concat(pkg, F.lit("."), ty["name"])).alias("qualified_name"),
+        F.coalesce(F.array_join(ty["bases"], " "), F.lit("")).alias("extend"),
+        F.coalesce(F.array_join(ty["interfaces"], " "), F.lit("")).alias("implements"),
+        cut(t, ty["start"], ty["end"]).alias("raw"),
+        rebuild(ty, F.element_at(F.col("_r1"), i + 1)).alias("abstract"),
+        rebuild(ty, F.element_at(F.col("_r2"), i + 1)).alias("abstract_compact")))
+    return _explode(df, keys, arr)
+
+
+def java_fields(scanned: DataFrame, keys: list[str], text: str = "source_code") -> DataFrame:
+    """One row per declared field variable, with its nearest enclosing type."""
+    t = F.col(text)
+    fs = F.filter(F.col("spans"), lambda s: s["kind"] == "field")
+    arr = F.transform(fs, lambda s: F.struct(
+        _enclosing_type(s)["name"].alias("class"), s["type"].alias("type"),
+        F.coalesce(s["modifiers"], F.lit("")).alias("modifiers"), s["name"].alias("name"),
+        cut(t, s["start"], s["end"]).alias("raw")))
+    return _explode(scanned, keys, arr)
+
+
+def java_method_table(scanned: DataFrame, keys: list[str], text: str = "source_code") -> DataFrame:
+    """Methods and constructors with parameters (constructors return ``void``)."""
+    t = F.col(text)
+    ms = F.filter(F.col("spans"), lambda s: s["kind"].isin("method", "constructor"))
+    arr = F.transform(ms, lambda s: F.struct(
+        _enclosing_type(s)["name"].alias("class"), s["name"].alias("name"),
+        F.coalesce(s["type"], F.lit("void")).alias("return_type"),
+        F.coalesce(s["modifiers"], F.lit("")).alias("modifiers"), s["params"].alias("parameters"),
+        s["ord"].alias("ord"), s["body_start"].isNotNull().alias("has_body"),
+        _package(F.col("spans")).alias("package"), cut(t, s["start"], s["end"]).alias("raw")))
+    return _explode(scanned, keys, arr)
+
+
+def last_method_text(methods: DataFrame, keys: list[str]) -> DataFrame:
+    """Raw text of the last method with each name (file order)."""
+    return methods.groupBy(*keys, "name").agg(F.max_by("raw", "ord").alias("raw"))
+
+
+def param_context(samples: DataFrame, types: DataFrame, keys: list[str], project: str = "proj_name",
+                  package: str = "package") -> DataFrame:
+    """per sample, the skeletons (``abstract``) of its parameter types
+    that are defined in the same project, in parameter order, each followed by
+    ``<param_class>``; ``<no_param_class>`` without parameters and
+    ``<not_self_defined_class>`` when none is a project type.
+
+    A simple type name resolves in the file's package.  The type index is
+    de-duplicated per (project, qualified name) before the join, and the
+    per-sample concatenation is a grouped ``array_join`` ordered by position.
+    """
+    from codecorpus import constants as K
+
+    s = samples.withColumn("_sid", F.monotonically_increasing_id())
+    p = s.select("_sid", project, package, F.posexplode_outer("parameters").alias("pos", "p"))
+    p = p.withColumn("qualified_name", F.when(F.col("p.type").contains("."), F.col("p.type"))
+                     .otherwise(F.concat_ws(".", F.col(package), F.col("p.type"))))
+    ty = types.groupBy(project, "qualified_name").agg(F.min_by("abstract", F.col(keys[-1])).alias("abstract"))
+    j = p.join(ty, [project, "qualified_name"], "left")
+    g = j.groupBy("_sid").agg(
+        F.count("p").alias("n_params"),
+        F.array_sort(F.collect_list(F.when(F.col("abstract").isNotNull(),
+                                           F.struct("pos", "abstract")))).alias("found"))
+    ctx = (F.when(F.col("n_params") == 0, F.lit(K.NO_PARAM_CLASS))
+           .when(F.size("found") == 0, F.lit(K.NOT_SELF_DEFINED_CLASS))
+           .otherwise(F.array_join(F.transform("found", lambda x: F.concat(x["abstract"], F.lit(K.PARAM_CLASS))), "")))
+    return s.join(g.select("_sid", ctx.alias("param_context")), "_sid").drop("_sid")

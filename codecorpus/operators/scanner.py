@@ -18,7 +18,7 @@ import re
 
 FIELDS = ("kind", "name", "ord", "start", "end", "kw_start", "body_start", "body_end",
           "parent_ord", "depth", "visibility", "modifiers", "type", "params", "bases",
-          "interfaces", "n_statements")
+          "interfaces", "n_statements", "head_end", "gap_end")
 
 _TOKEN = re.compile(r'''
  (?P<ws>\s+)
@@ -310,7 +310,8 @@ def scan(text: str, lang: str = "java", body_tokens: bool = False):
                            parent_ord=parent, depth=depth, visibility=vis,
                            modifiers=" ".join(mods) or None, type=ret, params=ps)
                 if body:
-                    row.update(body_start=toks[body[0]][2], body_end=toks[body[1]][1])
+                    row.update(body_start=toks[body[0]][2], body_end=toks[body[1]][1],
+                               head_end=toks[body[0] - 1][2])
                 idx = add(**row)
                 if body:
                     spans[idx]["n_statements"] = body_scan(body[0] + 1, body[1], idx)
@@ -363,7 +364,8 @@ def scan(text: str, lang: str = "java", body_tokens: bool = False):
                        type=_text(text, rtype_toks) if rtype_toks else None,
                        params=_params(text, core[paren + 1:close_p], lang))
             if body:
-                row.update(body_start=toks[body[0]][2], body_end=toks[body[1]][1])
+                row.update(body_start=toks[body[0]][2], body_end=toks[body[1]][1],
+                           head_end=toks[body[0] - 1][2])
             idx = add(**row)
             if body:
                 spans[idx]["n_statements"] = body_scan(body[0] + 1, body[1], idx)
@@ -518,6 +520,13 @@ def scan(text: str, lang: str = "java", body_tokens: bool = False):
         if r["parent_ord"] is not None:
             r["parent_ord"] = final[r["parent_ord"]]
         out.append(r)
+    # comments and annotations: where the next code or comment starts
+    starts = sorted([tk[1] for tk in toks] + [c[1] for c in comments])
+    import bisect
+    for r in out:
+        if r["kind"] in ("comment", "annotation"):
+            k = bisect.bisect_left(starts, r["end"])
+            r["gap_end"] = starts[k] if k < len(starts) else len(text)
     # a comment's parent is the innermost declaration containing it
     open_ = []
     for r in out:

@@ -35,6 +35,8 @@ SPAN_FIELDS = T.StructType([
     T.StructField("bases", T.ArrayType(T.StringType())),
     T.StructField("interfaces", T.ArrayType(T.StringType())),
     T.StructField("n_statements", T.IntegerType()),
+    T.StructField("head_end", T.IntegerType()),
+    T.StructField("gap_end", T.IntegerType()),
 ])
 _ARROW = pa.schema([
     ("kind", pa.string()), ("name", pa.string()), ("ord", pa.int32()), ("start", pa.int32()),
@@ -43,7 +45,7 @@ _ARROW = pa.schema([
     ("visibility", pa.string()), ("modifiers", pa.string()), ("type", pa.string()),
     ("params", pa.list_(pa.struct([("type", pa.string()), ("name", pa.string())]))),
     ("bases", pa.list_(pa.string())), ("interfaces", pa.list_(pa.string())),
-    ("n_statements", pa.int32()),
+    ("n_statements", pa.int32()), ("head_end", pa.int32()), ("gap_end", pa.int32()),
 ])
 
 

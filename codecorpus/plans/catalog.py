@@ -376,3 +376,43 @@ def fim_prompts(spark, sf_dir):
                     TR.marker_status(masked).alias("marker_status"),
                     TR.task_source("refine", masked, out, F.col("compile_info")).alias("source_refine"),
                     TR.target(F.col("func_body")).alias("target"))
+
+
+# --- Java type index and context ------------------------------------------------------
+
+JKEYS = ["proj_name", "relative_path"]
+
+
+@query
+def java_types(spark, sf_dir):
+    """D7 + D10 + D11: top-level types with skeletons."""
+    return SM.java_types(java_scanned(spark, sf_dir), JKEYS).select(
+        *JKEYS, "name", "modifiers", "qualified_name", "extend", "implements", "raw", "abstract",
+        "abstract_compact")
+
+
+@query
+def java_fields(spark, sf_dir):
+    """Field table."""
+    return SM.java_fields(java_scanned(spark, sf_dir), JKEYS).select(
+        *JKEYS, "class", "type", "modifiers", "name", "raw")
+
+
+@query
+def java_methods(spark, sf_dir):
+    """Method table (parameters rendered as 'type name' list)."""
+    m = SM.java_method_table(java_scanned(spark, sf_dir), JKEYS)
+    return m.select(*JKEYS, "class", "name", "return_type", "modifiers",
+                    F.array_join(F.transform("parameters", lambda p: F.concat_ws(" ", p["type"], p["name"])), ", ")
+                    .alias("parameters"), "raw")
+
+
+@query
+def type_context(spark, sf_dir):
+    """parameter-type context of every Java method with a body."""
+    sc = java_scanned(spark, sf_dir)
+    types = SM.java_types(sc, JKEYS)
+    samples = SM.java_method_table(sc, JKEYS).where(F.col("has_body"))
+    out = SM.param_context(samples, types.select("proj_name", "relative_path", "qualified_name", "abstract"),
+                           JKEYS)
+    return out.select(*JKEYS, "class", "name", "param_context")

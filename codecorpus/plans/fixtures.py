@@ -92,7 +92,8 @@ def java_files(documents: DataFrame) -> DataFrame:
         f"if(doc_id % 5 = 0 AND i = {n} - 1, concat('  static class N', {d}, ' {{\\n'), ''),"
         "case i % 3 when 0 then concat('  /** note ', i, ' */\\n')"
         " when 1 then concat('  // more ', i, '\\n') else '' end,"
-        "'  public void f', cast(i div 2 as string), '(int a, String b) { ', x, ' }\\n',"
+        "'  public void f', cast(i div 2 as string), '(int a, ',"
+        f" if(i % 2 = 1, concat('C', cast(doc_id + 7 as string)), 'String'), ' b) {{ ', x, ' }}\\n',"
         f"if(doc_id % 5 = 0 AND i = {n} - 1, '  }}\\n', ''))), '')"
     )
     iface = (f"if(doc_id % 7 = 0, concat('  interface J', {d}, ' {{\\n',"

@@ -204,7 +204,7 @@ java_l AS (
   SELECT d, source, i, x, n,
     CASE WHEN d % 5 = 0 AND i = n - 1 THEN '  static class N' || d || E' {\n' ELSE '' END AS nopen,
     CASE i % 3 WHEN 0 THEN '  /** note ' || i || E' */\n' WHEN 1 THEN '  // more ' || i || E'\n' ELSE '' END AS cm,
-    '  public void f' || (i // 2) || '(int a, String b) {' AS sig,
+    '  public void f' || (i // 2) || '(int a, ' || CASE WHEN i % 2 = 1 THEN 'C' || (d + 7) ELSE 'String' END || ' b) {' AS sig,
     ' ' || x || ' ' AS body,
     CASE WHEN d % 5 = 0 AND i = n - 1 THEN E'  }\n' ELSE '' END AS nclose
   FROM lines
@@ -559,3 +559,57 @@ SELECT f.source_idx, f.contract_name, f.func_name,
   f.func_body || E'\n<|EOT|>' AS target
 FROM h14 f LEFT JOIN compiled c ON c.event_id = f.source_idx
 """
+
+JAVA_T = JAVA + r""",
+jt AS (
+  SELECT h.d, h.proj_name, h.relative_path, h.head, h.iface,
+    coalesce(string_agg(l.nopen || l.cm || left(l.sig, length(l.sig) - 2) || E';\n' || l.nclose, '' ORDER BY l.i), '') AS abs_lines,
+    coalesce(string_agg(l.nopen || CASE l.i % 3 WHEN 0 THEN '  ' ELSE l.cm END
+      || CASE WHEN l.i % 3 = 0 THEN ltrim(left(l.sig, length(l.sig) - 2)) ELSE left(l.sig, length(l.sig) - 2) END
+      || E';\n' || l.nclose, '' ORDER BY l.i), '') AS cmp_lines
+  FROM java_head h LEFT JOIN java_l l ON l.d = h.d
+  GROUP BY h.d, h.proj_name, h.relative_path, h.head, h.iface
+),
+types AS (
+  SELECT t.d, t.proj_name, t.relative_path, 'C' || t.d AS name, 'public' AS modifiers,
+    'p' || (t.d % 7) || '.C' || t.d AS qualified_name, '' AS extend, '' AS implements,
+    'public ' || c.c_text AS raw,
+    'public ' || t.head || t.abs_lines || t.iface || '}' AS abstract,
+    'public ' || t.head || t.cmp_lines || t.iface || '}' AS abstract_compact
+  FROM jt t JOIN java_c c ON c.d = t.d
+)"""
+
+ORACLE["java_types"] = "WITH " + JAVA_T + r"""
+SELECT proj_name, relative_path, name, modifiers, qualified_name, extend, implements, raw, abstract, abstract_compact
+FROM types
+"""
+
+ORACLE["java_fields"] = "WITH " + JAVA + r"""
+SELECT proj_name, relative_path, 'C' || d AS class, 'int' AS type, 'private' AS modifiers, 'x' || d AS name,
+  'private int x' || d || ';' AS raw FROM java_head
+UNION ALL
+SELECT proj_name, relative_path, 'C' || d, 'String', 'private static final', 'NAME' || d,
+  'private static final String NAME' || d || ' = "a//b{";' FROM java_head
+"""
+
+ORACLE["java_methods"] = "WITH " + JAVA + r"""
+SELECT c.proj_name, c.relative_path,
+  CASE WHEN l.d % 5 = 0 AND l.i = l.n - 1 THEN 'N' || l.d ELSE 'C' || l.d END AS class,
+  'f' || (l.i // 2) AS name, 'void' AS return_type, 'public' AS modifiers,
+  'int a, ' || CASE WHEN l.i % 2 = 1 THEN 'C' || (l.d + 7) ELSE 'String' END || ' b' AS parameters,
+  ltrim(l.sig) || l.body || '}' AS raw
+FROM java_l l JOIN java_head c ON c.d = l.d
+UNION ALL
+SELECT proj_name, relative_path, 'J' || d, 'ping' || d, 'void', '', 'int a', 'void ping' || d || '(int a);'
+FROM java_head WHERE d % 7 = 0
+"""
+
+ORACLE["type_context"] = "WITH " + JAVA_T + r"""
+SELECT c.proj_name, c.relative_path,
+  CASE WHEN l.d % 5 = 0 AND l.i = l.n - 1 THEN 'N' || l.d ELSE 'C' || l.d END AS class,
+  'f' || (l.i // 2) AS name,
+  CASE WHEN l.i % 2 = 1 AND t.abstract IS NOT NULL THEN t.abstract || '<param_class>'
+       ELSE '<not_self_defined_class>' END AS param_context
+FROM java_l l JOIN java_head c ON c.d = l.d
+LEFT JOIN types t ON t.proj_name = c.proj_name AND t.qualified_name = 'p' || (l.d % 7) || '.C' || (l.d + 7)
+"""
