@@ -93,16 +93,17 @@ def contract_functions(scanned: DataFrame, keys: list[str], text: str = "source_
     return out.drop("_pre") if whole else out
 
 
-def inherited_edges(scanned: DataFrame, keys: list[str]) -> DataFrame:
+def inherited_edges(scanned: DataFrame, keys: list[str], as_array: bool = False):
     """Edges (file, child, base, pos) of contract inheritance lists."""
     cs = F.filter(F.col("spans"), lambda s: s["kind"] == "contract")
     arr = F.flatten(F.transform(cs, lambda s: F.transform(
         s["bases"], lambda b, i: F.struct(s["name"].alias("child"), b.alias("base"),
                                           i.alias("pos")))))
-    return _explode(scanned, keys, arr)
+    return arr if as_array else _explode(scanned, keys, arr)
 
 
-def visible_members(scanned: DataFrame, keys: list[str], text: str = "source_code") -> DataFrame:
+def visible_members(scanned: DataFrame, keys: list[str], text: str = "source_code",
+                    as_array: bool = False):
     """Members a child inherits from one contract (F15 element text).
 
     Non-private state variables (their text) and functions neither external
@@ -121,7 +122,7 @@ def visible_members(scanned: DataFrame, keys: list[str], text: str = "source_cod
         F.when((s["kind"] == "function") & s["body_start"].isNotNull(),
                F.concat(cut(t, s["start"], s["body_start"] - 1), F.lit(K.BODY_PLACEHOLDER)))
         .otherwise(cut(t, s["start"], s["end"])).alias("element")))
-    return _explode(scanned, keys, arr)
+    return arr if as_array else _explode(scanned, keys, arr)
 
 
 # ---------------------------------------------------------------------------

@@ -54,21 +54,35 @@ _ARROW_SPAN = pa.struct(list(_ARROW))
 
 
 def _scan_batches(text_col, lang, body_tokens):
-    names = [f.name for f in _ARROW]
+    fields = list(_ARROW)
+    names = [f.name for f in fields]
 
     def run(batches):
         for rb in batches:
             texts = rb.column(text_col).to_pylist()
-            out = [None if t is None else
-                   [{n: s[n] for n in names} for s in scan(t, lang, body_tokens)] for t in texts]
-            arrays = list(rb.columns) + [pa.array(out, pa.list_(_ARROW_SPAN))]
-            yield pa.RecordBatch.from_arrays(arrays, names=list(rb.schema.names) + ["spans"])
+            offsets, valid, cols = [0], [], {n: [] for n in names}
+            for t in texts:
+                if t is None:
+                    offsets.append(offsets[-1])
+                    valid.append(False)
+                    continue
+                ss = scan(t, lang, body_tokens)
+                for n in names:  # column-wise: Arrow converts flat lists in C
+                    cols[n].extend([x[n] for x in ss])
+                offsets.append(offsets[-1] + len(ss))
+                valid.append(True)
+            struct = pa.StructArray.from_arrays([pa.array(cols[f.name], f.type) for f in fields],
+                                                fields=fields)
+            mask = pa.array([not v for v in valid])
+            spans = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct, mask=mask)
+            yield pa.RecordBatch.from_arrays(list(rb.columns) + [spans],
+                                             names=list(rb.schema.names) + ["spans"])
 
     return run
 
 
 def scan_files(files: DataFrame, text: str = "source_code", lang: str = "java",
-               body_tokens: bool = False) -> DataFrame:
+               body_tokens: bool = False, min_partitions: int | None = None) -> DataFrame:
     """D-job: every input column plus ``spans: array<span>`` ordered by ``ord``.
 
     ``spans[ord]`` (``element_at(spans, ord + 1)``) is the span with that
@@ -80,9 +94,29 @@ def scan_files(files: DataFrame, text: str = "source_code", lang: str = "java",
     bodies exclude braces.  ``body_tokens`` adds call / local / ident spans.
     """
     out = T.StructType(list(files.schema.fields) + [T.StructField("spans", T.ArrayType(SPAN))])
+    # The scan is CPU-bound Python: give it at least 2 tasks per core.  A large
+    # input already has many splits and is left as it is; a few big row
+    # groups (one task each) are spread out first.
+    files = balance(files, min_partitions)
     return files.mapInArrow(_scan_batches(text, lang, body_tokens), out)
 
 
+def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread ``df`` over at least ``min_partitions`` (default 2 per core)
+    when it arrives in fewer, e.g. one big row group; otherwise unchanged."""
+    target = min_partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage (reliable checkpoint in the
+    cluster's checkpoint folder), for a scanned table that feeds several
+    branches of a plan: without it each branch would re-run the scan."""
+    return df.checkpoint(eager=True)
+
+
 def extract_spans(files: DataFrame, keys: list[str] | str, text: str = "source_code",
                   lang: str = "java", body_tokens: bool = False) -> DataFrame:
     """Flat span table: ``keys`` + one row per span (for cross-file work)."""

@@ -266,13 +266,13 @@ def cumulative_weight_sample(spark, sf_dir):
 def solidity_samples(spark, sf_dir):
     """F8 + H14 (+F7): masked-sample rows re-derived from (contract, name,
     masked contract) by choosing the overload nearest to the marker."""
-    sc = sol_scanned(spark, sf_dir)
+    sc = S.materialize(sol_scanned(spark, sf_dir))  # feeds three branches
     samples = (SM.contract_functions(sc, ["source_idx"])
                .select("source_idx", "contract_name", "func_name", "masked_contract")
                .join(SM.contracts(sc, ["source_idx"]).select("source_idx", "contract_name",
                                                              "contract_source"),
                      ["source_idx", "contract_name"]))
-    cands = J.candidates(sol_scanned(spark, sf_dir), ["source_idx"])
+    cands = J.candidates(sc, ["source_idx"])
     return J.nearest_overload(samples, cands, ["source_idx"])
 
 
@@ -286,7 +286,7 @@ def inherited_members(spark, sf_dir):
 
 
 def _refill_samples(spark, sf_dir):
-    sc = sol_scanned(spark, sf_dir)
+    sc = S.materialize(sol_scanned(spark, sf_dir))  # samples, candidates and files
     samples = (SM.contract_functions(sc, ["source_idx"]).where(F.col("contract_name").startswith("C"))
                .select("source_idx", "contract_name", "func_name", "func_body",
                        F.upper("func_body").alias("deepseek_output")))
@@ -410,7 +410,7 @@ def java_methods(spark, sf_dir):
 @query
 def type_context(spark, sf_dir):
     """parameter-type context of every Java method with a body."""
-    sc = java_scanned(spark, sf_dir)
+    sc = S.materialize(java_scanned(spark, sf_dir))  # types and samples
     types = SM.java_types(sc, JKEYS)
     samples = SM.java_method_table(sc, JKEYS).where(F.col("has_body"))
     out = SM.param_context(samples, types.select("proj_name", "relative_path", "qualified_name", "abstract"),

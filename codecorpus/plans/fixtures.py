@@ -30,8 +30,11 @@ DOC_LINES = ("filter(transform(split(text, '\\n'), "
 
 
 def doc_lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, ls array<string>) from documents."""
-    return documents.select("doc_id", "source", F.expr(DOC_LINES).alias("ls"))
+    """(doc_id, source, ls array<string>) from documents (spread over the
+    cluster first when the table arrives in a few large splits)."""
+    from codecorpus.operators.spans import balance
+    return balance(documents.select("doc_id", "source", "text")).select(
+        "doc_id", "source", F.expr(DOC_LINES).alias("ls"))
 
 
 def _sol_members(suffix: str) -> str:
