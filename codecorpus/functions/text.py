@@ -85,7 +85,8 @@ def skipped_type(t: Column) -> Column:
 
 def mentions_variable(text: Column, name: Column) -> Column:
     """C11: ``\\bname\\b`` occurs in text."""
-    return text.rlike(F.concat(F.lit(r"\b"), name, F.lit(r"\b")))
+    # pattern from a column; \Q..\E quotes the name ('$' is legal in Java names)
+    return F.regexp_like(text, F.concat(F.lit(r"\b\Q"), name, F.lit(r"\E\b")))
 
 
 def mentions_call(text: Column, name: Column) -> Column:
@@ -95,5 +96,6 @@ def mentions_call(text: Column, name: Column) -> Column:
 
 def candidates(s: Column, sep: str = "<candidate>") -> Column:
     """All pieces before the last ``<candidate>`` separator."""
-    parts = F.split(s, sep)
+    import re
+    parts = F.split(s, re.escape(sep))  # split takes a regex
     return F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))

@@ -290,3 +290,72 @@ def param_context(samples: DataFrame, types: DataFrame, keys: list[str], project
            .when(F.size("found") == 0, F.lit(K.NOT_SELF_DEFINED_CLASS))
            .otherwise(F.array_join(F.transform("found", lambda x: F.concat(x["abstract"], F.lit(K.PARAM_CLASS))), "")))
     return s.join(g.select("_sid", ctx.alias("param_context")), "_sid").drop("_sid")
+
+
+def _children(scanned: DataFrame, keys: list[str], kinds: list[str]) -> DataFrame:
+    """Flat (keys, parent_ord, kind, name, type, ord) of body-token spans."""
+    arr = F.transform(F.filter(F.col("spans"), lambda s: s["kind"].isin(*kinds)), lambda s: F.struct(
+        s["parent_ord"].alias("parent_ord"), s["kind"].alias("kind"), s["name"].alias("name"),
+        s["type"].alias("type"), s["ord"].alias("ord")))
+    return _explode(scanned, keys, arr)
+
+
+def used_context(scanned: DataFrame, keys: list[str], text: str = "source_code",
+                 member_calls_only: bool = True) -> DataFrame:
+    """D13 + D16 + C10 + C11 + G7 (H17): for the last method with each name,
+    the sorted distinct types of declared names it mentions (fields, its
+    parameters and locals; the last declaration of a name wins; primitive /
+    library types skipped by prefix) and the sorted distinct methods it
+    calls.  Needs a scan with ``body_tokens=True``.
+
+    Locals and calls are grouped per (file, method) from the flat span rows
+    (linear in file size); the method text is cut on the file's row.
+    """
+    from codecorpus.functions import text as TX
+
+    t = F.col(text)
+    sp = F.col("spans")
+    df = scanned.withColumn("_ms", F.filter(sp, lambda m: m["kind"].isin("method", "constructor")
+                                            & m["body_start"].isNotNull()))
+    ms = F.col("_ms")
+    fields = F.transform(F.filter(sp, lambda s: s["kind"] == "field"), lambda s: F.struct(
+        s["name"].alias("name"), s["type"].alias("type"), s["ord"].alias("ord")))
+    last = F.filter(ms, lambda m: ~F.exists(ms, lambda o: (o["name"] == m["name"]) & (o["ord"] > m["ord"])))
+    methods = _explode(df, keys, F.transform(last, lambda m: F.struct(
+        m["ord"].alias("func_ord"), m["name"].alias("func_name"), cut(t, m["start"], m["end"]).alias("_body"),
+        F.concat(fields, F.transform(m["params"], lambda p: F.struct(
+            p["name"].alias("name"), p["type"].alias("type"), m["ord"].alias("ord")))).alias("_decl"))))
+    kids = _children(scanned, keys, ["local", "call"])
+    if member_calls_only:
+        kids = kids.where((F.col("kind") == "local") | (F.col("type") == "member"))
+    per = kids.groupBy(*keys, F.col("parent_ord").alias("func_ord")).agg(
+        F.collect_list(F.when(F.col("kind") == "local", F.struct("name", "type", "ord"))).alias("_locs"),
+        F.array_sort(F.collect_set(F.when(F.col("kind") == "call", F.col("name")))).alias("re_method"))
+    j = methods.join(per, [*keys, "func_ord"], "left")
+    decl = F.concat(F.col("_decl"), F.coalesce(F.col("_locs"), F.array().cast(
+        "array<struct<name:string,type:string,ord:int>>")))
+    j = j.withColumn("_all", decl)
+    latest = F.filter(F.col("_all"), lambda d: ~F.exists(F.col("_all"), lambda e: (e["name"] == d["name"]) & (e["ord"] > d["ord"])))
+    used = F.filter(latest, lambda d: d["name"].isNotNull() & d["type"].isNotNull()
+                    & TX.mentions_variable(F.col("_body"), d["name"]) & ~TX.skipped_type(d["type"]))
+    return j.select(*keys, "func_name",
+                    F.array_sort(F.array_distinct(F.transform(used, lambda d: d["type"]))).alias("re_type"),
+                    F.coalesce("re_method", F.array().cast("array<string>")).alias("re_method"))
+
+
+def accessible_identifiers(scanned: DataFrame, keys: list[str]) -> DataFrame:
+    """D14 + I2: identifiers used in each function's body minus the names
+    declared locally there (``array_except``), sorted.  Needs
+    ``body_tokens=True``; identifiers are grouped per (file, function)."""
+    fs = F.filter(F.col("spans"), lambda s: (s["kind"] == "function") & s["body_start"].isNotNull()
+                  & s["parent_ord"].isNotNull())
+    funcs = _explode(scanned, keys, F.transform(fs, lambda f: F.struct(
+        span_at(f["parent_ord"])["name"].alias("contract_name"), f["name"].alias("func_name"),
+        f["ord"].alias("func_ord"))))
+    kids = _children(scanned, keys, ["ident", "local"])
+    per = kids.groupBy(*keys, F.col("parent_ord").alias("func_ord")).agg(
+        F.array_sort(F.array_except(F.collect_set(F.when(F.col("kind") == "ident", F.col("name"))),
+                                    F.collect_set(F.when(F.col("kind") == "local", F.col("name")))))
+        .alias("identifiers"))
+    return funcs.join(per, [*keys, "func_ord"], "left").withColumn(
+        "identifiers", F.coalesce("identifiers", F.array().cast("array<string>")))

@@ -169,7 +169,7 @@ def strip_private(spark, sf_dir):
 @query
 def text_measures(spark, sf_dir):
     """Collapsed text, non-control length, blank flag, casts."""
-    d = _t(spark, sf_dir, "documents")
+    d = S.balance(_t(spark, sf_dir, "documents"))
     t = F.col("text")
     return d.select("doc_id", TX.collapse_ws(t).alias("collapsed"),
                     TX.non_control_length(t).alias("len_no_control"),
@@ -321,7 +321,7 @@ from codecorpus.operators import training as TR  # noqa: E402
 @query
 def token_filter(spark, sf_dir):
     """H1 + C4: token counts of text and its first line; keep total <= 2048."""
-    d = _t(spark, sf_dir, "documents").select(
+    d = S.balance(_t(spark, sf_dir, "documents")).select(
         "doc_id", "text", F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
     return TR.count_tokens(d, "text", "title").select("doc_id", "len_input", "len_output", "total")
 
@@ -416,3 +416,95 @@ def type_context(spark, sf_dir):
     out = SM.param_context(samples, types.select("proj_name", "relative_path", "qualified_name", "abstract"),
                            JKEYS)
     return out.select(*JKEYS, "class", "name", "param_context")
+
+
+# --- test runs, feedback enrichment, statuses, synthetic inputs, name context --------
+
+from codecorpus.functions import logs as LG  # noqa: E402
+from codecorpus.operators import synth as SY  # noqa: E402
+
+
+@query
+def test_split(spark, sf_dir):
+    """D15 + E15 + E16 + F16: pass-only / fail-only versions of each generated
+    test file, failing names read from the run output."""
+    ev = _t(spark, sf_dir, "events")
+    failing = X.test_logs(ev).select("event_id", LG.failed_test_names(F.col("stdout")).alias("failing"))
+    files = X.test_files(ev).join(failing, "event_id")
+    out = R.split_tests(S.scan_files(files, "test_code", "java"))
+    return out.select("event_id", "n_tests", "pass_test_code", "fail_test_code")
+
+
+@query
+def feedback_lines(spark, sf_dir):
+    """E13 + E14 (+J2): compiler feedback with the offending source line."""
+    fb = R.maven_feedback(X.maven_logs(_t(spark, sf_dir, "events"), MAVEN_BASE), MAVEN_BASE) \
+        .select("event_id", "proj_name", "relative_path", "compiler_feedback")
+    files = X.java_files(_t(spark, sf_dir, "documents")).select("relative_path", "source_code")
+    return R.enrich_feedback(fb, files, ["relative_path"]).select("event_id", "new_compiler_feedback")
+
+
+@query
+def generation_status(spark, sf_dir):
+    """J5 + C12: test generation ok and some test mentions the function."""
+    ev = _t(spark, sf_dir, "events")
+    runs = X.test_logs(ev).select("event_id", "exit_code",
+                                  F.concat(F.lit("test"), (F.col("event_id") % 12).cast("string")).alias("func_name"))
+    tests = X.test_files(ev).withColumnRenamed("test_code", "text")
+    return R.generation_status(runs, tests, ["event_id"]).select("event_id", "func_name", "generate_status")
+
+
+@query
+def build_status(spark, sf_dir):
+    """Per project, whether any run exited 0, and the number of runs."""
+    return R.build_status(X.test_logs(_t(spark, sf_dir, "events")))
+
+
+@query
+def run_status_counts(spark, sf_dir):
+    """G5 + G18: runs per label with the runnable count."""
+    runs = R.runnable_flags(X.test_logs(_t(spark, sf_dir, "events")))
+    return R.success_count(runs, "runnable", ["run_label"])
+
+
+@query
+def jar_choice(spark, sf_dir):
+    """Fat jar of each module's target folder, else its classes folder."""
+    java = X.java_files(_t(spark, sf_dir, "documents"))
+    mods = java.select("proj_name", F.concat(F.split_part("relative_path", F.lit("/src/"), F.lit(1)),
+                                             F.lit("/target")).alias("target_dir")).distinct()
+    return R.jar_choice(mods, X.target_listing(java), ["proj_name", "target_dir"])
+
+
+@query
+def candidate_split(spark, sf_dir):
+    """Every piece of an assistant answer before its last separator."""
+    c = _t(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", F.posexplode(TX.candidates(F.col("text"), ".")).alias("idx", "candidate"))
+
+
+@query
+def java_used_context(spark, sf_dir):
+    """D13 + D16 + C10 + C11 + G7 (H17): types and calls a method uses."""
+    sc = S.materialize(java_scanned(spark, sf_dir, body_tokens=True))
+    out = SM.used_context(sc, JKEYS)
+    return out.select(*JKEYS, "func_name", F.array_join("re_type", ",").alias("re_type"),
+                      F.array_join("re_method", ",").alias("re_method"))
+
+
+@query
+def accessible_identifiers(spark, sf_dir):
+    """D14 + I2: identifiers a Solidity function uses minus its locals."""
+    sc = S.materialize(S.scan_files(X.sol_files(_t(spark, sf_dir, "documents")), "source_code",
+                                    "solidity", body_tokens=True))
+    out = SM.accessible_identifiers(sc, ["source_idx"])
+    return out.select("source_idx", "contract_name", "func_name",
+                      F.array_join("identifiers", ",").alias("identifiers"))
+
+
+@query
+def typed_inputs(spark, sf_dir):
+    """D12 + E18 + K1 + K2: random values for elementary parameters."""
+    params = SY.function_params(sol_scanned(spark, sf_dir), ["source_idx"])
+    out = SY.typed_inputs(params, ["source_idx", "contract_name", "func_name", "func_ord", "pos"])
+    return out.select("source_idx", "contract_name", "func_name", "pos", "type", "name", "value")

@@ -205,3 +205,23 @@ def test_logs(events: DataFrame) -> DataFrame:
         F.concat(F.lit("own_src"), (F.col("user_id") % 20).cast("string")).alias("proj_name"),
         F.expr("cast(if(event_type in ('click', 'error'), 1, 0) as int)").alias("exit_code"),
         F.expr(out).alias("stdout"))
+
+
+def test_files(events: DataFrame) -> DataFrame:
+    """(event_id, test_code): the generated JUnit file of each test run, ten
+    test methods ``test0``..``test9``."""
+    one = ("'\\n  @Test\\n  public void test', k, '() throws Throwable {\\n    int v = ', k,"
+           " ';\\n    if (v > 0) { v--; }\\n  }\\n'")
+    body = f"array_join(transform(sequence(0, 9), k -> concat({one})), '')"
+    return events.select("event_id", F.expr(
+        "concat('package p;\\n\\nimport org.junit.Test;\\n\\npublic class RegressionTest0 {\\n', "
+        + body + ", '}\\n')").alias("test_code"))
+
+
+def target_listing(java: DataFrame) -> DataFrame:
+    """(proj_name, target_dir, name): build outputs found in each module's
+    target folder: a fat jar for doc_id%3=0, a plain jar for doc_id%3=1."""
+    mod = F.split_part(F.col("relative_path"), F.lit("/src/"), F.lit(1))
+    return java.where("doc_id % 3 < 2").select(
+        "proj_name", F.concat(mod, F.lit("/target")).alias("target_dir"),
+        F.expr("concat('x-', doc_id, if(doc_id % 3 = 0, '-jar-with-dependencies.jar', '.jar'))").alias("name"))

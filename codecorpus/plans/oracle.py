@@ -613,3 +613,100 @@ SELECT c.proj_name, c.relative_path,
 FROM java_l l JOIN java_head c ON c.d = l.d
 LEFT JOIN types t ON t.proj_name = c.proj_name AND t.qualified_name = 'p' || (l.d % 7) || '.C' || (l.d + 7)
 """
+
+TEST_LOG = r"""
+fails AS (
+  SELECT e.event_id, list((e.event_id + n) % 10) AS f
+  FROM events e, range(1, 4) r(n) WHERE e.event_type = 'click' AND n <= 1 + e.event_id % 3 GROUP BY e.event_id
+),
+tcase AS (
+  SELECT k, E'\n  @Test\n  public void test' || k || E'() throws Throwable {\n    int v = ' || k || E';\n    if (v > 0) { v--; }\n  }\n' AS code
+  FROM range(0, 10) r(k)
+)"""
+
+ORACLE["test_split"] = "WITH " + TEST_LOG + r"""
+SELECT e.event_id, 10 AS n_tests,
+  E'package p;\n\nimport org.junit.Test;\n\npublic class RegressionPassTest0 {\n'
+    || (SELECT string_agg(CASE WHEN list_contains(coalesce(f.f, []), t.k) THEN E'\n  \n' ELSE t.code END, '' ORDER BY t.k) FROM tcase t)
+    || E'}\n' AS pass_test_code,
+  E'package p;\n\nimport org.junit.Test;\n\npublic class RegressionFailTest0 {\n'
+    || (SELECT string_agg(CASE WHEN list_contains(coalesce(f.f, []), t.k) THEN t.code ELSE E'\n  \n' END, '' ORDER BY t.k) FROM tcase t)
+    || E'}\n' AS fail_test_code
+FROM events e LEFT JOIN fails f ON f.event_id = e.event_id
+"""
+
+ORACLE["feedback_lines"] = "WITH " + JAVA_FILE + ", " + MAVEN_LOGS + r""",
+fb AS (
+  SELECT l.event_id, l.proj_name, l.relative_path,
+    CASE WHEN l.fill_failed THEN '<execute_error>' WHEN m.entries IS NULL THEN '<success>'
+         ELSE array_to_string(m.entries, E'\n') END AS compiler_feedback
+  FROM mvn_logs l LEFT JOIN mvn_entries m USING (event_id)
+),
+ent AS (
+  SELECT fb.event_id, fb.proj_name, fb.relative_path, j.source_code, u.e, u.i
+  FROM fb JOIN java_file j ON j.relative_path = fb.relative_path,
+       unnest(string_split(fb.compiler_feedback, E'\n')) WITH ORDINALITY AS u(e, i)
+)
+SELECT event_id, coalesce(string_agg(
+  CASE WHEN regexp_extract(e, '<file>(.*?)<line>(\d+)<col>(\d+)<err>(.*)', 1) = proj_name || '/' || relative_path
+       THEN '<file>' || regexp_extract(e, '<file>(.*?)<line>(\d+)<col>(\d+)<err>(.*)', 1)
+         || '<line>' || regexp_extract(e, '<file>(.*?)<line>(\d+)<col>(\d+)<err>(.*)', 2)
+         || '<col>' || regexp_extract(e, '<file>(.*?)<line>(\d+)<col>(\d+)<err>(.*)', 3)
+         || '<line_of_code>' || coalesce(string_split(source_code, E'\n')[CAST(regexp_extract(e, '<file>(.*?)<line>(\d+)<col>(\d+)<err>(.*)', 2) AS INTEGER)], '')
+         || '<err>' || regexp_extract(e, '<file>(.*?)<line>(\d+)<col>(\d+)<err>(.*)', 4)
+       ELSE e END, E'\n' ORDER BY i) FILTER (WHERE regexp_matches(e, '<file>(.*?)<line>(\d+)<col>(\d+)<err>(.*)')), '') AS new_compiler_feedback
+FROM ent GROUP BY event_id
+"""
+
+ORACLE["generation_status"] = r"""
+SELECT event_id, 'test' || (event_id % 12) AS func_name,
+  event_type NOT IN ('click', 'error') AND event_id % 12 < 10 AS generate_status
+FROM events
+"""
+
+ORACLE["build_status"] = r"""
+SELECT 'own_src' || CAST(user_id % 20 AS VARCHAR) AS proj_name,
+  bool_or(event_type NOT IN ('click', 'error')) AS builds, count(*) AS n_runs
+FROM events GROUP BY 1
+"""
+
+ORACLE["run_status_counts"] = r"""
+SELECT CASE WHEN event_type NOT IN ('click', 'error') THEN 'ok' WHEN event_type = 'click' THEN 'some_fail' ELSE 'cannot_run' END AS run_label,
+  count(*) FILTER (WHERE event_type <> 'error') AS n_true, count(*) AS n
+FROM events GROUP BY 1
+"""
+
+ORACLE["jar_choice"] = r"""
+SELECT 'own_' || source AS proj_name, 'mod/target' AS target_dir,
+  CASE WHEN count(*) FILTER (WHERE doc_id % 3 < 2) = 0 THEN ''
+       ELSE coalesce('mod/target/' || min('x-' || doc_id || '-jar-with-dependencies.jar') FILTER (WHERE doc_id % 3 = 0),
+                     'mod/target/classes') END AS jar
+FROM documents GROUP BY 1
+"""
+
+ORACLE["candidate_split"] = r"""
+SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS idx, candidate FROM (
+  SELECT conv_id, turn, u.candidate, u.i
+  FROM conversations, unnest(string_split(text, '.')[1:len(string_split(text, '.')) - 1]) WITH ORDINALITY AS u(candidate, i)
+  WHERE role = 'assistant')
+"""
+
+ORACLE["java_used_context"] = "WITH " + JAVA + r"""
+SELECT c.proj_name, c.relative_path, 'f' || k AS func_name,
+  CASE WHEN max(l.i) % 2 = 1 THEN 'C' || (c.d + 7) ELSE '' END AS re_type, '' AS re_method
+FROM (SELECT *, i // 2 AS k FROM java_l) l JOIN java_head c ON c.d = l.d
+GROUP BY c.proj_name, c.relative_path, c.d, k
+"""
+
+KEYWORDS = ("['return', 'new', 'throw', 'if', 'else', 'for', 'while', 'do', 'switch', 'case', 'try', 'catch',"
+            " 'finally', 'break', 'continue', 'assert', 'yield', 'emit', 'require', 'revert', 'delete', 'this', 'super']")
+
+ORACLE["accessible_identifiers"] = "WITH " + SOL + r"""
+SELECT d AS source_idx, 'C' || d AS contract_name, 'f' || (i // 2) AS func_name,
+  array_to_string(list_sort(list_distinct(list_filter(string_split(x, ' '),
+    lambda w: regexp_matches(w, '^[A-Za-z_]') AND NOT list_contains(""" + KEYWORDS + r""", w)))), ',') AS identifiers
+FROM sol_l
+UNION ALL SELECT d, name, 'g' || d || '_' || k, '' FROM base_c
+UNION ALL SELECT d, name, 'h' || d || '_' || k, '' FROM base_c
+UNION ALL SELECT d, name, 'm' || d, 'v' FROM side_c
+"""

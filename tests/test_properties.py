@@ -72,3 +72,22 @@ def test_inheritance_terminates_on_cycles(spark):
     out = {r["contract_name"]: list(r["inherit_elements"]) for r in J.inherited_elements(sc, ["source_idx"]).collect()}
     assert out["C"] == ["uint256 public a;", "uint256 public b;"]
     assert out["A"] == ["uint256 public b;"]
+
+
+def test_typed_inputs_ranges_and_determinism(spark):
+    src = ("contract A {\n  function f(uint8 a, int16 b, bool c, address d, string memory e, uint256[3] memory g,"
+           " bytes32 h) public { }\n}\n")
+    df = spark.createDataFrame([(7, src)], "source_idx long, source_code string")
+    from codecorpus.operators import synth as SY
+    from codecorpus import constants as K
+    sc = S.scan_files(df, "source_code", "solidity")
+    params = SY.function_params(sc, ["source_idx"])
+    rows = {r["name"]: r["value"] for r in SY.typed_inputs(params, ["source_idx", "func_name", "pos"]).collect()}
+    assert set(rows) == {"a", "b", "c", "d", "e", "g"}  # bytes32 is not elementary here
+    assert 0 <= int(rows["a"]) < 256 and -32768 <= int(rows["b"]) < 32768
+    assert rows["c"] in ("true", "false") and rows["d"] in K.ADDRESSES
+    assert len(rows["e"]) == 10 and all(32 <= ord(ch) <= 126 for ch in rows["e"])
+    g = rows["g"].strip("[]").split(", ")
+    assert len(g) == 3 and all(0 <= int(x) < 2 ** 256 for x in g)
+    again = {r["name"]: r["value"] for r in SY.typed_inputs(params, ["source_idx", "func_name", "pos"]).collect()}
+    assert again == rows
