@@ -359,3 +359,13 @@ def accessible_identifiers(scanned: DataFrame, keys: list[str]) -> DataFrame:
         .alias("identifiers"))
     return funcs.join(per, [*keys, "func_ord"], "left").withColumn(
         "identifiers", F.coalesce("identifiers", F.array().cast("array<string>")))
+
+
+def ast_json(scanned: DataFrame, keys: list[str], text: str = "source_code",
+             error_sentinel: str = "<PARSER_ERROR>") -> DataFrame:
+    """D6 + C9: the file's spans as a JSON column; a file the scanner could
+    not read (NULL spans) gets the sentinel and ``status='parse_error'``."""
+    return scanned.select(
+        *keys,
+        F.when(F.col("spans").isNull(), F.lit(error_sentinel)).otherwise(F.to_json("spans")).alias("ast"),
+        F.when(F.col("spans").isNull(), F.lit("parse_error")).otherwise(F.lit("ok")).alias("status"))

@@ -508,3 +508,66 @@ def typed_inputs(spark, sf_dir):
     params = SY.function_params(sol_scanned(spark, sf_dir), ["source_idx"])
     out = SY.typed_inputs(params, ["source_idx", "contract_name", "func_name", "func_ord", "pos"])
     return out.select("source_idx", "contract_name", "func_name", "pos", "type", "name", "value")
+
+
+# --- lookups, profiles, anti-joins, row ranges ------------------------------------------
+
+@query
+def lookup_chain(spark, sf_dir):
+    """two-hop lookup lineitem -> orders -> customer (left joins; a
+    missing key shows as NULL instead of failing the job)."""
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    o = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name")
+    return li.join(o, "l_orderkey", "left").join(c, "o_custkey", "left") \
+        .select("l_orderkey", "l_linenumber", "o_custkey", "c_name")
+
+
+@query
+def profile(spark, sf_dir):
+    """G3 (+G1, G2, G15): count, distinct, top value and its frequency of
+    ``lang`` and ``source``."""
+    d = _t(spark, sf_dir, "documents").select("lang", "source")
+    out = None
+    for col in ("lang", "source"):
+        vc = d.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("freq"))
+        row = vc.agg(F.sum("freq").alias("count"), F.count("value").alias("unique"),
+                     F.min_by("value", F.struct(-F.col("freq"), F.col("value"))).alias("top"),
+                     F.max("freq").alias("freq")).withColumn("column", F.lit(col))
+        out = row if out is None else out.unionByName(row)
+    return out.select("column", "count", "unique", "top", "freq")
+
+
+@query
+def new_repos(spark, sf_dir):
+    """F2 + B3: repositories (owner_repo of page URLs) not yet cloned; the
+    clone listing is the pages with page_id % 3 = 0."""
+    p = _t(spark, sf_dir, "pages").select("page_id", P.owner_repo(F.col("url")).alias("owner_repo"))
+    cloned = p.where(F.col("page_id") % 3 == 0).select("owner_repo")
+    return p.join(cloned, "owner_repo", "left_anti").select("page_id", "owner_repo")
+
+
+@query
+def first_rows(spark, sf_dir):
+    """The first 100 documents in doc_id order (a limit is the feature)."""
+    return _t(spark, sf_dir, "documents").select("doc_id", "source").orderBy("doc_id").limit(100)
+
+
+@query
+def row_range(spark, sf_dir):
+    """C14: rows [10, 30) of documents in doc_id order."""
+    return _t(spark, sf_dir, "documents").select("doc_id", "lang").orderBy("doc_id").offset(10).limit(20)
+
+
+@query
+def inspect_rows(spark, sf_dir):
+    """Three rows for inspection in md5 order (seed 42)."""
+    return G.inspect_sample(_t(spark, sf_dir, "conversations").select("conv_id", "turn", "role"),
+                            "conv_id", 3, 42)
+
+
+@query
+def ast_json(spark, sf_dir):
+    """D6 + C9: span JSON per Solidity file with a parse-error sentinel."""
+    return SM.ast_json(sol_scanned(spark, sf_dir), ["source_idx"]).select(
+        "source_idx", F.length("ast").alias("ast_chars"), "status")

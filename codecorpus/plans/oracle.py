@@ -710,3 +710,30 @@ UNION ALL SELECT d, name, 'g' || d || '_' || k, '' FROM base_c
 UNION ALL SELECT d, name, 'h' || d || '_' || k, '' FROM base_c
 UNION ALL SELECT d, name, 'm' || d, 'v' FROM side_c
 """
+
+ORACLE["lookup_chain"] = r"""
+SELECT l.l_orderkey, l.l_linenumber, o.o_custkey, c.c_name
+FROM lineitem l LEFT JOIN orders o ON o.o_orderkey = l.l_orderkey LEFT JOIN customer c ON c.c_custkey = o.o_custkey
+"""
+
+ORACLE["profile"] = r"""
+SELECT 'lang' AS column, sum(freq) AS count, count(value) AS unique,
+  arg_min(value, struct_pack(f := -freq, v := value)) AS top, max(freq) AS freq
+FROM (SELECT lang AS value, count(*) AS freq FROM documents GROUP BY 1)
+UNION ALL
+SELECT 'source', sum(freq), count(value), arg_min(value, struct_pack(f := -freq, v := value)), max(freq)
+FROM (SELECT source AS value, count(*) AS freq FROM documents GROUP BY 1)
+"""
+
+ORACLE["new_repos"] = r"""
+WITH p AS (SELECT page_id, string_split(url, '/')[-2] || '_' || string_split(url, '/')[-1] AS owner_repo FROM pages)
+SELECT page_id, owner_repo FROM p WHERE owner_repo NOT IN (SELECT owner_repo FROM p WHERE page_id % 3 = 0)
+"""
+
+ORACLE["first_rows"] = "SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 100"
+
+ORACLE["row_range"] = "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 20 OFFSET 10"
+
+ORACLE["inspect_rows"] = r"""
+SELECT conv_id, turn, role FROM conversations ORDER BY md5('42:' || conv_id), conv_id LIMIT 3
+"""
