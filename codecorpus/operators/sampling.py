@@ -85,14 +85,18 @@ def global_index(df: DataFrame, order: list[str], out: str = "idx",
                  partitions: int | None = None, with_total: bool = False) -> DataFrame:
     """Dense 0-based row index in ``order`` without a single-partition window.
 
-    Range-partition on ``order``, number rows inside each partition
-    (``monotonically_increasing_id`` holds partition id and position), and
-    add the row count of all earlier partitions.  The per-partition count
-    table has one row per partition, so broadcasting it is size-bounded.
+    Range-partition on ``order`` (checkpointed once), number rows inside each
+    partition (``monotonically_increasing_id`` holds partition id and
+    position), and add the row count of all earlier partitions.  The
+    per-partition count table has one row per partition, so broadcasting it
+    is size-bounded.
     """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_mid", F.monotonically_increasing_id()))
+    # Range bounds come from sampling, so two evaluations could cut the data
+    # differently: materialise the partitioned, sorted rows once (reliable
+    # checkpoint) and take both the counts and the positions from that copy.
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    ranged = ranged.withColumn("_mid", F.monotonically_increasing_id())
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33)) \
         .withColumn("_pos", F.col("_mid").bitwiseAND((1 << 33) - 1))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

@@ -24,6 +24,11 @@ DEFAULTS = {
     # Arrow batches into the span scanner: bounded rows per batch so a batch of
     # large files stays small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Broadcast only on measured sizes: no planning-time broadcast from
+    # estimates (which are unreliable after explode / checkpoint); AQE turns a
+    # sort-merge join into a broadcast when the materialised side is small.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
 }
 
 
