@@ -375,6 +375,7 @@ def fim_prompts(spark, sf_dir):
                     TR.psm_prompt(masked).alias("prompt_psm"),
                     TR.marker_status(masked).alias("marker_status"),
                     TR.task_source("refine", masked, out, F.col("compile_info")).alias("source_refine"),
+                    TR.psm_source(masked, out).alias("source_psm"),
                     TR.target(F.col("func_body")).alias("target"))
 
 
@@ -571,3 +572,56 @@ def ast_json(spark, sf_dir):
     """D6 + C9: span JSON per Solidity file with a parse-error sentinel."""
     return SM.ast_json(sol_scanned(spark, sf_dir), ["source_idx"]).select(
         "source_idx", F.length("ast").alias("ast_chars"), "status")
+
+
+# --- match-back, first-match refill, histogram of overloads ------------------------------
+
+def _expected_java(spark, sf_dir):
+    """Expected (file, func_name, func_body) rows: one per cleaned line of a
+    document, with different white space than the file."""
+    d = X.doc_lines(_t(spark, sf_dir, "documents"))
+    rel = F.concat(F.lit("mod/src/"), F.when(F.col("doc_id") % 10 == 9, F.lit("test")).otherwise(F.lit("main")),
+                   F.lit("/java/p"), (F.col("doc_id") % 7).cast("string"), F.lit("/C"),
+                   F.col("doc_id").cast("string"), F.lit(".java"))
+    return d.select(F.concat(F.lit("own_"), F.col("source")).alias("proj_name"), rel.alias("relative_path"),
+                    F.posexplode("ls").alias("i", "x")) \
+        .select("proj_name", "relative_path", F.concat(F.lit("f"), F.floor(F.col("i") / 2).cast("string")).alias("func_name"),
+                F.concat(F.lit("\n\t"), F.col("x"), F.lit("  ")).alias("func_body"))
+
+
+@query
+def match_back(spark, sf_dir):
+    """F17 + C8: masked samples re-derived where name and white-space-normalised
+    body equal an expected row (all matches kept)."""
+    samples = SM.java_methods(java_scanned(spark, sf_dir), JKEYS)
+    out = SM.java_match_back(samples, _expected_java(spark, sf_dir), JKEYS)
+    return out.select(*JKEYS, "class_name", "func_name", "func_body", "masked_class")
+
+
+@query
+def java_refill(spark, sf_dir):
+    """F3 + F4 + E7 + E9: model output put into the masked class, spliced
+    into the file at the first method with that class and name."""
+    sc = S.materialize(java_scanned(spark, sf_dir))
+    samples = SM.java_methods(sc, JKEYS).select(*JKEYS, "class_name", "func_name", "masked_class",
+                                                F.upper("func_body").alias("output"))
+    out = J.refill_java_class(samples, sc, JKEYS, "output")
+    return out.select(*JKEYS, "class_name", "func_name", "status", "filled_file")
+
+
+@query
+def refill_contracts(spark, sf_dir):
+    """Python-style refill of the masked main contract into its file."""
+    sc = S.materialize(sol_scanned(spark, sf_dir))
+    samples = (SM.contract_functions(sc, ["source_idx"]).where(F.col("contract_name").startswith("C"))
+               .select("source_idx", "contract_name", "func_name", "masked_contract",
+                       F.upper("func_body").alias("output")))
+    out = J.refill_contract(samples, sc, ["source_idx"], "output")
+    return out.select("source_idx", "contract_name", "func_name", "source_code_filled")
+
+
+@query
+def overload_histogram(spark, sf_dir):
+    """Functions (and names) by number of same-name functions in the contract."""
+    fns = SM.contract_functions(sol_scanned(spark, sf_dir), ["source_idx"])
+    return G.count_histogram(fns, ["source_idx", "contract_name", "func_name"])

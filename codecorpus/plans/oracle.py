@@ -556,6 +556,8 @@ SELECT f.source_idx, f.contract_name, f.func_name,
   'ok' AS marker_status,
   '<｜fim▁begin｜>' || replace(f.masked_body, '<FILL_FUNCTION_BODY>', '<｜fim▁hole｜>') || '<｜fim▁end｜>'
     || E'\n<ouput>\n' || upper(f.func_body) || E'\n<compile>\n' || replace(c.compile_info, '<COMPILED_SUCCESSFULLY>', 'success') || E'\n<correct> ' AS source_refine,
+  '▁<PRE>' || split_part(f.masked_body, '<FILL_FUNCTION_BODY>', 1) || '▁<SUF>' || split_part(f.masked_body, '<FILL_FUNCTION_BODY>', 2) || '▁<MID>'
+    || E'\n' || upper(f.func_body) || E'\n<correct>' AS source_psm,
   f.func_body || E'\n<|EOT|>' AS target
 FROM h14 f LEFT JOIN compiled c ON c.event_id = f.source_idx
 """
@@ -737,3 +739,41 @@ ORACLE["row_range"] = "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT
 ORACLE["inspect_rows"] = r"""
 SELECT conv_id, turn, role FROM conversations ORDER BY md5('42:' || conv_id), conv_id LIMIT 3
 """
+
+
+ORACLE["match_back"] = "WITH " + JAVA + r"""
+, m AS (
+  SELECT proj_name, relative_path, d, i, 'f' || (i // 2) AS func_name, body,
+    left(c_text, CAST(off + length(nopen) + length(cm) + length(sig) AS BIGINT)) || '<FILL_FUNCTION_BODY>'
+    || substr(c_text, CAST(off + length(nopen) + length(cm) + length(sig) + length(body) + 1 AS BIGINT)) AS masked_class
+  FROM java_fn
+)
+SELECT proj_name, relative_path, 'C' || d AS class_name, func_name, body AS func_body, masked_class
+FROM m WHERE EXISTS (SELECT 1 FROM lines e WHERE e.d = m.d AND 'f' || (e.i // 2) = m.func_name AND e.x = trim(m.body))
+"""
+
+ORACLE["java_refill"] = "WITH " + JAVA_FILE + r"""
+SELECT f.proj_name, f.relative_path, 'C' || f.d AS class_name, 'f' || (f.i // 2) AS func_name, 'ok' AS status,
+  'package p' || (f.d % 7) || E';\n\nimport java.util.List;\n\n/** Class C' || f.d || E'. */\npublic '
+  || left(f.c_text, CAST(f.off + length(f.nopen) + length(f.cm) + length(f.sig) AS BIGINT)) || upper(f.body)
+  || substr(f.c_text, CAST(f.off + length(f.nopen) + length(f.cm) + length(f.sig) + length(f.body) + 1 AS BIGINT)) || E'\n' AS filled_file
+FROM java_fn f
+"""
+
+ORACLE["refill_contracts"] = "WITH " + SOL_FILE + r"""
+SELECT f.d AS source_idx, 'C' || f.d AS contract_name, 'f' || (f.i // 2) AS func_name,
+  left(s.source_code, CAST(length(s.source_code) - length(f.c_text) - 1 AS BIGINT))
+  || left(f.c_text, CAST(f.off + length(f.cm) + length(f.sig) AS BIGINT)) || upper(f.body) || E'\n'
+  || substr(f.c_text, CAST(f.off + length(f.cm) + length(f.sig) + length(f.body) + 1 AS BIGINT)) || E'\n' AS source_code_filled
+FROM sol_fn f JOIN sol_file s ON s.d = f.d
+"""
+
+ORACLE["overload_histogram"] = "WITH " + SOL + r"""
+, names AS (
+  SELECT d, 'C' || d AS c, 'f' || (i // 2) AS n, count(*) AS k FROM sol_l GROUP BY 1, 2, 3
+  UNION ALL SELECT d, name, 'g', 1 FROM base_c
+  UNION ALL SELECT d, name, 'h', 1 FROM base_c
+  UNION ALL SELECT d, name, 'm', 1 FROM side_c
+)
+SELECT k AS n_matches, sum(k) AS n_rows, count(*) AS n_keys FROM names GROUP BY k
+"""
