@@ -276,8 +276,10 @@ def param_context(samples: DataFrame, types: DataFrame, keys: list[str], project
     """
     from codecorpus import constants as K
 
-    s = samples.withColumn("_sid", F.monotonically_increasing_id())
-    p = s.select("_sid", project, package, F.posexplode_outer("parameters").alias("pos", "p"))
+    from codecorpus.operators.joins import with_row_id
+    s = with_row_id(samples)
+    p = s.select("_sid", project, package, F.posexplode_outer("parameters").alias("pos", "p")) \
+        .dropDuplicates(["_sid", "pos"])
     p = p.withColumn("qualified_name", F.when(F.col("p.type").contains("."), F.col("p.type"))
                      .otherwise(F.concat_ws(".", F.col(package), F.col("p.type"))))
     ty = types.groupBy(project, "qualified_name").agg(F.min_by("abstract", F.col(keys[-1])).alias("abstract"))
