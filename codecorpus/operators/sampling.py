@@ -95,7 +95,8 @@ def global_index(df: DataFrame, order: list[str], out: str = "idx",
     # Range bounds come from sampling, so two evaluations could cut the data
     # differently: materialise the partitioned, sorted rows once (reliable
     # checkpoint) and take both the counts and the positions from that copy.
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    from codecorpus.session import checkpoint
+    ranged = checkpoint(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
     ranged = ranged.withColumn("_mid", F.monotonically_increasing_id())
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", 33)) \
         .withColumn("_pos", F.col("_mid").bitwiseAND((1 << 33) - 1))

@@ -114,7 +114,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once and cut its lineage (reliable checkpoint in the
     cluster's checkpoint folder), for a scanned table that feeds several
     branches of a plan: without it each branch would re-run the scan."""
-    return df.checkpoint(eager=True)
+    from codecorpus.session import checkpoint
+    return checkpoint(df)
 
 
 def extract_spans(files: DataFrame, keys: list[str] | str, text: str = "source_code",
