@@ -20,18 +20,20 @@ FIELDS = ("kind", "name", "ord", "start", "end", "kw_start", "body_start", "body
           "parent_ord", "depth", "visibility", "modifiers", "type", "params", "bases",
           "interfaces", "n_statements", "head_end", "gap_end")
 
-_TOKEN = re.compile(r'''
- (?P<ws>\s+)
-|(?P<lc>//[^\n]*)
-|(?P<bc>/\*.*?\*/)
-|(?P<ubc>/\*.*)
-|(?P<tb>""".*?(?:"""|\Z))
-|(?P<str>"(?:[^"\\\n]|\\.)*"?)
-|(?P<chr>'(?:[^'\\\n]|\\.)*'?)
-|(?P<id>[A-Za-z_$][A-Za-z0-9_$]*)
-|(?P<num>[0-9][A-Za-z0-9_.]*)
-|(?P<p>.)
-''', re.S | re.X)
+# one token per match; leading white space is consumed by the same match
+_TOKEN = re.compile(r'''\s*(?:
+ (//[^\n]*)
+|(/\*.*?\*/)
+|(/\*.*)
+|(""".*?(?:"""|\Z))
+|("(?:[^"\\\n]|\\.)*"?)
+|('(?:[^'\\\n]|\\.)*'?)
+|([A-Za-z_$][A-Za-z0-9_$]*)
+|([0-9][A-Za-z0-9_.]*)
+|(\S)
+)''', re.S | re.X)
+# group numbers: 1 line comment, 2 block comment, 3 unterminated block,
+# 4 text block, 5 string, 6 char, 7 identifier, 8 number, 9 punctuation
 
 JAVA_TYPE_KW = {"class", "interface", "enum", "record"}
 SOL_TYPE_KW = {"contract", "interface", "library"}
@@ -48,25 +50,24 @@ STATEMENT_KW = {"return", "new", "throw", "if", "else", "for", "while", "do", "s
 def _tokens(text: str):
     """(kind, start, end, value) for code tokens; comments returned apart."""
     toks, comments = [], []
+    append = toks.append
     for m in _TOKEN.finditer(text):
-        k = m.lastgroup
-        if k == "ws":
-            continue
-        s, e = m.span()
-        if k == "lc":
+        k = m.lastindex
+        s, e = m.span(k)
+        if k == 7:
+            append(("id", s, e, m.group(7)))
+        elif k == 9:
+            append(("p", s, e, m.group(9)))
+        elif k == 1:
             comments.append(("line", s, e))
-        elif k == "bc":
+        elif k == 2:
             comments.append(("block", s, e))
-        elif k == "ubc":
+        elif k == 3:
             break  # unterminated block comment: rest of the file is not code
-        elif k in ("str", "chr", "tb"):
-            toks.append(("s", s, e, None))
-        elif k == "id":
-            toks.append(("id", s, e, m.group()))
-        elif k == "num":
-            toks.append(("n", s, e, None))
+        elif k == 8:
+            append(("n", s, e, None))
         else:
-            toks.append(("p", s, e, m.group()))
+            append(("s", s, e, None))
     return toks, comments
 
 
