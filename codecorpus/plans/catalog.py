@@ -284,7 +284,7 @@ def inherited_members(spark, sf_dir):
 
 def _refill_samples(spark, sf_dir):
     sc = S.materialize(sol_scanned(spark, sf_dir))  # samples, candidates and files
-    samples = (SM.contract_functions(sc, ["source_idx"]).where(F.col("contract_name").startswith("C"))
+    samples = (SM.contract_functions(sc, ["source_idx"])
                .select("source_idx", "contract_name", "func_name", "func_body",
                        F.upper("func_body").alias("deepseek_output")))
     return sc, samples
@@ -608,9 +608,9 @@ def java_refill(spark, sf_dir):
 
 @query
 def refill_contracts(spark, sf_dir):
-    """Python-style refill of the masked main contract into its file."""
+    """Python-style refill of each masked contract into its file."""
     sc = S.materialize(sol_scanned(spark, sf_dir))
-    samples = (SM.contract_functions(sc, ["source_idx"]).where(F.col("contract_name").startswith("C"))
+    samples = (SM.contract_functions(sc, ["source_idx"])
                .select("source_idx", "contract_name", "func_name", "masked_contract",
                        F.upper("func_body").alias("output")))
     out = J.refill_contract(samples, sc, ["source_idx"], "output")

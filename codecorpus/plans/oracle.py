@@ -458,43 +458,45 @@ FROM roots r LEFT JOIN agg a ON a.d = r.d AND a.root = r.root
 """
 
 # Dice similarity of lower-cased, white-space-free bodies among same-name
-# overloads of C<d>; the winner is the most similar (ties: file order).
-SIM = SOL_FILE + r""",
+# functions of a contract; the winner is the most similar (ties: file order).
+# A contract's offset in its file is where its (unique) text occurs.
+SIM = ALL_FN + r""",
 cand AS (
-  SELECT f.d, f.i, 'f' || (f.i // 2) AS fname, f.body, f.x,
-    length(s.source_code) - length(f.c_text) - 1 + f.off + length(f.cm) + length(f.sig) AS abs_bs,
+  SELECT f.d, f.contract, f.fpos AS i, f.fname, f.body,
+    strpos(s.source_code, f.cs) - 1 + f.bs AS abs_bs,
     regexp_replace(lower(f.body), '\s+', '', 'g') AS nb
-  FROM sol_fn f JOIN sol_file s ON s.d = f.d
+  FROM all_fn f JOIN sol_file s ON s.d = f.d
 ),
 pairs AS (
-  SELECT a.d, a.i AS si, b.i AS ci, a.fname, a.body AS sbody, b.body AS cbody, b.abs_bs, a.nb AS sa, b.nb AS cb
-  FROM cand a JOIN cand b ON a.d = b.d AND a.fname = b.fname
+  SELECT a.d, a.contract, a.i AS si, b.i AS ci, a.fname, a.body AS sbody, b.body AS cbody, b.abs_bs, a.nb AS sa, b.nb AS cb
+  FROM cand a JOIN cand b ON a.d = b.d AND a.contract = b.contract AND a.fname = b.fname
 ),
-bg_s AS (SELECT d, si, ci, substr(sa, g, 2) AS bg, count(*) AS c
+bg_s AS (SELECT d, contract, si, ci, substr(sa, g, 2) AS bg, count(*) AS c
          FROM (SELECT *, unnest(range(1, length(sa))) AS g FROM pairs) GROUP BY ALL),
-bg_c AS (SELECT d, si, ci, substr(cb, g, 2) AS bg, count(*) AS c
+bg_c AS (SELECT d, contract, si, ci, substr(cb, g, 2) AS bg, count(*) AS c
          FROM (SELECT *, unnest(range(1, length(cb))) AS g FROM pairs) GROUP BY ALL),
-inter AS (SELECT s.d, s.si, s.ci, sum(least(s.c, c.c)) AS hit FROM bg_s s JOIN bg_c c USING (d, si, ci, bg) GROUP BY ALL),
+inter AS (SELECT s.d, s.contract, s.si, s.ci, sum(least(s.c, c.c)) AS hit
+          FROM bg_s s JOIN bg_c c USING (d, contract, si, ci, bg) GROUP BY ALL),
 scored AS (
   SELECT p.*, CASE WHEN p.sa = p.cb THEN 1.0 WHEN length(p.sa) < 2 OR length(p.cb) < 2 THEN 0.0
                    ELSE 2.0 * coalesce(i.hit, 0) / (length(p.sa) + length(p.cb) - 2) END AS sim,
-         count(*) OVER (PARTITION BY p.d, p.si) AS ncand
-  FROM pairs p LEFT JOIN inter i USING (d, si, ci)
+         count(*) OVER (PARTITION BY p.d, p.contract, p.si) AS ncand
+  FROM pairs p LEFT JOIN inter i USING (d, contract, si, ci)
 ),
 chosen AS (
-  SELECT d, si, arg_min(struct_pack(ci := ci, bs := abs_bs, sim := sim, cbody := cbody), struct_pack(ns := -sim, c := ci)) AS c,
+  SELECT d, contract, si, arg_min(struct_pack(ci := ci, bs := abs_bs, sim := sim, cbody := cbody), struct_pack(ns := -sim, c := ci)) AS c,
          any_value(fname) AS fname, any_value(sbody) AS sbody
-  FROM scored WHERE ncand = 1 OR sim > 0 GROUP BY d, si
+  FROM scored WHERE ncand = 1 OR sim > 0 GROUP BY d, contract, si
 )"""
 
 ORACLE["similar_overload"] = "WITH " + SIM + r"""
-SELECT d AS source_idx, 'C' || d AS contract_name, fname AS func_name, sbody AS func_body,
+SELECT d AS source_idx, contract AS contract_name, fname AS func_name, sbody AS func_body,
   CAST(c.bs AS INTEGER) AS body_start, round(c.sim, 6) AS sim
 FROM chosen
 """
 
 ORACLE["refill_files"] = "WITH " + SIM + r"""
-SELECT ch.d AS source_idx, 'C' || ch.d AS contract_name, ch.fname AS func_name,
+SELECT ch.d AS source_idx, ch.contract AS contract_name, ch.fname AS func_name,
   left(s.source_code, CAST(ch.c.bs AS BIGINT)) || ch.sbody || E'\n' || substr(s.source_code, CAST(ch.c.bs + length(ch.c.cbody) + 1 AS BIGINT)) AS filled_source_body,
   left(s.source_code, CAST(ch.c.bs AS BIGINT)) || upper(ch.sbody) || E'\n' || substr(s.source_code, CAST(ch.c.bs + length(ch.c.cbody) + 1 AS BIGINT)) AS filled_source_deepseek
 FROM chosen ch JOIN sol_file s ON s.d = ch.d
@@ -760,12 +762,13 @@ SELECT f.proj_name, f.relative_path, 'C' || f.d AS class_name, 'f' || (f.i // 2)
 FROM java_fn f
 """
 
-ORACLE["refill_contracts"] = "WITH " + SOL_FILE + r"""
-SELECT f.d AS source_idx, 'C' || f.d AS contract_name, 'f' || (f.i // 2) AS func_name,
-  left(s.source_code, CAST(length(s.source_code) - length(f.c_text) - 1 AS BIGINT))
-  || left(f.c_text, CAST(f.off + length(f.cm) + length(f.sig) AS BIGINT)) || upper(f.body) || E'\n'
-  || substr(f.c_text, CAST(f.off + length(f.cm) + length(f.sig) + length(f.body) + 1 AS BIGINT)) || E'\n' AS source_code_filled
-FROM sol_fn f JOIN sol_file s ON s.d = f.d
+ORACLE["refill_contracts"] = "WITH " + ALL_FN + r"""
+SELECT h.source_idx, h.contract_name, h.func_name,
+  left(s.source_code, CAST(strpos(s.source_code, f.cs) - 1 AS BIGINT))
+  || replace(h.masked_body, '<FILL_FUNCTION_BODY>', upper(h.func_body) || E'\n')
+  || substr(s.source_code, CAST(strpos(s.source_code, f.cs) + length(f.cs) AS BIGINT)) AS source_code_filled
+FROM h14 h JOIN fn f ON f.d = h.source_idx AND f.contract = h.contract_name AND f.fname = h.func_name AND f.fpos = h.fpos
+JOIN sol_file s ON s.d = h.source_idx
 """
 
 ORACLE["overload_histogram"] = "WITH " + SOL + r"""
