@@ -136,3 +136,11 @@ def fixed_batches(df: DataFrame, order: list[str], size: int, out: str = "batch"
 def inspect_sample(df: DataFrame, key: str, n: int = 3, seed: int = 42) -> DataFrame:
     """``n`` rows for inspection in md5 order (a top-k by design)."""
     return df.orderBy(md5_key(seed, key), F.col(key)).limit(n)
+
+
+def by_group(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:
+    """Rows of one group (e.g. project) in the same partition, for
+    per-group work such as ``mapInArrow`` / ``applyInPandas`` jobs.  AQE
+    splits a partition that one hot group makes too large only for joins,
+    so per-group functions must stream their rows, not collect them."""
+    return df.repartition(partitions, key) if partitions else df.repartition(key)

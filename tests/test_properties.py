@@ -91,3 +91,14 @@ def test_typed_inputs_ranges_and_determinism(spark):
     assert len(g) == 3 and all(0 <= int(x) < 2 ** 256 for x in g)
     again = {r["name"]: r["value"] for r in SY.typed_inputs(params, ["source_idx", "func_name", "pos"]).collect()}
     assert again == rows
+
+
+def test_batched_map_and_group_partitioning(spark):
+    import pandas as pd
+    d = X.table(spark, SMALL, "documents").select("doc_id", "text")
+    out = TR.batched_map(d, lambda pdf: pd.DataFrame({"doc_id": pdf["doc_id"], "n": pdf["text"].str.len()}),
+                         "doc_id long, n long", batch_size=50)
+    assert out.count() == d.count() and out.columns == ["doc_id", "n"]
+    g = G.by_group(X.table(spark, SMALL, "documents").select("source"), "source", 4)
+    per = g.select("source", F.spark_partition_id().alias("p")).distinct().groupBy("source").count()
+    assert per.where("count > 1").count() == 0
