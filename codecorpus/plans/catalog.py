@@ -266,11 +266,12 @@ def cumulative_weight_sample(spark, sf_dir):
 def solidity_samples(spark, sf_dir):
     """F8 + H14 (+F7): masked-sample rows re-derived from (contract, name,
     masked contract) by choosing the overload nearest to the marker."""
-    sc = S.materialize(sol_scanned(spark, sf_dir))  # samples and candidates
-    samples = (SM.contract_functions(sc, ["source_idx"], with_source=True)
-               .select("source_idx", "contract_name", "func_name", "masked_contract", "contract_source"))
+    sc = S.materialize(sol_scanned(spark, sf_dir))  # samples, candidates, contracts
+    samples = (SM.contract_functions(sc, ["source_idx"])
+               .select("source_idx", "contract_name", "func_name", "masked_contract"))
     cands = J.candidates(sc, ["source_idx"])
-    return J.nearest_overload(samples, cands, ["source_idx"])
+    contracts = SM.contracts(sc, ["source_idx"])
+    return J.nearest_overload(samples, cands, ["source_idx"], contracts=contracts)
 
 
 @query
