@@ -21,9 +21,10 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
-    # Arrow batches into the span scanner: bounded rows per batch so a batch of
-    # large files stays small.
+    # Arrow batches into the span scanner: bounded in rows and in bytes, so a
+    # batch of large files stays small in the Python worker.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     # Broadcast only on measured sizes: no planning-time broadcast from
     # estimates (which are unreliable after explode / checkpoint); AQE turns a
     # sort-merge join into a broadcast when the materialised side is small.
