@@ -291,7 +291,8 @@ def scan(text: str, lang: str = "java", body_tokens: bool = False):
         if lang == "solidity":
             if vals[0] in ("function", "constructor", "modifier", "fallback", "receive"):
                 close_p = _match_close(core, paren, "(", ")") if paren >= 0 else len(core) - 1
-                name = core[1][3] if vals[0] == "function" and core[1][0] == "id" else None
+                name = (core[1][3] if vals[0] in ("function", "modifier") and len(core) > 1
+                        and core[1][0] == "id" else None)
                 kind = {"function": "function", "constructor": "constructor",
                         "modifier": "modifier"}.get(vals[0], "function")
                 tail = [t for t in core[close_p + 1:]]

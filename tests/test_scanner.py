@@ -93,3 +93,43 @@ def test_body_tokens_calls_and_locals():
     ss = spans(src, body_tokens=True)
     assert sorted((s["name"], s["type"]) for s in by_kind(ss, "local")) == [("n", "int"), ("xs", "List<String>")]
     assert {(s["name"], s["type"]) for s in by_kind(ss, "call")} == {("g", "plain"), ("add", "member")}
+
+
+def test_java_declaration_forms():
+    src = ("public class A {\n"
+           "  static { init(); }\n"
+           "  enum E { X { void g() { } }, Y; void h() { } }\n"
+           "  record R(int a, String b) { R { } int twice() { return a * 2; } }\n"
+           "  @interface Ann { String value(); }\n"
+           "  Runnable r = new Runnable() { public void run() { } };\n"
+           "  int[] xs = {1, 2}, ys;\n"
+           "  public <T extends Comparable<T>> T max(java.util.List<? extends T> v) throws Exception { return null; }\n"
+           "}\n")
+    ss = spans(src)
+    classes = {c["name"]: c["type"] for c in by_kind(ss, "class")}
+    assert classes == {"A": "class", "E": "enum", "R": "record", "Ann": "annotation"}
+    fields = [f["name"] for f in by_kind(ss, "field")]
+    assert fields == ["r", "xs", "ys"]
+    methods = {m["name"]: m for m in by_kind(ss, "method")}
+    assert set(methods) == {"h", "twice", "value", "max"}  # run() and g() live in bodies
+    assert methods["max"]["type"] == "T" and methods["max"]["params"][0]["name"] == "v"
+    assert methods["value"]["body_start"] is None
+
+
+def test_solidity_declaration_forms():
+    src = ("library L { function add(uint a, uint b) internal pure returns (uint) { return a + b; } }\n"
+           "contract A {\n  using L for uint;\n  struct S { uint a; }\n  enum K { P, Q }\n"
+           "  event Moved(address indexed who);\n  mapping(address => uint256) public bal;\n"
+           "  uint public constant MAX = 10;\n"
+           "  modifier only() { require(msg.sender != address(0)); _; }\n"
+           "  fallback() external payable { }\n  receive() external payable { }\n"
+           "  function f() public only returns (uint) { assembly { let x := 1 } return MAX; }\n}\n")
+    ss = spans(src, "solidity")
+    assert {c["name"]: c["type"] for c in by_kind(ss, "contract")} == {"L": "library", "A": "contract"}
+    assert [v["name"] for v in by_kind(ss, "state_var")] == ["bal", "MAX"]
+    assert by_kind(ss, "state_var")[1]["modifiers"] == "constant"
+    assert [m["name"] for m in by_kind(ss, "modifier")] == ["only"]
+    fs = by_kind(ss, "function")
+    assert [f["name"] for f in fs] == ["add", None, None, "f"]
+    assert fs[-1]["modifiers"] == "only" and fs[-1]["type"] == "uint"
+    assert [s["name"] for s in by_kind(ss, "struct")] == ["S"]
