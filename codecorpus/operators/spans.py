@@ -104,10 +104,12 @@ def scan_files(files: DataFrame, text: str = "source_code", lang: str = "java",
 def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread ``df`` over at least ``min_partitions`` (default 2 per core)
     when it arrives in fewer, e.g. one big row group; otherwise unchanged."""
-    target = min_partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()  # planning only, no job
+    except Exception:  # sessions without RDD access: leave the input as it is
+        return df
+    return df.repartition(target) if current < target else df
 
 
 def materialize(df: DataFrame) -> DataFrame:
