@@ -61,12 +61,13 @@ def _in_contract(s: Column, types) -> Column:
 
 def contract_functions(scanned: DataFrame, keys: list[str], text: str = "source_code",
                        types=("contract",), whole: bool = False,
-                       with_source: bool = False) -> DataFrame:
+                       with_source: bool = False, masked: bool = True) -> DataFrame:
     """D4 (``whole=False``) / D5 (``whole=True``): functions with a body.
 
     D4: ``func_body`` between the braces and ``masked_contract`` = contract
-    text with that body replaced by ``<FILL_FUNCTION_BODY>`` (and, with
-    ``with_source``, the contract text itself, cut on the same row).
+    text with that body replaced by ``<FILL_FUNCTION_BODY>`` (``masked=False``
+    skips it; with ``with_source``, also the contract text, cut on the same
+    row).
     D5: ``function`` = signature + body, ``masked_contract`` with the whole
     function replaced by ``<FILL_FUNCTION>``.
     """
@@ -84,12 +85,13 @@ def contract_functions(scanned: DataFrame, keys: list[str], text: str = "source_
                          cut(t, s["end"], c["end"])).alias("masked_contract"),
                 cut(t, s["start"], s["end"]).alias("function"))
         extra = [cut(t, c["start"], c["end"]).alias("contract_source")] if with_source else []
+        if masked:  # fields built inside the lambda are not pruned later: opt in
+            extra.insert(0, F.concat(cut(t, c["start"], s["body_start"]), F.lit(K.FILL_FUNCTION_BODY),
+                                     cut(t, s["body_end"], c["end"])).alias("masked_contract"))
         return F.struct(
             c["name"].alias("contract_name"), s["name"].alias("func_name"),
             s["ord"].alias("func_ord"), s["start"].alias("func_start"),
             s["body_start"].alias("body_start"),
-            F.concat(cut(t, c["start"], s["body_start"]), F.lit(K.FILL_FUNCTION_BODY),
-                     cut(t, s["body_end"], c["end"])).alias("masked_contract"),
             cut(t, s["body_start"], s["body_end"]).alias("func_body"), *extra)
 
     out = _explode(scanned, keys, F.transform(fs, row))

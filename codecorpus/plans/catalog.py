@@ -285,7 +285,7 @@ def inherited_members(spark, sf_dir):
 
 def _refill_samples(spark, sf_dir):
     sc = S.materialize(sol_scanned(spark, sf_dir))  # samples, candidates and files
-    samples = (SM.contract_functions(sc, ["source_idx"])
+    samples = (SM.contract_functions(sc, ["source_idx"], masked=False)
                .select("source_idx", "contract_name", "func_name", "func_body",
                        F.upper("func_body").alias("deepseek_output")))
     return sc, samples
@@ -621,5 +621,5 @@ def refill_contracts(spark, sf_dir):
 @query
 def overload_histogram(spark, sf_dir):
     """Functions (and names) by number of same-name functions in the contract."""
-    fns = SM.contract_functions(sol_scanned(spark, sf_dir), ["source_idx"])
+    fns = SM.contract_functions(sol_scanned(spark, sf_dir), ["source_idx"], masked=False)
     return G.count_histogram(fns, ["source_idx", "contract_name", "func_name"])
