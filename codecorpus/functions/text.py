@@ -99,3 +99,12 @@ def candidates(s: Column, sep: str = "<candidate>") -> Column:
     import re
     parts = F.split(s, re.escape(sep))  # split takes a regex
     return F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
+def line_col_to_offset(text: Column, line: Column, col: Column) -> Column:
+    """0-based character offset of a 1-based line and 0-based column
+    (the location convention of syntax-tree ``loc`` fields)."""
+    lines = F.split(text, "\n")
+    before = F.aggregate(F.slice(lines, 1, F.greatest(line - 1, F.lit(0))), F.lit(0),
+                         lambda a, x: a + F.length(x) + 1)
+    return F.when(line >= 1, before + col)

@@ -623,3 +623,32 @@ def overload_histogram(spark, sf_dir):
     """Functions (and names) by number of same-name functions in the contract."""
     fns = SM.contract_functions(sol_scanned(spark, sf_dir), ["source_idx"], masked=False)
     return G.count_histogram(fns, ["source_idx", "contract_name", "func_name"])
+
+
+@query
+def line_offsets(spark, sf_dir):
+    """Offset of every line start (and of column 3) of every document."""
+    d = S.balance(_t(spark, sf_dir, "documents")).select("doc_id", "text")
+    rows = d.select("doc_id", "text", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    ln = F.col("i") + 1
+    return rows.select("doc_id", ln.alias("line_no"),
+                       TX.line_col_to_offset(F.col("text"), ln, F.lit(0)).alias("line_start"),
+                       TX.line_col_to_offset(F.col("text"), ln, F.lit(3)).alias("col3"))
+
+
+@query
+def task_sources(spark, sf_dir):
+    """H4 (final / disable) + H7: task-conditional source texts with the
+    inherited members of the contract (F15) and its compile status (F7)."""
+    sc = S.materialize(sol_scanned(spark, sf_dir))
+    fns = SM.contract_functions(sc, ["source_idx"])
+    inh = J.inherited_elements(sc, ["source_idx"]).select(
+        "source_idx", "contract_name", F.array_join("inherit_elements", "\n").alias("inherit"))
+    status = R.compile_status(X.solidity_logs(_t(spark, sf_dir, "events"))) \
+        .select(F.col("event_id").alias("source_idx"), "compile_info")
+    j = fns.join(inh, ["source_idx", "contract_name"], "left").join(status, "source_idx", "left")
+    masked, out = F.col("masked_contract"), F.upper("func_body")
+    return j.select("source_idx", "contract_name", "func_name",
+                    TR.task_source("final", masked, out, F.col("compile_info"), F.col("inherit")).alias("source_final"),
+                    TR.task_source("disable", masked, out, None, F.col("inherit")).alias("source_disable"),
+                    TR.task_source("plain", masked, out).alias("source_plain"))

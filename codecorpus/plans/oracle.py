@@ -422,7 +422,7 @@ FROM (SELECT *, struct_pack(e := -ln((CAST(('0x' || substr(md5('42:' || source_i
 GROUP BY source_idx, contract_name
 """
 
-ORACLE["inherited_members"] = "WITH RECURSIVE " + SOL + r""",
+INHERIT = r"""
 edges AS (
   SELECT d, 'C' || d AS child, 'Base' || d || '_' || (d % 4) AS base, 0 AS pos FROM docs
   UNION ALL SELECT d, 'C' || d, 'Side' || d, 1 FROM docs WHERE d % 10 = 0
@@ -451,7 +451,9 @@ members AS (
 agg AS (
   SELECT b.d, b.root, string_agg(m.element, E'\n' ORDER BY b.depth, b.path, m.m) AS els, count(*) AS n
   FROM best b JOIN members m ON m.d = b.d AND m.node = b.node GROUP BY b.d, b.root
-)
+)"""
+
+ORACLE["inherited_members"] = "WITH RECURSIVE " + SOL + "," + INHERIT + r"""
 SELECT r.d AS source_idx, r.root AS contract_name, coalesce(a.els, '') AS inherit_elements,
   CAST(coalesce(a.n, 0) AS INTEGER) AS n_elements
 FROM roots r LEFT JOIN agg a ON a.d = r.d AND a.root = r.root
@@ -780,3 +782,26 @@ ORACLE["overload_histogram"] = "WITH " + SOL + r"""
 )
 SELECT k AS n_matches, sum(k) AS n_rows, count(*) AS n_keys FROM names GROUP BY k
 """
+
+
+ORACLE["line_offsets"] = r"""
+SELECT doc_id, CAST(i AS INTEGER) AS line_no,
+  CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS line_start,
+  CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 3 AS INTEGER) AS col3
+FROM (SELECT doc_id, u.line, u.i FROM documents, unnest(string_split(text, E'\n')) WITH ORDINALITY AS u(line, i))
+"""
+
+ORACLE["task_sources"] = "WITH RECURSIVE " + ALL_FN + "," + INHERIT + ", " + SOL_LOGS + ", " + COMPILE_INFO + r""",
+fim AS (
+  SELECT f.*, '<｜fim▁begin｜>' || replace(f.masked_body, '<FILL_FUNCTION_BODY>', '<｜fim▁hole｜>') || '<｜fim▁end｜>' AS p,
+    coalesce(a.els, '') AS inherit, c.compile_info
+  FROM h14 f LEFT JOIN agg a ON a.d = f.source_idx AND a.root = f.contract_name
+  LEFT JOIN compiled c ON c.event_id = f.source_idx
+)
+SELECT source_idx, contract_name, func_name,
+  p || E'\n<ouput>\n' || upper(func_body) || E'\n<compile>\n' || replace(compile_info, '<COMPILED_SUCCESSFULLY>', 'success')
+    || E'\n<inherit>\n' || inherit || E'\n<correct> ' AS source_final,
+  p || E'\n<ouput>\n' || upper(func_body) || E'\n<inherit>\n' || inherit || E'\n<correct> ' AS source_disable,
+  p AS source_plain
+FROM fim
+"""
