@@ -233,9 +233,7 @@ def scan(text: str, lang: str = "java", body_tokens: bool = False):
                         cur = False
                     stmt_start = True
                     continue
-                elif v in ("(", ")") and body_tokens and v == "(":
-                    pass
-            if depth == 0 and t[0] != "p" or (depth == 0 and v not in ("{", "}", ";")):
+            if depth == 0:  # a non-terminator token at body level opens a statement
                 cur = True
             if not body_tokens:
                 stmt_start = False
@@ -345,8 +343,6 @@ def scan(text: str, lang: str = "java", body_tokens: bool = False):
         while k < len(core) and core[k][0] == "id" and core[k][3] in JAVA_MODIFIERS:
             mods.append(core[k][3])
             k += 1
-        if k < len(core) and core[k][3] == "-" :
-            k += 0
         vis = next((m for m in mods if m in ("public", "private", "protected")), None)
         modtext = " ".join(x for x in ([ann_text] if ann_text else []) + mods) or None
         if is_func:
