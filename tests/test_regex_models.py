@@ -62,3 +62,53 @@ def test_strip_private_matches_fixed_point_loop(spark):
     got = [r[0] for r in df.select(TX.strip_private(F.col("s"))).collect()]
     bad = [(s, g) for (s,), g in zip(rows, got) if strip_private_model(s) != g]
     assert not bad, bad[:5]
+
+
+def _layout(rnd, idx):
+    """A contract of random segments; returns text and, per function, the
+    expected requirement from a direct backward walk."""
+    kinds = ["func", "line", "block", "empty_line", "empty_block", "var"]
+    segs, text = [], f"contract T{idx} {{\n"
+    for k in range(rnd.randint(1, 12)):
+        kind = rnd.choice(kinds)
+        word = rnd.choice(["alpha", "beta gamma", " spaced ", "x"])
+        body = {"func": f"function f{k}() public {{ y{k}; }}", "line": f"// {word}",
+                "block": f"/* {word} */", "empty_line": "//", "empty_block": "/**/",
+                "var": f"uint public v{k};"}[kind]
+        start = len(text)
+        text += body
+        segs.append((kind, start, len(text), body))
+        text += rnd.choice(["\n", "\n\n", " ", "\n  \t"])
+        if kind in ("line", "empty_line") and text[-1] != "\n":
+            text += "\n"
+    text += "}\n"
+    expected = {}
+    for j, (kind, s, e, body) in enumerate(segs):
+        if kind != "func":
+            continue
+        parts, pos, t = [], s, j - 1
+        while t >= 0:
+            pk, ps, pe, pb = segs[t]
+            if pk not in ("line", "block", "empty_line", "empty_block") or text[pe:pos].strip(" \n\t\r"):
+                break
+            inner = pb[2:] if pk in ("line", "empty_line") else pb[2:-2]
+            parts.append(inner.strip())
+            pos, t = ps, t - 1
+        req = "\n".join(x for x in reversed(parts) if x)
+        if req:
+            expected[f"f{j}"] = req
+    return text, expected
+
+
+def test_comment_adjacency_matches_backward_walk(spark):
+    from codecorpus.operators import joins as J, spans as S
+    rnd = random.Random(5)
+    files, want = [], {}
+    for i in range(400):
+        text, exp = _layout(rnd, i)
+        files.append((i, text))
+        want.update({(i, k): v for k, v in exp.items()})
+    df = spark.createDataFrame(files, "source_idx long, source_code string")
+    got = {(r["source_idx"], r["func_name"]): r["func_requirement"]
+           for r in J.commented_functions(S.scan_files(df, "source_code", "solidity"), ["source_idx"]).collect()}
+    assert got == want
