@@ -112,3 +112,39 @@ def test_comment_adjacency_matches_backward_walk(spark):
     got = {(r["source_idx"], r["func_name"]): r["func_requirement"]
            for r in J.commented_functions(S.scan_files(df, "source_code", "solidity"), ["source_idx"]).collect()}
     assert got == want
+
+
+def test_inheritance_matches_python_bfs(spark):
+    from codecorpus.operators import joins as J, spans as S
+    rnd = random.Random(9)
+    files, want = [], {}
+    for i in range(120):
+        n = rnd.randint(1, 6)
+        names = [f"K{i}_{k}" for k in range(n)]
+        bases = {nm: rnd.sample(names, rnd.randint(0, min(3, n))) for nm in names}
+        text, members = "", {}
+        for nm in names:
+            vis = rnd.choice(["public", "private", "internal"])
+            fvis = rnd.choice(["public", "external", "internal", "private"])
+            members[nm] = []
+            text += f"contract {nm}" + (f" is {', '.join(bases[nm])}" if bases[nm] else "") + " {\n"
+            text += f"  uint256 {vis} s_{nm};\n  function g_{nm}() {fvis} {{ return; }}\n}}\n"
+            if vis != "private":
+                members[nm].append(f"uint256 {vis} s_{nm};")
+            if fvis not in ("external", "private"):
+                members[nm].append(f"function g_{nm}() {fvis} {{<BODY>}}")
+        files.append((i, text))
+        for root in names:
+            seen, queue, out = {root}, list(bases[root]), []
+            while queue:  # breadth first, each contract once
+                b = queue.pop(0)
+                if b in seen:
+                    continue
+                seen.add(b)
+                out.extend(members[b])
+                queue.extend(bases[b])
+            want[(i, root)] = out
+    df = spark.createDataFrame(files, "source_idx long, source_code string")
+    rows = J.inherited_elements(S.scan_files(df, "source_code", "solidity"), ["source_idx"]).collect()
+    got = {(r["source_idx"], r["contract_name"]): list(r["inherit_elements"]) for r in rows}
+    assert got == want
