@@ -102,3 +102,18 @@ def test_batched_map_and_group_partitioning(spark):
     g = G.by_group(X.table(spark, SMALL, "documents").select("source"), "source", 4)
     per = g.select("source", F.spark_partition_id().alias("p")).distinct().groupBy("source").count()
     assert per.where("count > 1").count() == 0
+
+
+def test_weighted_and_uniform_choice_frequencies(spark):
+    rows = [(g, k, float(k)) for g in range(4000) for k in (1, 2, 3, 4)]
+    df = spark.createDataFrame(rows, "g long, k long, w double")
+    picked = G.weighted_choice(df, "g", "k", "w", seed=11, cols=["k"])
+    freq = {r["k"]: r["count"] / 4000 for r in picked.groupBy("k").count().collect()}
+    for k in (1, 2, 3, 4):
+        assert abs(freq.get(k, 0) - k / 10) < 0.03, freq
+    uni = G.uniform_choice(df, "g", "k", seed=0, cols=["k"])
+    ufreq = {r["k"]: r["count"] / 4000 for r in uni.groupBy("k").count().collect()}
+    for k in (1, 2, 3, 4):
+        assert abs(ufreq.get(k, 0) - 0.25) < 0.03, ufreq
+    zero = spark.createDataFrame([(1, 1, 0.0), (1, 2, 5.0)], "g long, k long, w double")
+    assert [r["k"] for r in G.weighted_choice(zero, "g", "k", "w", cols=["k"]).collect()] == [2]
