@@ -23,12 +23,12 @@ def absolute_path(base: str, proj: Column, rel: Column) -> Column:
 
 def repo_owner(url: Column) -> Column:
     """Second-to-last segment of a repository URL."""
-    return F.element_at(F.split(url, "/"), -2)
+    return F.try_element_at(F.split(url, "/"), F.lit(-2))
 
 
 def repo_name(url: Column) -> Column:
     """Last segment of a repository URL."""
-    return F.element_at(F.split(url, "/"), -1)
+    return F.try_element_at(F.split(url, "/"), F.lit(-1))
 
 
 def owner_repo(url: Column) -> Column:

@@ -18,7 +18,7 @@ from codecorpus import constants as K
 
 def span_at(ord_: Column) -> Column:
     """The span with a given ord (spans are stored in ord order)."""
-    return F.element_at(F.col("spans"), ord_ + 1)
+    return F.try_element_at(F.col("spans"), ord_ + 1)
 
 
 def cut(text: Column, start: Column, end: Column) -> Column:
@@ -148,7 +148,7 @@ def java_methods(scanned: DataFrame, keys: list[str], text: str = "source_code")
     def row(s):
         enclosing = F.filter(F.col("spans"), lambda c: (c["kind"] == "class") & (c["type"] == "class")
                              & (c["kw_start"] < s["body_start"]) & (c["end"] > s["body_end"]))
-        c = F.element_at(enclosing, 1)
+        c = F.try_element_at(enclosing, F.lit(1))
         return F.struct(
             c["name"].alias("class_name"), s["name"].alias("func_name"),
             s["ord"].alias("func_ord"),
@@ -178,8 +178,8 @@ def java_match_back(samples: DataFrame, expected: DataFrame, keys: list[str]) ->
 # ---------------------------------------------------------------------------
 
 def _package(spans: Column) -> Column:
-    return F.element_at(F.transform(F.filter(spans, lambda s: s["kind"] == "package"),
-                                    lambda s: s["name"]), 1)
+    return F.try_element_at(F.transform(F.filter(spans, lambda s: s["kind"] == "package"),
+                                    lambda s: s["name"]), F.lit(1))
 
 
 def _enclosing_type(s: Column) -> Column:
@@ -219,9 +219,9 @@ def java_types(scanned: DataFrame, keys: list[str], text: str = "source_code") -
 
     def rebuild(ty, rs):
         pieces = F.transform(rs, lambda r, i: F.concat(
-            cut(t, F.when(i == 0, ty["start"]).otherwise(F.element_at(rs, F.greatest(i, F.lit(1)))["b"]), r["a"]),
+            cut(t, F.when(i == 0, ty["start"]).otherwise(F.try_element_at(rs, F.greatest(i, F.lit(1)))["b"]), r["a"]),
             r["r"]))
-        last = F.when(F.size(rs) > 0, F.element_at(rs, -1)["b"]).otherwise(ty["start"])
+        last = F.when(F.size(rs) > 0, F.try_element_at(rs, F.lit(-1))["b"]).otherwise(ty["start"])
         return F.concat(F.array_join(pieces, ""), cut(t, last, ty["end"]))
 
     df = df.withColumn("_r1", F.transform("_types", lambda ty: F.array_sort(ranges(ty, False))))
@@ -234,8 +234,8 @@ def java_types(scanned: DataFrame, keys: list[str], text: str = "source_code") -
         F.coalesce(F.array_join(ty["bases"], " "), F.lit("")).alias("extend"),
         F.coalesce(F.array_join(ty["interfaces"], " "), F.lit("")).alias("implements"),
         cut(t, ty["start"], ty["end"]).alias("raw"),
-        rebuild(ty, F.element_at(F.col("_r1"), i + 1)).alias("abstract"),
-        rebuild(ty, F.element_at(F.col("_r2"), i + 1)).alias("abstract_compact")))
+        rebuild(ty, F.try_element_at(F.col("_r1"), i + 1)).alias("abstract"),
+        rebuild(ty, F.try_element_at(F.col("_r2"), i + 1)).alias("abstract_compact")))
     return _explode(df, keys, arr)
 
 

@@ -10,7 +10,7 @@ relational: joins on the file key, windows over spans of one file, and
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,37 +128,16 @@ def extract_spans(files: DataFrame, keys: list[str] | str, text: str = "source_c
     return scanned.select(*keys, F.inline("spans"))
 
 
-# ---------------------------------------------------------------------------
-# Column helpers over a span row joined to its file text
-# ---------------------------------------------------------------------------
-
-def cut(text: Column, start: Column, end: Column) -> Column:
-    """text[start:end] for 0-based half-open offsets."""
-    return F.substring(text, start + 1, end - start)
-
-
-def prefix(text: Column, end: Column) -> Column:
-    return F.substring(text, F.lit(1), end)
-
-
-def suffix(text: Column, start: Column) -> Column:
-    return F.substring(text, start + 1, F.lit(2 ** 31 - 1))
-
-
-def splice(text: Column, start: Column, end: Column, filler: Column) -> Column:
-    """text[:start] + filler + text[end:]."""
-    return F.concat(prefix(text, start), filler, suffix(text, end))
-
-
 # ---------------------------------------------------------------------------
 # Relational views
 # ---------------------------------------------------------------------------
 
 def members(spans: DataFrame, keys: list[str], container_kind: str,
             member_kinds: list[str], container_types: list[str] | None = None) -> DataFrame:
-    """Members with their direct container: child -> parent self-join on
-    (file keys, parent_ord = ord).  Both sides are keyed by file, so the join
-    co-partitions on the file key and never pairs spans of different files.
+    """Members with their direct container on a *flat* span table (e.g. spans
+    from another tool): child -> parent equi-join on (file keys, parent_ord =
+    ord), so spans of different files are never paired.  Scanned tables do
+    the same lookup with ``element_at(spans, parent_ord + 1)`` instead.
     """
     c = spans.where(F.col("kind") == container_kind)
     if container_types:

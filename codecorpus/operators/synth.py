@@ -47,7 +47,7 @@ def _scalar_value(kind: Column, key: Column) -> Column:
     addresses = F.array(*[F.lit(a) for a in K.ADDRESSES])
     chars = F.concat(*[F.chr(F.lit(32) + byte(i) % 95) for i in range(K.STRING_LEN)])
     return (F.when(kind == "bool", F.when(byte(0) % 2 == 1, F.lit("true")).otherwise(F.lit("false")))
-            .when(kind == "address", F.element_at(addresses, byte(0) % 5 + 1))
+            .when(kind == "address", F.try_element_at(addresses, byte(0) % 5 + 1))
             .when(kind == "string", chars))
 
 
@@ -77,6 +77,6 @@ def typed_inputs(params: DataFrame, key_cols: list[str], seed: int = K.SEED_GENE
     others = F.transform(F.sequence(F.lit(1), F.col("_cnt")),
                          lambda i: _scalar_value(F.col("_kind"), F.concat_ws(":", F.col("_key"), i.cast("string"))))
     vals = F.when(F.col("_kind").isin("uint", "int"), ints).otherwise(others)
-    value = F.when(F.col("_n").isNull(), F.element_at(vals, 1)).otherwise(
+    value = F.when(F.col("_n").isNull(), F.try_element_at(vals, F.lit(1))).otherwise(
         F.concat(F.lit("["), F.array_join(vals, ", "), F.lit("]")))
     return p.withColumn("value", value).drop("_base", "_n", "_kind", "_key", "_cnt")

@@ -117,3 +117,16 @@ def test_weighted_and_uniform_choice_frequencies(spark):
         assert abs(ufreq.get(k, 0) - 0.25) < 0.03, ufreq
     zero = spark.createDataFrame([(1, 1, 0.0), (1, 2, 5.0)], "g long, k long, w double")
     assert [r["k"] for r in G.weighted_choice(zero, "g", "k", "w", cols=["k"]).collect()] == [2]
+
+
+def test_flat_members_view_and_last_method_text(spark):
+    src = ("class A {\n  void f(int a) { one(); }\n  static class B { void g() { } }\n"
+           "  void f(String s) { two(); }\n}\n")
+    df = spark.createDataFrame([("p", "A.java", src)], "proj_name string, relative_path string, source_code string")
+    keys = ["proj_name", "relative_path"]
+    flat = S.extract_spans(df, keys, "source_code", "java")
+    m = S.members(flat, keys, "class", ["method"])
+    assert sorted((r["container"], r["name"]) for r in m.collect()) == [("A", "f"), ("A", "f"), ("B", "g")]
+    last = SM.last_method_text(SM.java_method_table(S.scan_files(df, "source_code", "java"), keys), keys)
+    got = {r["name"]: r["raw"] for r in last.collect()}
+    assert got == {"f": "void f(String s) { two(); }", "g": "void g() { }"}

@@ -133,3 +133,13 @@ def test_solidity_declaration_forms():
     assert [f["name"] for f in fs] == ["add", None, None, "f"]
     assert fs[-1]["modifiers"] == "only" and fs[-1]["type"] == "uint"
     assert [s["name"] for s in by_kind(ss, "struct")] == ["S"]
+
+
+def test_file_without_package_or_class(spark):
+    from codecorpus.operators import samples as SM, spans as S
+    df = spark.createDataFrame([("p", "X.java", "interface I { default void f() { } }\n")],
+                               "proj_name string, relative_path string, source_code string")
+    sc = S.scan_files(df, "source_code", "java")
+    rows = SM.java_methods(sc, ["proj_name", "relative_path"]).collect()
+    assert [(r["func_name"], r["class_name"], r["status"]) for r in rows] == [("f", None, "no_class")]
+    assert SM.java_types(sc, ["proj_name", "relative_path"]).first()["qualified_name"] == "I"
