@@ -67,7 +67,7 @@ def typed_inputs(params: DataFrame, key_cols: list[str], seed: int = K.SEED_GENE
     ``[v1, v2, ...]``."""
     arr_m = F.regexp_extract("type", r"^(.+)\[([0-9]+)\]$", 2)
     base = F.when(arr_m != "", F.regexp_extract("type", r"^(.+)\[([0-9]+)\]$", 1)).otherwise(F.col("type"))
-    p = params.withColumn("_base", base).withColumn("_n", F.when(arr_m != "", arr_m.cast("int")))
+    p = params.withColumn("_base", base).withColumn("_n", F.when(arr_m != "", arr_m.try_cast("int")))
     p = p.where(TX.elementary_kind(F.col("_base")).isNotNull())
     key = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols])
     p = p.withColumn("_kind", TX.elementary_kind(F.col("_base"))).withColumn("_key", key) \

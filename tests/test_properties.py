@@ -130,3 +130,17 @@ def test_flat_members_view_and_last_method_text(spark):
     last = SM.last_method_text(SM.java_method_table(S.scan_files(df, "source_code", "java"), keys), keys)
     got = {r["name"]: r["raw"] for r in last.collect()}
     assert got == {"f": "void f(String s) { two(); }", "g": "void g() { }"}
+
+
+def test_odd_log_values_do_not_fail(spark):
+    from codecorpus.functions import logs as L
+    from codecorpus.operators import results as R
+    logs = spark.createDataFrame([
+        (1, "p", "r.java", "<file>p/r.java<line>99999999999<col>1<err>x\nnoise", "a\nb"),
+        (2, "p", "r.java", None, "x")], "id long, proj_name string, relative_path string, fb string, src string")
+    files = logs.select("relative_path", F.col("src").alias("source_code")).dropDuplicates(["relative_path"])
+    out = R.enrich_feedback(logs.select("id", "proj_name", "relative_path", F.col("fb").alias("compiler_feedback")),
+                            files, ["relative_path"]).orderBy("id").collect()
+    assert out[0]["new_compiler_feedback"] == "<file>p/r.java<line>99999999999<col>1<line_of_code><err>x"
+    st = spark.createDataFrame([("99999999999) step done\n3) step done",), ("nothing",)], "s string")
+    assert [r[0] for r in st.select(L.stage_reached(F.col("s"))).collect()] == [3, 0]
