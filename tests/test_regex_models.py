@@ -148,3 +148,15 @@ def test_inheritance_matches_python_bfs(spark):
     rows = J.inherited_elements(S.scan_files(df, "source_code", "solidity"), ["source_idx"]).collect()
     got = {(r["source_idx"], r["contract_name"]): list(r["inherit_elements"]) for r in rows}
     assert got == want
+
+
+def test_flat_comment_adjacency_equals_array_version(spark):
+    from codecorpus.operators import joins as J, spans as S
+    rnd = random.Random(13)
+    files = [(i, _layout(rnd, i)[0]) for i in range(300)]
+    sc = S.scan_files(spark.createDataFrame(files, "source_idx long, source_code string"), "source_code", "solidity")
+    cols = ["source_idx", "contract_name", "func_name", "masked_contract", "func_body", "func_requirement"]
+    a = J.commented_functions(sc, ["source_idx"]).select(*cols)
+    b = J.commented_functions_flat(sc, ["source_idx"]).select(*cols)
+    assert a.count() == b.count() > 0
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
