@@ -71,6 +71,106 @@ def _tokens(text: str):
     return toks, comments
 
 
+# Body skipper: inside a function body only braces, statement ends, strings
+# and comments matter when body tokens are not wanted.
+_SKIP = re.compile(r"""(//[^\n]*)|(/\*.*?\*/)|(/\*.*)|(\"\"\".*?(?:\"\"\"|\Z))|("(?:[^"\\\n]|\\.)*"?)|('(?:[^'\\\n]|\\.)*'?)|(\{)|(\})|(;)""", re.S)
+_NONWS = re.compile(r"\S")
+
+
+class _Fallback(Exception):
+    """Raised by the fast path on unterminated constructs."""
+
+
+class _Lexer:
+    """Tokens on demand; function bodies can be skipped without tokenizing."""
+
+    def __init__(self, text):
+        self.text, self.pos, self.toks, self.comments = text, 0, [], []
+        self.stmts, self.cut, self.done = {}, len(text), False
+
+    def advance(self):
+        """Append the next token; False at the end of the code."""
+        text, toks = self.text, self.toks
+        while not self.done:
+            m = _TOKEN.match(text, self.pos)
+            if m is None:
+                self.done = True
+                return False
+            k = m.lastindex
+            s, e = m.span(k)
+            self.pos = m.end()
+            if k == 7:
+                toks.append(("id", s, e, m.group(7)))
+            elif k == 9:
+                toks.append(("p", s, e, m.group(9)))
+            elif k == 1:
+                self.comments.append(("line", s, e))
+                continue
+            elif k == 2:
+                self.comments.append(("block", s, e))
+                continue
+            elif k == 3:
+                self.done, self.cut = True, s
+                return False
+            elif k == 8:
+                toks.append(("n", s, e, None))
+            else:
+                toks.append(("s", s, e, None))
+            return True
+        return False
+
+    def tokenize_block(self, open_idx):
+        """Tokenize through the brace closing toks[open_idx]; its index."""
+        depth = 1
+        while self.advance():
+            t = self.toks[-1]
+            if t[0] == "p" and t[3] == "{":
+                depth += 1
+            elif t[0] == "p" and t[3] == "}":
+                depth -= 1
+                if depth == 0:
+                    return len(self.toks) - 1
+        raise _Fallback
+
+    def skip_block(self, open_idx):
+        """Skip to the brace closing toks[open_idx] (the last token), record
+        comments and the number of top-level statements; return the index of
+        the appended closing-brace token."""
+        text = self.text
+        level, stmts, cur, pos = 0, 0, False, self.pos
+        for m in _SKIP.finditer(text, pos):
+            g = m.lastindex
+            s0 = m.start()
+            if level == 0 and not cur and text[pos:s0].strip():
+                cur = True
+            pos = m.end()
+            if g == 1:
+                self.comments.append(("line", s0, pos))
+            elif g == 2:
+                self.comments.append(("block", s0, pos))
+            elif g == 3:
+                raise _Fallback
+            elif g in (4, 5, 6):
+                if level == 0:
+                    cur = True
+            elif g == 7:
+                level += 1
+            elif g == 8:
+                if level == 0:
+                    self.pos = pos
+                    self.toks.append(("p", s0, pos, "}"))
+                    self.stmts[open_idx] = stmts + (1 if cur else 0)
+                    return len(self.toks) - 1
+                level -= 1
+                if level == 0:
+                    stmts += 1
+                    cur = False
+            elif level == 0:  # ';'
+                stmts += 1
+                cur = False
+        raise _Fallback
+
+
 def _match_close(toks, i, open_, close):
     """Index of the token closing the bracket opened at toks[i]."""
     depth = 0
@@ -189,9 +289,27 @@ def _strip_annotations(decl):
 
 
 def scan(text: str, lang: str = "java", body_tokens: bool = False):
-    """Spans of one file as a list of dicts keyed by ``FIELDS``."""
+    """Spans of one file as a list of dicts keyed by ``FIELDS``.
+
+    Without body tokens, function and initializer bodies are skipped by a
+    braces / strings / comments pattern (same spans, less work); an
+    unterminated construct falls back to full tokenization.
+    """
+    if not body_tokens:
+        try:
+            return _scan(text, lang, False, True)
+        except _Fallback:
+            pass
+    return _scan(text, lang, body_tokens, False)
+
+
+def _scan(text: str, lang: str, body_tokens: bool, fast: bool):
     lang = "solidity" if lang.lower().startswith("sol") else "java"
-    toks, comments = _tokens(text)
+    if fast:
+        lex = _Lexer(text)
+        toks, comments = lex.toks, lex.comments
+    else:
+        toks, comments = _tokens(text)
     spans = []
 
     def add(**kw):
@@ -200,8 +318,9 @@ def scan(text: str, lang: str = "java", body_tokens: bool = False):
         spans.append(row)
         return len(spans) - 1
 
-    for kind, s, e in comments:
-        add(kind="comment", start=s, end=e, type=kind, depth=None)
+    if not fast:
+        for kind, s, e in comments:
+            add(kind="comment", start=s, end=e, type=kind, depth=None)
 
     type_kw = SOL_TYPE_KW if lang == "solidity" else JAVA_TYPE_KW
     # stack of open containers: (span index or None for file, type name)
@@ -211,6 +330,8 @@ def scan(text: str, lang: str = "java", body_tokens: bool = False):
 
     def body_scan(lo, hi, parent):
         """Statements / calls / locals / identifiers inside a body toks[lo:hi]."""
+        if fast:  # counted while the body was skipped
+            return lex.stmts[lo - 1]
         stmts, cur, depth = 0, False, 0
         stmt_start = True
         for j in range(lo, hi):
@@ -387,7 +508,9 @@ def scan(text: str, lang: str = "java", body_tokens: bool = False):
             add(kind="field", name=ph[-1][3], start=start, end=end, kw_start=core[0][1],
                 parent_ord=parent, depth=depth, visibility=vis, modifiers=modtext, type=typ)
 
-    while i < n:
+    while True:
+        if i >= len(toks) and not (fast and lex.advance()):
+            break
         t = toks[i]
         v = t[3] if t[0] == "p" else None
         if v == "}":
@@ -409,7 +532,6 @@ def scan(text: str, lang: str = "java", body_tokens: bool = False):
             i += 1
             continue
         # '{' at container level: type declaration, member with body, or other block
-        close = _match_close(toks, i, "{", "}")
         anns, core = (_strip_annotations(decl) if lang == "java" else ([], decl))
         vals = [x[3] for x in core]
         kw = next((q for q, x in enumerate(core) if x[0] == "id" and x[3] in type_kw
@@ -483,6 +605,12 @@ def scan(text: str, lang: str = "java", body_tokens: bool = False):
         is_member_func = paren > 0 and (eq < 0 or paren < eq) and len(stack) > 1
         if lang == "solidity" and core and core[0][3] in ("function", "constructor", "modifier", "fallback", "receive"):
             is_member_func = len(stack) > 1 or core[0][3] == "function"
+        if not fast:
+            close = _match_close(toks, i, "{", "}")
+        elif is_member_func:  # only a function body's inside is never looked at again
+            close = lex.skip_block(i)
+        else:
+            close = lex.tokenize_block(i)
         if is_member_func:
             close_member(decl, toks[close], (i, close))
             decl = []
@@ -502,6 +630,9 @@ def scan(text: str, lang: str = "java", body_tokens: bool = False):
         decl = []
         i = close + 1
 
+    if fast:
+        for kind, s, e in comments:
+            add(kind="comment", start=s, end=e, type=kind, depth=None)
     # unterminated containers end at end of text
     for idx, _ in stack[1:]:
         spans[idx]["end"] = len(text)
@@ -519,12 +650,18 @@ def scan(text: str, lang: str = "java", body_tokens: bool = False):
             r["parent_ord"] = final[r["parent_ord"]]
         out.append(r)
     # comments and annotations: where the next code or comment starts
-    starts = sorted([tk[1] for tk in toks] + [c[1] for c in comments])
-    import bisect
-    for r in out:
-        if r["kind"] in ("comment", "annotation"):
-            k = bisect.bisect_left(starts, r["end"])
-            r["gap_end"] = starts[k] if k < len(starts) else len(text)
+    if fast:  # skipped bodies have no tokens: the next code is the next non-blank
+        for r in out:
+            if r["kind"] in ("comment", "annotation"):
+                m = _NONWS.search(text, r["end"])
+                r["gap_end"] = m.start() if m and m.start() < lex.cut else len(text)
+    else:
+        starts = sorted([tk[1] for tk in toks] + [c[1] for c in comments])
+        import bisect
+        for r in out:
+            if r["kind"] in ("comment", "annotation"):
+                k = bisect.bisect_left(starts, r["end"])
+                r["gap_end"] = starts[k] if k < len(starts) else len(text)
     # a comment's parent is the innermost declaration containing it
     open_ = []
     for r in out:

@@ -143,3 +143,25 @@ def test_file_without_package_or_class(spark):
     rows = SM.java_methods(sc, ["proj_name", "relative_path"]).collect()
     assert [(r["func_name"], r["class_name"], r["status"]) for r in rows] == [("f", None, "no_class")]
     assert SM.java_types(sc, ["proj_name", "relative_path"]).first()["qualified_name"] == "I"
+
+
+def test_fast_path_equals_full_tokenization():
+    """Skipping function bodies must give exactly the spans of the full scan."""
+    import random
+    from codecorpus.operators import scanner as SC
+    rnd = random.Random(3)
+    pieces = ["class A {", "contract C is B {", "}", "{", ";", "void f() {", "function g() public {", " x = 1;",
+              "\"s{\"", "'}'", "// c\n", "/* b */", "\n", " ", "int y;", "@Ann", "(", ")", "=", "interface I {",
+              "enum E {A, B}", "struct S { uint a; }", "uint public v;", "static {", "new R() { void r() { } }",
+              "return;", "if (a) { b; }", "x"]
+    compared = 0
+    for _ in range(4000):
+        t = "".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 25)))
+        for lang in ("java", "solidity"):
+            try:
+                fast = SC._scan(t, lang, False, True)
+            except SC._Fallback:
+                continue
+            assert fast == SC._scan(t, lang, False, False), t
+            compared += 1
+    assert compared > 1000
