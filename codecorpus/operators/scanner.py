@@ -326,7 +326,7 @@ def _scan(text: str, lang: str, body_tokens: bool, fast: bool):
     # stack of open containers: (span index or None for file, type name)
     stack = [(None, None)]
     decl = []
-    i, n = 0, len(toks)
+    i = 0
 
     def body_scan(lo, hi, parent):
         """Statements / calls / locals / identifiers inside a body toks[lo:hi]."""
