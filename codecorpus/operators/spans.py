@@ -93,6 +93,8 @@ def scan_files(files: DataFrame, text: str = "source_code", lang: str = "java",
     n_statements; offsets are 0-based, half-open code points of ``text``;
     bodies exclude braces.  ``body_tokens`` adds call / local / ident spans.
     """
+    from codecorpus.session import ship_library
+    ship_library(files.sparkSession)
     out = T.StructType(list(files.schema.fields) + [T.StructField("spans", T.ArrayType(SPAN))])
     # The scan is CPU-bound Python: give it at least 2 tasks per core.  A large
     # input already has many splits and is left as it is; a few big row

@@ -65,6 +65,8 @@ def typed_inputs(params: DataFrame, key_cols: list[str], seed: int = K.SEED_GENE
     """K1 + K2: a value for every elementary parameter (arrays ``T[n]`` get n
     values); other types are skipped.  ``value`` is text; arrays render as
     ``[v1, v2, ...]``."""
+    from codecorpus.session import ship_library
+    ship_library(params.sparkSession)  # the big-integer helper runs in Python workers
     arr_m = F.regexp_extract("type", r"^(.+)\[([0-9]+)\]$", 2)
     base = F.when(arr_m != "", F.regexp_extract("type", r"^(.+)\[([0-9]+)\]$", 1)).otherwise(F.col("type"))
     p = params.withColumn("_base", base).withColumn("_n", F.when(arr_m != "", arr_m.try_cast("int")))

@@ -70,3 +70,31 @@ def checkpoint(df):
     """Reliable, eager checkpoint in the session's checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Make ``codecorpus`` importable in Python workers (``addPyFile`` of a
+    zip of the package), once per SparkContext.  Needed for the span scanner
+    and the pandas UDFs when executors do not have the package installed."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="codecorpus-lib-")
+    path = os.path.join(out_dir, "codecorpus.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            if "__pycache__" in root:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
