@@ -144,3 +144,12 @@ def test_odd_log_values_do_not_fail(spark):
     assert out[0]["new_compiler_feedback"] == "<file>p/r.java<line>99999999999<col>1<line_of_code><err>x"
     st = spark.createDataFrame([("99999999999) step done\n3) step done",), ("nothing",)], "s string")
     assert [r[0] for r in st.select(L.stage_reached(F.col("s"))).collect()] == [3, 0]
+
+
+def test_plugin_tokenizer_matches_default_counts(spark):
+    import re
+    from codecorpus import constants as K
+    d = X.table(spark, SMALL, "documents").select("doc_id", "text").limit(50)
+    tok = lambda xs: [[1] * len(re.findall(K.RE_TOKEN, x)) for x in xs]
+    out = d.select(TR.token_count(F.col("text")).alias("a"), TR.token_count(F.col("text"), tok).alias("b"))
+    assert out.where("a <> b").count() == 0
