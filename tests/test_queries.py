@@ -7,7 +7,7 @@ import __spark_entry__ as E
 from oracle_harness import compare, duck
 
 SMALL = "/root/testdata/sf0.001"
-NAMES = sorted(E.queries())
+NAMES = sorted(E.QUERIES)
 
 
 @pytest.fixture(scope="module")
