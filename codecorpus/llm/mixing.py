@@ -91,8 +91,8 @@ def mix(docs: DataFrame, max_passes: int = MAX_PASSES, tilt=tilt_by_weight) -> D
     placed = sized.withColumn("before", F.sum("size").over(w) - F.col("size")).join(starts, ["skey", "bucket"])
     demand = F.round("target").cast("long")
     passes = F.array(*[F.struct(
-        position((F.col("before") + F.col("bucket_start") + p * F.col("source_size")) / demand,
-                 F.col("tilt")).alias("position"),
+        position(F.try_divide((F.col("before") + F.col("bucket_start") + p * F.col("source_size")).cast("double"),
+                              demand.cast("double")), F.col("tilt")).alias("position"),
         F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), demand - p * F.col("source_size")
                 - F.col("bucket_start") - F.col("before"))).alias("words")) for p in range(max_passes)])
     taken = F.aggregate("passes", F.lit(0).cast("long"), lambda acc, p: acc + p["words"])
