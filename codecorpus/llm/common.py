@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codecorpus.session import checkpoint, ensure_checkpoint_dir, ship_library
@@ -42,3 +42,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(docs: DataFrame, row: list | None = None) -> DataFrame:
+    """``_id, _hash, _nth`` for every row: its id, the hash of its text, and a
+    number among rows that are equal in both.  ``row``: its columns as ``_row``."""
+    cols = [F.struct(*row).alias("_row")] if row else []
+    ids = docs.select(*cols, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    return ids.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash")))
+
+
+def rows_of(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """The rows of ``docs`` named by ``picked(doc_id, text_hash)``, each once."""
+    same = Window.partitionBy("_id", "_hash").orderBy("_hash")
+    wanted = picked.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).withColumn(
+        "_nth", F.row_number().over(same))
+    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("_id", "_hash", "_nth")]
+    return numbered(docs, docs.columns).alias("r").join(wanted.alias("p"), on, "left_semi").select("_row.*")

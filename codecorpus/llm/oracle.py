@@ -33,6 +33,48 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+EXACT_DEDUP = """
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM d
+"""
+
+SHARDING = """
+WITH d AS (
+  SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, sha256(coalesce(text, '')) AS text_sha256,
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+  FROM documents),
+levels AS (
+  SELECT d.*, depth, h >> (60 - depth)::INT AS prefix FROM d, range(0, 61) r(depth)),
+loads AS (
+  SELECT depth, prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs, min(h) = max(h) AS same
+  FROM levels GROUP BY depth, prefix),
+leaf AS (
+  SELECT l.doc_id, l.n_bytes, l.text_sha256, min(l.depth) AS shard_depth, arg_min(l.prefix, l.depth) AS prefix
+  FROM levels l JOIN loads b ON l.depth = b.depth AND l.prefix = b.prefix
+  WHERE b.shard_bytes <= 4194304 OR b.same GROUP BY ALL)
+SELECT leaf.doc_id, leaf.n_bytes, leaf.text_sha256, leaf.shard_depth::INT AS shard_depth, b.shard_bytes, b.shard_docs,
+       'b' || CASE WHEN leaf.shard_depth = 0 THEN '' ELSE right(repeat('0', 60) || bin(leaf.prefix), leaf.shard_depth::INT) END AS shard
+FROM leaf JOIN loads b ON leaf.shard_depth = b.depth AND leaf.prefix = b.prefix
+"""
+
+WARC = """
+WITH d AS (SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY p) AS keep FROM d)
+SELECT page_id, strlen(p)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(h, (5 * (i // 4) + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+FROM k
+"""
+
 ORACLE = {
+    "op2_exact_dedup": EXACT_DEDUP,
     "op4_mixing": MIXING,
+    "op8_sharding": SHARDING,
+    "op10_warc": WARC,
 }

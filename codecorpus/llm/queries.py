@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecorpus.llm import mixing
-from codecorpus.llm.common import table
+from codecorpus.llm import dedup, mixing, sharding, warc
+from codecorpus.llm.common import cut, shared_path, table
 from codecorpus.llm.oracle import ORACLE  # noqa: F401
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of equal documents stays, for every document."""
+    return dedup.exact_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, in training order."""
     plan = mixing.in_order(mixing.mix(table(spark, sf_dir, "documents")))
@@ -17,6 +23,27 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.round("first_position", 9).alias("first_position"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all documents to shards of at most 4 MiB of text and read them back."""
+    assigned = sharding.assign(table(spark, sf_dir, "documents"))
+    path = shared_path(spark, "shards")
+    sharding.write(assigned, path)
+    return sharding.read(spark, path, assigned).select(
+        "doc_id", "shard", "shard_depth", "shard_bytes", "shard_docs", sharding.n_bytes().alias("n_bytes"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive all pages as WARC files, read these back and index their pages."""
+    path = shared_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    index = warc.page_index(warc.reassemble(cut(warc.read_records(spark, path))))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
     "op4_mixing": op4_mixing,
+    "op8_sharding": op8_sharding,
+    "op10_warc": op10_warc,
 }
