@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecorpus.llm import dedup, mixing, sharding, warc
+from codecorpus.llm import dedup, mixing, packing, sharding, warc
 from codecorpus.llm.common import cut, shared_path, table
 from codecorpus.llm.oracle import ORACLE  # noqa: F401
 
@@ -23,6 +23,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.round("first_position", 9).alias("first_position"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents to shards of at most 4 MiB of text and read them back."""
     assigned = sharding.assign(table(spark, sf_dir, "documents"))
@@ -44,6 +49,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_mixing": op4_mixing,
+    "op5_packing": op5_packing,
     "op8_sharding": op8_sharding,
     "op10_warc": op10_warc,
 }
