@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecorpus.llm import dedup, mixing, packing, sharding, warc
+from codecorpus.llm import dedup, mixing, packing, sharding, simhash, warc
 from codecorpus.llm.common import cut, shared_path, table
 from codecorpus.llm.oracle import ORACLE  # noqa: F401
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts; for ids divisible
+    by 20 also the number of documents within three bits, by block tables."""
+    found = cut(simhash.with_edits(table(spark, sf_dir, "documents")))
+    near = simhash.near_counts(found.select("doc_id", "fp"))
+    asked = F.when(F.col("doc_id") % 20 == 0, F.col("near_docs"))
+    return found.join(near, "fp", "left").select(
+        "doc_id", "n_chars", "edited_sha256", simhash.as_hex(F.col("fp")).alias("fingerprint"),
+        simhash.as_hex(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next", asked.alias("near_docs"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of equal documents stays, for every document."""
     return dedup.exact_dedup(table(spark, sf_dir, "documents")).select(
@@ -47,6 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
