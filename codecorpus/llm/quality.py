@@ -29,7 +29,11 @@ from codecorpus.llm.common import cut, rows_of
 SAMPLE = 8192
 FEATURES = 1 << 18
 #: A feature needs this many sample documents.
-LEAST_DOCS = 4
+LEAST_DOCS = 3
+#: Lengths of word beginnings that are features.
+PREFIXES = (4, 6)
+#: A bad document counts this many times in fitting.
+BAD_WEIGHT = 3.0
 #: Words whose features a Python worker keeps.
 CACHE_WORDS = 1_000_000
 #: Strength of a prior when sites do not differ at all.
@@ -45,10 +49,12 @@ def _feature(name: str) -> int:
 
 
 def _word_features(word: str) -> tuple[int, ...]:
-    """Features of a word: itself in lower case without marks, and its shape."""
+    """Features of a word: itself in lower case without marks, its first
+    letters, and its shape."""
     shape = _DIGITS.sub("0", _LETTERS.sub(lambda m: "A" if len(m[0]) > 1 and m[0].isupper() else "a", word))
     core = _EDGES.sub("", word).lower()
-    return (_feature("w " + core), _feature("s " + shape[:12])) if core else (_feature("s " + shape[:12]),)
+    names = ["s " + shape[:12]] + ["w " + core] * bool(core) + ["p " + core[:k] for k in PREFIXES if len(core) > k]
+    return tuple(map(_feature, names))
 
 
 _cache: dict[str, tuple[int, ...]] = {}
@@ -79,32 +85,32 @@ def features(text: str | None) -> list[int]:
     return sorted(found)
 
 
-def fit(rows: list[list[int]], good: list[int], steps: int = 150, decay: float = 2e-4) -> np.ndarray:
-    """Weights (the last is the bias) of a logistic regression on feature sets,
-    by gradient descent with momentum.  Without rows of both kinds: no weights."""
-    weights = np.zeros(FEATURES + 1)
+def fit(rows: list[list[int]], good: list[int], steps: int = 100, decay: float = 1e-3, rate: float = 0.05) -> np.ndarray:
+    """Weights (the last is the bias) of a logistic regression on feature sets.
+
+    A feature's value is its log count ratio between good and bad documents,
+    so that few steps of adaptive gradient descent settle the weights.  Without
+    documents of both kinds all weights are 0.
+    """
     if len(set(good)) < 2:
-        return weights
+        return np.zeros(FEATURES + 1)
     y = np.array(good, float)
-    ids = np.concatenate([np.array(r) for r in rows])
-    starts = np.cumsum([0] + [len(r) for r in rows[:-1]])
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    common = np.bincount(ids, minlength=FEATURES) >= LEAST_DOCS
-    value = common[ids].astype(float)
-    scale = 1.0 / np.sqrt(np.bincount(ids, weights=value, minlength=FEATURES) + 1.0)
-    value *= scale[ids] * np.sqrt(len(rows)) / 8
-    w, speed, bias = np.zeros(FEATURES), np.zeros(FEATURES), np.log(y.mean() / (1 - y.mean()))
-    size = np.sqrt(np.add.reduceat(value * value, starts)).mean() ** 2 + 1
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-(np.add.reduceat(w[ids] * value, starts) + bias)))
-        error = (p - y) / len(y)
+    lengths = np.array([len(r) for r in rows])
+    ids, starts, doc = np.concatenate([np.array(r) for r in rows]), np.cumsum(np.r_[0, lengths[:-1]]), np.repeat(np.arange(len(rows)), lengths)
+    seen = np.bincount(ids, minlength=FEATURES)
+    in_good = np.bincount(ids, weights=y[doc], minlength=FEATURES)
+    ratio = np.log((in_good + 0.5) / (y.sum() + 1)) - np.log((seen - in_good + 0.5) / ((1 - y).sum() + 1))
+    ratio[seen < LEAST_DOCS] = 0
+    value, weigh = ratio[ids], np.where(y == 1, 1.0, BAD_WEIGHT) / len(y)
+    w, mean, square, bias = np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(FEATURES), 0.0
+    for t in range(1, steps + 1):
+        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[ids] * value, starts) + bias, -30, 30)))
+        error = (p - y) * weigh
         gradient = np.bincount(ids, weights=error[doc] * value, minlength=FEATURES) + decay * w
-        speed = 0.9 * speed - 4.0 / size * gradient
-        w += speed
-        bias -= error.sum()
-    weights[:-1] = w * scale * np.sqrt(len(rows)) / 8
-    weights[-1] = bias
-    return weights
+        mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient * gradient
+        w -= rate * (mean / (1 - 0.9 ** t)) / (np.sqrt(square / (1 - 0.99 ** t)) + 1e-8)
+        bias -= 2 * error.sum()
+    return np.r_[w * ratio, bias]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:

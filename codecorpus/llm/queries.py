@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecorpus.llm import dedup, mixing, packing, sharding, simhash, warc
+from codecorpus.llm import dedup, mixing, packing, quality, sharding, simhash, urls, warc
 from codecorpus.llm.common import cut, shared_path, table
 from codecorpus.llm.oracle import ORACLE  # noqa: F401
 
@@ -39,6 +39,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page, by rule or by the classifier."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all documents to shards of at most 4 MiB of text and read them back."""
     assigned = sharding.assign(table(spark, sf_dir, "documents"))
@@ -49,6 +54,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality posterior of every document from its text and its site."""
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.drop("text_hash")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages as WARC files, read these back and index their pages."""
     path = shared_path(spark, "warc")
@@ -62,6 +73,8 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
+    "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
+    "op9_quality": op9_quality,
     "op10_warc": op10_warc,
 }
