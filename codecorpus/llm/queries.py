@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecorpus.llm import dedup, mixing, packing, quality, sharding, simhash, urls, warc
+from codecorpus.llm import dedup, jaccard, mixing, packing, quality, sharding, simhash, urls, warc
 from codecorpus.llm.common import cut, shared_path, table
 from codecorpus.llm.oracle import ORACLE  # noqa: F401
 
@@ -39,6 +39,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 3 words are at least 90 % alike."""
+    return jaccard.group(table(spark, sf_dir, "documents"), 3, (90, 100)).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the url of every page, by rule or by the classifier."""
     return urls.judge(table(spark, sf_dir, "pages"))
@@ -73,6 +78,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_url_filter": op7_url_filter,
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
