@@ -69,7 +69,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive all pages as WARC files, read these back and index their pages."""
     path = shared_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
-    index = warc.page_index(warc.reassemble(cut(warc.read_records(spark, path))))
+    index = warc.page_index(warc.reassemble(warc.read_records(spark, path)))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

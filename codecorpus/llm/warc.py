@@ -65,19 +65,25 @@ def record_id(*parts) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(digest, "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), F.lit(">"))
 
 
+def _keys():
+    return F.coalesce("page_id", F.lit(0)).alias("pid"), F.col("page_id").isNull().alias("pnull"), F.xxhash64(F.coalesce("html", F.lit(""))).alias("payload_hash")
+
+
 def roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``page_id, payload_hash, nth, keep_id, refers_to``: of equal payloads of at
-    least ``least_bytes`` bytes, the largest page id is the response (rows that
-    repeat it count as revisits); ``refers_to`` is null for responses."""
+    """One row per page id and payload: ``pid, pnull, payload_hash, refers_to, refers_rest``.
+
+    Of equal payloads of at least ``least_bytes`` bytes, the largest page id is
+    the response; ``refers_to`` is what this page refers to (null: nothing),
+    ``refers_rest`` the same for rows that repeat both id and payload.
+    """
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", F.xxhash64(payload).alias("payload_hash"), F.sha2(payload, 256).alias("sha256"),
-                        F.octet_length(payload).alias("n"))
-    same = Window.partitionBy("page_id", "sha256").orderBy("n")
-    rows = cut(rows.withColumn("nth", F.row_number().over(same)))
+    rows = cut(pages.select("page_id", *_keys(), F.sha2(payload, 256).alias("sha256"), F.octet_length(payload).alias("n")).distinct())
     first = rows.groupBy("sha256").agg(F.max("page_id").alias("keep_id"))
-    own = (F.col("n") < least_bytes) | (F.col("page_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1))
-    both = rows.join(first, "sha256")
-    return both.select("page_id", "payload_hash", "nth", F.when(~own, page_key("keep_id", F.lit(1), "payload_hash")).alias("refers_to"))
+    target = page_key("keep_id", F.lit(1), "payload_hash")
+    small = F.col("n") < least_bytes
+    return rows.join(first, "sha256").select(
+        "pid", "pnull", "payload_hash", F.when(~small & ~F.col("page_id").eqNullSafe(F.col("keep_id")), target).alias("refers_to"),
+        F.when(~small, target).alias("refers_rest"))
 
 
 def page_key(page_id, nth, payload_hash) -> Column:
@@ -98,10 +104,12 @@ def records(pages: DataFrame, least_bytes: int = 0, date: str = "1970-01-01T00:0
     null urls and page ids leave their header line out.
     """
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.xxhash64(payload).alias("payload_hash"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("page_id", "payload_hash").orderBy("url")))
-    on = [F.col(f"p.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("page_id", "payload_hash", "nth")]
-    full = rows.alias("p").join(roles(pages, least_bytes).alias("r"), on).select("p.*", "r.refers_to")
+    keys = ["pid", "pnull", "payload_hash"]
+    rows = pages.select("page_id", "url", payload.alias("payload"), *_keys())
+    # The window and the join deal rows out by the same keys: the payload moves once.
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("url")))
+    full = rows.join(roles(pages, least_bytes), keys).withColumn(
+        "refers_to", F.when(F.col("nth") == 1, F.col("refers_to")).otherwise(F.col("refers_rest")))
     block = F.when(F.col("refers_to").isNull(), F.concat(F.lit(HTTP_HEAD), chunked(F.col("payload"), chunk_chars))).otherwise(F.lit(HTTP_HEAD))
     parts = full.select(
         "page_id", "nth", "payload_hash", "refers_to", F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A").alias("url"),
