@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecorpus.llm import dedup, jaccard, mixing, packing, quality, sharding, simhash, urls, warc
+from codecorpus.llm import dedup, jaccard, mixing, packing, quality, sharding, simhash, suffixes, urls, warc
 from codecorpus.llm.common import cut, shared_path, table
 from codecorpus.llm.oracle import ORACLE  # noqa: F401
 
@@ -27,6 +27,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removing repeated strings of 100 bytes leaves of every document."""
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document, in training order."""
     plan = mixing.in_order(mixing.mix(table(spark, sf_dir, "documents")))
@@ -76,6 +81,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
     "op6_ngram_jaccard": op6_ngram_jaccard,
