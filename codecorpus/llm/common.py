@@ -44,18 +44,27 @@ def default_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def numbered(docs: DataFrame, row: list | None = None) -> DataFrame:
-    """``_id, _hash, _nth`` for every row: its id, the hash of its text, and a
-    number among rows that are equal in both.  ``row``: its columns as ``_row``."""
-    cols = [F.struct(*row).alias("_row")] if row else []
-    ids = docs.select(*cols, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
-    return ids.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash")))
+#: What names a row: its id (0 for null), whether that is null, and the hash of its text.
+ROW_KEY = ["_id", "_none", "_hash"]
+
+
+def row_key(text_hash: Column) -> list[Column]:
+    return [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), text_hash.alias("_hash")]
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """``_nth``: a number among rows of equal key."""
+    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*ROW_KEY).orderBy("_hash")))
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """Every row as ``_row`` with its key and number.  A join on the key needs
+    no further shuffle of the rows."""
+    return numbered(docs.select(F.struct(*docs.columns).alias("_row"), *row_key(F.xxhash64("text"))))
 
 
 def rows_of(docs: DataFrame, picked: DataFrame) -> DataFrame:
-    """The rows of ``docs`` named by ``picked(doc_id, text_hash)``, each once."""
-    same = Window.partitionBy("_id", "_hash").orderBy("_hash")
-    wanted = picked.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).withColumn(
-        "_nth", F.row_number().over(same))
-    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("_id", "_hash", "_nth")]
-    return numbered(docs, docs.columns).alias("r").join(wanted.alias("p"), on, "left_semi").select("_row.*")
+    """The rows of ``docs`` named by ``picked(doc_id, text_hash)``, each as
+    often as it is picked."""
+    counts = picked.select(*row_key(F.col("text_hash"))).groupBy(*ROW_KEY).agg(F.count(F.lit(1)).alias("_picked"))
+    return keyed_rows(docs).join(counts, ROW_KEY).where("_nth <= _picked").select("_row.*")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codecorpus.llm.common import WORD, cut, numbered
+from codecorpus.llm.common import ROW_KEY, WORD, cut, keyed_rows, numbered, row_key
 
 #: A source is read at most this many times.
 MAX_PASSES = 3
@@ -114,12 +114,8 @@ def training_rows(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     document without words stays once, at the end)."""
     whole = F.filter("passes", lambda p: 2 * p["words"] >= F.col("size"))
     at = F.when(F.col("size") == 0, F.array(F.lit(2.0))).otherwise(F.transform(whole, lambda p: p["position"]))
-    same = Window.partitionBy("_id", "_hash").orderBy("_hash")
     # Rows equal in id and text are numbered on both sides, so that each meets one.
-    plan = (mixed.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), at.alias("_at"))
-            .withColumn("_nth", F.row_number().over(same)))
-    rows = numbered(docs, docs.columns)
-    on = [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("_id", "_hash", "_nth")]
-    both = rows.alias("r").join(plan.alias("p"), on)
-    return (both.select("r._row", F.explode("p._at").alias("_position"))
+    plan = numbered(mixed.select(*row_key(F.col("text_hash")), at.alias("_at"))).withColumnRenamed("_nth", "_other")
+    both = keyed_rows(docs).join(plan, ROW_KEY).where(F.col("_nth") - F.col("_other") == 0)
+    return (both.select("_row", F.explode("_at").alias("_position"))
             .orderBy("_position", F.col("_row")["doc_id"]).select("_row.*"))
