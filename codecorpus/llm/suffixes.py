@@ -36,8 +36,8 @@ from codecorpus.llm.common import cut, default_partitions, shared_path
 
 LENGTH = 100
 GRAM = 32
-#: Differing segments of one anchor that are resolved in one task.
-TOGETHER = 256
+#: Differing segments of one anchor that are resolved in one task (under 1 MB).
+TOGETHER = 4096
 #: Below this many rows, multikey quicksort leaves the rest to a plain sort.
 SMALL = 1024
 
@@ -353,7 +353,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, partitions: int | None
     read = texts if ids.n == ids.ids else texts.dropDuplicates(["d", "tie"])
     suffixes = read.select("d", "tie", "text").sortWithinPartitions("d", "tie").mapInArrow(_suffixes(length), SUFFIX_DDL)
     marks, opened = buckets(suffixes, partitions, length)
-    sizes = opened.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written first, so that the join below can split a frequent anchor.
+    sizes = cut(opened.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     opened = cut(opened.join(sizes, "gram"))
     lists = opened.groupBy("d", "tie").agg(F.collect_list(F.struct("gram", "at", "n")).alias("all"))
 
