@@ -180,10 +180,13 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
                                                 F.sum(F.col("evidence") * F.col("evidence")).alias("squares")))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("host_mean"))
     total = paths.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("mean")).alias("sum"), F.sum("squares").alias("squares"),
-                      F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("means")).first()
+                      F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("means"), F.count(F.lit(1)).alias("paths")).first()
     n = total.n or 1
     prior = min(1 - 1e-4, max(1e-4, (total["sum"] or 0.5) / n))
-    within = max(1e-9, ((total.squares or 0.0) - (total.means or 0.0)) / n)
+    # Variance within paths; where every path has one document, that of all documents.
+    spread = n > total.paths > 0
+    squares = (total.squares or 0.0) - (total.means if spread else n * prior * prior)
+    within = max(1e-9, squares / (n - total.paths if spread else n))
     sites = paths.join(hosts, "host").withColumn("prior", F.lit(prior))
     k_host = _strength(hosts.select(F.col("host_n").alias("n"), F.col("host_mean").alias("mean"), F.lit(prior).alias("prior")), "prior", within)
     k_path = _strength(sites, "host_mean", within)
