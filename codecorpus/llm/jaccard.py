@@ -352,7 +352,9 @@ def group(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIM
     links = cut(sides(edges).mapInArrow(_verify(words, similarity), "a long, b long"))
     labels = components(texts.select("sid"), links)
     # Blocks that are not connected yet; those with the same members once.
-    known = members.join(blocks.select("key", "a", "size", "print"), "key").join(labels, "sid")
+    # The smallest member has met all others, so it and blocks of two are done.
+    larger = blocks.where("size > 2").select("key", "a", "size", "print")
+    known = members.join(larger, "key").where("sid <> a").join(labels, "sid")
     openly = known.groupBy("key", "a", "size", "print").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     once = openly.groupBy("a", "size", "print").agg(F.min("key").alias("key"))
     rest = known.join(once.select("key"), "key", "left_semi").select("key", "sid", "component", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
