@@ -20,8 +20,10 @@ def normalize_newlines(s: Column) -> Column:
 
 def lenient_text(content: Column) -> Column:
     """A2: bytes -> text, undecodable bytes dropped, line ends normalised."""
-    text = F.make_valid_utf8(content.cast("string"))
-    return normalize_newlines(F.replace(text, F.lit("\ufffd"), F.lit("")))
+    # U+FFFD that is really in the file is set aside under a private character.
+    aside = F.replace(content.cast("string"), F.lit("\ufffd"), F.lit("\U0010fffe"))
+    text = F.replace(F.make_valid_utf8(aside), F.lit("\ufffd"), F.lit(""))
+    return normalize_newlines(F.replace(text, F.lit("\U0010fffe"), F.lit("\ufffd")))
 
 
 def remove_comments(s: Column) -> Column:

@@ -39,6 +39,17 @@ def _explode(df: DataFrame, keys: list[str], arr: Column) -> DataFrame:
             .where(F.col("_ok").isNotNull()).select(*keys, "_v.*"))
 
 
+def _explode_cut(df: DataFrame, keys: list[str], arr: Column, text: str, columns) -> DataFrame:
+    """``_explode`` of offsets, then text cut per output row.
+
+    ``arr`` holds offsets and names only; ``columns(t)`` gives the result
+    columns from the text ``t`` and the exploded fields.  A row's memory stays
+    linear in its file, however many texts are cut from it.
+    """
+    rows = _explode(df.withColumn("_text", F.col(text)), [*keys, "_text"], arr)
+    return rows.select(*keys, *columns(F.col("_text")))
+
+
 # ---------------------------------------------------------------------------
 # Solidity
 # ---------------------------------------------------------------------------
@@ -46,12 +57,11 @@ def _explode(df: DataFrame, keys: list[str], arr: Column) -> DataFrame:
 def contracts(scanned: DataFrame, keys: list[str], text: str = "source_code",
               types=("contract",)) -> DataFrame:
     """D3 + C5: one row per contract (``type`` in ``types``) with its source."""
-    t = F.col(text)
     cs = F.filter(F.col("spans"), lambda s: (s["kind"] == "contract") & s["type"].isin(*types))
     arr = F.transform(cs, lambda s: F.struct(
-        s["name"].alias("contract_name"), s["ord"].alias("contract_ord"),
-        cut(t, s["start"], s["end"]).alias("contract_source")))
-    return _explode(scanned, keys, arr)
+        s["name"].alias("contract_name"), s["ord"].alias("contract_ord"), s["start"].alias("_a"), s["end"].alias("_b")))
+    return _explode_cut(scanned, keys, arr, text, lambda t: [
+        "contract_name", "contract_ord", cut(t, F.col("_a"), F.col("_b")).alias("contract_source")])
 
 
 def _in_contract(s: Column, types) -> Column:
@@ -71,40 +81,30 @@ def contract_functions(scanned: DataFrame, keys: list[str], text: str = "source_
     D5: ``function`` = signature + body, ``masked_contract`` with the whole
     function replaced by ``<FILL_FUNCTION>``.
     """
-    t = F.col(text)
     fs = F.filter(F.col("spans"), lambda s: (s["kind"] == "function") & s["body_start"].isNotNull()
                   & _in_contract(s, types))
 
-    def row(s):
+    def offsets(s):
         c = span_at(s["parent_ord"])
-        if whole:
-            return F.struct(
-                c["name"].alias("contract_name"), s["name"].alias("func_name"),
-                cut(t, c["start"], s["start"]).alias("_pre"),
-                F.concat(cut(t, c["start"], s["start"]), F.lit(K.FILL_FUNCTION),
-                         cut(t, s["end"], c["end"])).alias("masked_contract"),
-                cut(t, s["start"], s["end"]).alias("function"))
-        extra = [cut(t, c["start"], c["end"]).alias("contract_source")] if with_source else []
-        if masked:  # fields built inside the lambda are not pruned later: opt in
-            extra.insert(0, F.concat(cut(t, c["start"], s["body_start"]), F.lit(K.FILL_FUNCTION_BODY),
-                                     cut(t, s["body_end"], c["end"])).alias("masked_contract"))
         return F.struct(
-            c["name"].alias("contract_name"), s["name"].alias("func_name"),
-            s["ord"].alias("func_ord"), s["start"].alias("func_start"),
-            s["body_start"].alias("body_start"),
-            cut(t, s["body_start"], s["body_end"]).alias("func_body"), *extra)
-
-    out = _explode(scanned, keys, F.transform(fs, row))
-    return out.drop("_pre") if whole else out
+            c["name"].alias("contract_name"), s["name"].alias("func_name"), s["ord"].alias("func_ord"),
+            s["start"].alias("func_start"), s["end"].alias("_end"), s["body_start"].alias("body_start"),
+            s["body_end"].alias("_body_end"), c["start"].alias("_c_start"), c["end"].alias("_c_end"))
 
+    def columns(t):
+        a, b, c0, c1 = F.col("body_start"), F.col("_body_end"), F.col("_c_start"), F.col("_c_end")
+        if whole:
+            return ["contract_name", "func_name",
+                    F.concat(cut(t, c0, F.col("func_start")), F.lit(K.FILL_FUNCTION), cut(t, F.col("_end"), c1)).alias("masked_contract"),
+                    cut(t, F.col("func_start"), F.col("_end")).alias("function")]
+        out = ["contract_name", "func_name", "func_ord", "func_start", "body_start", cut(t, a, b).alias("func_body")]
+        if masked:
+            out.append(F.concat(cut(t, c0, a), F.lit(K.FILL_FUNCTION_BODY), cut(t, b, c1)).alias("masked_contract"))
+        if with_source:
+            out.append(cut(t, c0, c1).alias("contract_source"))
+        return out
 
-def inherited_edges(scanned: DataFrame, keys: list[str], as_array: bool = False):
-    """Edges (file, child, base, pos) of contract inheritance lists."""
-    cs = F.filter(F.col("spans"), lambda s: s["kind"] == "contract")
-    arr = F.flatten(F.transform(cs, lambda s: F.transform(
-        s["bases"], lambda b, i: F.struct(s["name"].alias("child"), b.alias("base"),
-                                          i.alias("pos")))))
-    return arr if as_array else _explode(scanned, keys, arr)
+    return _explode_cut(scanned, keys, F.transform(fs, offsets), text, columns)
 
 
 def visible_members(scanned: DataFrame, keys: list[str], text: str = "source_code",
@@ -123,7 +123,7 @@ def visible_members(scanned: DataFrame, keys: list[str], text: str = "source_cod
         & s["parent_ord"].isNotNull() & (span_at(s["parent_ord"])["kind"] == "contract"))
     arr = F.transform(ms, lambda s: F.struct(
         span_at(s["parent_ord"])["name"].alias("contract_name"),
-        s["ord"].alias("member_ord"),
+        s["parent_ord"].alias("contract_ord"), s["ord"].alias("member_ord"),
         F.when((s["kind"] == "function") & s["body_start"].isNotNull(),
                F.concat(cut(t, s["start"], s["body_start"] - 1), F.lit(K.BODY_PLACEHOLDER)))
         .otherwise(cut(t, s["start"], s["end"])).alias("element")))
@@ -137,27 +137,39 @@ def visible_members(scanned: DataFrame, keys: list[str], text: str = "source_cod
 def java_methods(scanned: DataFrame, keys: list[str], text: str = "source_code") -> DataFrame:
     """D1 + F5 + E8 + H16: one masked sample per method with a body.
 
-    The class is the *outermost* ``class`` declaration containing the body
-    (containment test on the same row's spans; spans are ordered by start,
-    so the first match is the outermost).  A method in no class gets a NULL
-    class and no masked text (``status='no_class'``).
+    The class is the *outermost* ``class`` declaration containing the body,
+    found by walking up the method's parents.  Methods declared directly in an
+    interface give no row.  A method in no class gets a NULL class and no
+    masked text (``status='no_class'``).
     """
-    t = F.col(text)
-    ms = F.filter(F.col("spans"), lambda s: (s["kind"] == "method") & s["body_start"].isNotNull())
+    ms = F.filter(F.col("spans"), lambda s: (s["kind"] == "method") & s["body_start"].isNotNull()
+                  & (F.coalesce(span_at(s["parent_ord"])["type"], F.lit("")) != "interface"))
 
-    def row(s):
-        enclosing = F.filter(F.col("spans"), lambda c: (c["kind"] == "class") & (c["type"] == "class")
-                             & (c["kw_start"] < s["body_start"]) & (c["end"] > s["body_end"]))
-        c = F.try_element_at(enclosing, F.lit(1))
+    def offsets(s):
+        c = span_at(outermost_class(s))
         return F.struct(
-            c["name"].alias("class_name"), s["name"].alias("func_name"),
-            s["ord"].alias("func_ord"),
-            F.concat(cut(t, c["kw_start"], s["body_start"]), F.lit(K.FILL_FUNCTION_BODY),
-                     cut(t, s["body_end"], c["end"])).alias("masked_class"),
-            cut(t, s["body_start"], s["body_end"]).alias("func_body"),
-            F.when(c.isNull(), F.lit("no_class")).otherwise(F.lit("ok")).alias("status"))
-
-    return _explode(scanned, keys, F.transform(ms, row))
+            c["name"].alias("class_name"), s["name"].alias("func_name"), s["ord"].alias("func_ord"),
+            s["body_start"].alias("_a"), s["body_end"].alias("_b"), c["kw_start"].alias("_c_start"), c["end"].alias("_c_end"))
+
+    return _explode_cut(scanned, keys, F.transform(ms, offsets), text, lambda t: [
+        "class_name", "func_name", "func_ord",
+        F.concat(cut(t, F.col("_c_start"), F.col("_a")), F.lit(K.FILL_FUNCTION_BODY),
+                 cut(t, F.col("_b"), F.col("_c_end"))).alias("masked_class"),
+        cut(t, F.col("_a"), F.col("_b")).alias("func_body"),
+        F.when(F.col("_c_start").isNull(), F.lit("no_class")).otherwise(F.lit("ok")).alias("status")])
+
+
+def outermost_class(s: Column) -> Column:
+    """ord of the outermost ``class`` around a span, or NULL: one step up per nesting level."""
+    none = F.lit(None).cast("int")
+    walk = F.aggregate(
+        F.sequence(F.lit(0), F.coalesce(s["depth"], F.lit(0)) + 1),
+        F.struct(s["parent_ord"].alias("at"), none.alias("found")),
+        lambda acc, _: F.struct(
+            span_at(acc["at"])["parent_ord"].alias("at"),
+            F.when((span_at(acc["at"])["kind"] == "class") & (span_at(acc["at"])["type"] == "class"), acc["at"])
+            .otherwise(acc["found"]).alias("found")))
+    return walk["found"]
 
 
 def java_match_back(samples: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:

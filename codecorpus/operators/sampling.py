@@ -123,9 +123,16 @@ def shard(df: DataFrame, order: list[str], n_shards: int) -> DataFrame:
 
 
 def positional_zip(left: DataFrame, right: DataFrame, left_order: list[str],
-                   right_order: list[str], how: str = "inner") -> DataFrame:
-    """pair the i-th row of ``left`` with the i-th row of ``right``."""
-    return global_index(left, left_order).join(global_index(right, right_order), "idx", how)
+                   right_order: list[str], how: str = "full") -> DataFrame:
+    """pair the i-th row of ``left`` with the i-th row of ``right``.
+
+    ``status`` is ``ok``, or ``no_left`` / ``no_right`` for the surplus rows of
+    the longer side, which are kept."""
+    a = global_index(left, left_order).withColumn("_l", F.lit(True))
+    b = global_index(right, right_order).withColumn("_r", F.lit(True))
+    status = (F.when(F.col("_l").isNull(), F.lit("no_left")).when(F.col("_r").isNull(), F.lit("no_right"))
+              .otherwise(F.lit("ok")))
+    return a.join(b, "idx", how).withColumn("status", status).drop("_l", "_r")
 
 
 def fixed_batches(df: DataFrame, order: list[str], size: int, out: str = "batch") -> DataFrame:
@@ -133,9 +140,10 @@ def fixed_batches(df: DataFrame, order: list[str], size: int, out: str = "batch"
     return global_index(df, order).withColumn(out, F.floor(F.col("idx") / size))
 
 
-def inspect_sample(df: DataFrame, key: str, n: int = 3, seed: int = 42) -> DataFrame:
-    """``n`` rows for inspection in md5 order (a top-k by design)."""
-    return df.orderBy(md5_key(seed, key), F.col(key)).limit(n)
+def inspect_sample(df: DataFrame, key: str | list[str], n: int = 3, seed: int = 42) -> DataFrame:
+    """``n`` rows for inspection in md5 order of their key (a top-k by design)."""
+    key = [key] if isinstance(key, str) else list(key)
+    return df.orderBy(md5_key(seed, *key), *key).limit(n)
 
 
 def by_group(df: DataFrame, key: str, partitions: int | None = None) -> DataFrame:

@@ -82,7 +82,7 @@ def _scan_batches(text_col, lang, body_tokens):
 
 
 def scan_files(files: DataFrame, text: str = "source_code", lang: str = "java",
-               body_tokens: bool = False, min_partitions: int | None = None) -> DataFrame:
+               body_tokens: bool = False, partitions: int | None = None) -> DataFrame:
     """D-job: every input column plus ``spans: array<span>`` ordered by ``ord``.
 
     ``spans[ord]`` (``element_at(spans, ord + 1)``) is the span with that
@@ -92,26 +92,25 @@ def scan_files(files: DataFrame, text: str = "source_code", lang: str = "java",
     depth, visibility, modifiers, type, params, bases, interfaces,
     n_statements; offsets are 0-based, half-open code points of ``text``;
     bodies exclude braces.  ``body_tokens`` adds call / local / ident spans.
+    ``partitions`` spreads the input first; unset, the input's own splits stay
+    (``balance`` spreads a table read from a few files).
     """
     from codecorpus.session import ship_library
     ship_library(files.sparkSession)
     out = T.StructType(list(files.schema.fields) + [T.StructField("spans", T.ArrayType(SPAN))])
-    # The scan is CPU-bound Python: give it at least 2 tasks per core.  A large
-    # input already has many splits and is left as it is; a few big row
-    # groups (one task each) are spread out first.
-    files = balance(files, min_partitions)
+    if partitions:
+        files = files.repartition(partitions)
     return files.mapInArrow(_scan_batches(text, lang, body_tokens), out)
 
 
-def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread ``df`` over at least ``min_partitions`` (default 2 per core)
-    when it arrives in fewer, e.g. one big row group; otherwise unchanged."""
-    try:
-        target = min_partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()  # planning only, no job
-    except Exception:  # sessions without RDD access: leave the input as it is
-        return df
-    return df.repartition(target) if current < target else df
+def balance(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Spread a table read from fewer files than ``partitions`` (default: 2 per
+    core) over that many tasks; scans are CPU-bound, and a file may be a single
+    row group.  Decided from the file list alone: no job, and nothing built on
+    other inputs is moved."""
+    target = partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
+    files = len(df.inputFiles())
+    return df.repartition(target) if 0 < files < target else df
 
 
 def materialize(df: DataFrame) -> DataFrame:

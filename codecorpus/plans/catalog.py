@@ -48,7 +48,7 @@ def compilable_rate_by_project(spark, sf_dir):
 @query
 def maven_feedback(spark, sf_dir):
     """E11 + J2: compiler feedback per build log."""
-    logs = X.maven_logs(_t(spark, sf_dir, "events"), MAVEN_BASE)
+    logs = X.maven_logs(S.balance(_t(spark, sf_dir, "events")), _t(spark, sf_dir, "documents"), MAVEN_BASE)
     return (R.maven_feedback(logs, MAVEN_BASE)
             .select("event_id", "proj_name", "relative_path", "compiler_feedback"))
 
@@ -427,7 +427,7 @@ from codecorpus.operators import synth as SY  # noqa: E402
 def test_split(spark, sf_dir):
     """D15 + E15 + E16 + F16: pass-only / fail-only versions of each generated
     test file, failing names read from the run output."""
-    ev = _t(spark, sf_dir, "events")
+    ev = S.balance(_t(spark, sf_dir, "events"))
     failing = X.test_logs(ev).select("event_id", LG.failed_test_names(F.col("stdout")).alias("failing"))
     files = X.test_files(ev).join(failing, "event_id")
     out = R.split_tests(S.scan_files(files, "test_code", "java"))
@@ -437,10 +437,11 @@ def test_split(spark, sf_dir):
 @query
 def feedback_lines(spark, sf_dir):
     """E13 + E14 (+J2): compiler feedback with the offending source line."""
-    fb = R.maven_feedback(X.maven_logs(_t(spark, sf_dir, "events"), MAVEN_BASE), MAVEN_BASE) \
-        .select("event_id", "proj_name", "relative_path", "compiler_feedback")
-    files = X.java_files(_t(spark, sf_dir, "documents")).select("relative_path", "source_code")
-    return R.enrich_feedback(fb, files, ["relative_path"]).select("event_id", "new_compiler_feedback")
+    logs = X.maven_logs(_t(spark, sf_dir, "events"), _t(spark, sf_dir, "documents"), MAVEN_BASE)
+    fb = R.maven_feedback(logs, MAVEN_BASE).select("event_id", "proj_name", "relative_path", "compiler_feedback")
+    files = X.java_files(_t(spark, sf_dir, "documents")).select("proj_name", "relative_path", "source_code")
+    return R.enrich_feedback(fb, files, ["proj_name", "relative_path"]).select(
+        "event_id", "new_compiler_feedback", "feedback_status")
 
 
 @query
@@ -562,7 +563,7 @@ def row_range(spark, sf_dir):
 def inspect_rows(spark, sf_dir):
     """Three rows for inspection in md5 order (seed 42)."""
     return G.inspect_sample(_t(spark, sf_dir, "conversations").select("conv_id", "turn", "role"),
-                            "conv_id", 3, 42)
+                            ["conv_id", "turn"], 3, 42)
 
 
 @query

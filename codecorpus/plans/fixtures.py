@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codecorpus import constants as K
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -110,8 +112,7 @@ def java_files(documents: DataFrame) -> DataFrame:
         f" '  private static final String NAME', {d}, ' = \"a//b{{\";\\n',"
         f" {methods}, {iface}, '}}\\n')"
     )
-    path = (f"concat('mod/src/', if(doc_id % 10 = 9, 'test', 'main'), '/java/p',"
-            f" cast(doc_id % 7 as string), '/C', {d}, '.java')")
+    path = _java_path("doc_id")
     return doc_lines(documents).select(
         "doc_id",
         F.concat(F.lit("own_"), F.col("source")).alias("proj_name"),
@@ -131,9 +132,7 @@ def compiled_classes(java: DataFrame) -> DataFrame:
 # Tool logs from events (FIXTURES §3.3)
 # ---------------------------------------------------------------------------
 
-_KINDS_SQL = ("array('ParserError', 'DocstringParsingError', 'SyntaxError', 'DeclarationError',"
-              " 'TypeError', 'UnimplementedFeatureError', 'InternalCompilerError', 'Exception',"
-              " 'CompilerError')")
+_KINDS_SQL = "array(" + ", ".join(f"'{k}'" for k in K.SOLIDITY_ERROR_KINDS) + ")"
 
 
 def solidity_logs(events: DataFrame) -> DataFrame:
@@ -157,17 +156,26 @@ def solidity_logs(events: DataFrame) -> DataFrame:
         F.expr(f"if(event_type = 'error', {err}, '')").alias("stderr"))
 
 
-def maven_logs(events: DataFrame, base: str = "/work/projects") -> DataFrame:
+def _java_path(doc: str) -> str:
+    """SQL expression of the path of a document's Java file (FIXTURES §3.2)."""
+    return (f"concat('mod/src/', if({doc} % 10 = 9, 'test', 'main'), '/java/p', cast({doc} % 7 as string),"
+            f" '/C', cast({doc} as string), '.java')")
+
+
+def maven_logs(events: DataFrame, documents: DataFrame, base: str = "/work/projects") -> DataFrame:
     """(event_id, proj_name, relative_path, log) of one Maven build per event.
 
-    Error events carry 1 + event_id%3 error lines about Java files of the
-    fixture corpus, the first one repeated, with noise lines in between.
+    An event builds the project of document ``event_id div 5`` (events beyond
+    the last document name a file that does not exist).  Error events carry
+    1 + event_id%3 error lines, the first about that file, the others about the
+    next ones; the first line is repeated, with noise lines in between.
     """
-    proj = "concat('own_src', cast(user_id % 20 as string))"
+    rows = events.withColumn("doc", F.expr("event_id div 5")).join(
+        documents.select(F.col("doc_id").alias("doc"), "source"), "doc", "left")
+    proj = "concat('own_', coalesce(source, concat('src', cast(user_id % 20 as string))))"
     line = (
-        "j -> concat('[ERROR] ', '" + base + "/', " + proj + ", '/mod/src/main/java/p',"
-        " cast((event_id + j) % 1000 % 7 as string), '/C', cast((event_id + j) % 1000 as string),"
-        " '.java:[', cast(1 + (event_id + 3 * j) % 12 as string), ',',"
+        "j -> concat('[ERROR] ', '" + base + "/', " + proj + ", '/', " + _java_path("(doc + j)") + ","
+        " ':[', cast(1 + (event_id + 3 * j) % 12 as string), ',',"
         " cast(1 + (event_id * (j + 1)) % 20 as string), '] ',"
         " element_at(array('cannot find symbol', 'incompatible types: int cannot be converted to String',"
         " '\\';\\' expected', 'missing return statement'), cast((event_id + j) % 4 as int) + 1))"
@@ -179,11 +187,10 @@ def maven_logs(events: DataFrame, base: str = "/work/projects") -> DataFrame:
         f" array(element_at({errs}, 1), '[INFO] BUILD FAILURE')), '\\n'),"
         " '[INFO] Scanning for projects...\\n[INFO] BUILD SUCCESS')"
     )
-    return events.select(
+    return rows.select(
         "event_id",
         F.expr(proj).alias("proj_name"),
-        F.expr("concat('mod/src/main/java/p', cast(event_id % 1000 % 7 as string), '/C',"
-               " cast(event_id % 1000 as string), '.java')").alias("relative_path"),
+        F.expr(_java_path("doc")).alias("relative_path"),
         F.expr("event_type = 'purchase' AND event_id % 7 = 0").alias("fill_failed"),
         F.expr(log).alias("log"))
 

@@ -60,22 +60,28 @@ MSGS = ("['cannot find symbol', 'incompatible types: int cannot be converted to
         " ''';'' expected', 'missing return statement']")
 
 MAVEN_LOGS = f"""
+mvn_events AS (
+  SELECT e.event_id, e.event_type, e.event_id // 5 AS doc,
+    'own_' || coalesce(d.source, 'src' || CAST(e.user_id % 20 AS VARCHAR)) AS proj_name
+  FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id // 5
+),
 mvn_err AS (
   SELECT e.event_id, j,
-    '[ERROR] {MAVEN_BASE}/own_src' || CAST(e.user_id % 20 AS VARCHAR) || '/mod/src/main/java/p'
-      || CAST((e.event_id + j) % 1000 % 7 AS VARCHAR) || '/C' || CAST((e.event_id + j) % 1000 AS VARCHAR)
+    '[ERROR] {MAVEN_BASE}/' || e.proj_name || '/mod/src/' || CASE WHEN (e.doc + j) % 10 = 9 THEN 'test' ELSE 'main' END
+      || '/java/p' || CAST((e.doc + j) % 7 AS VARCHAR) || '/C' || CAST(e.doc + j AS VARCHAR)
       || '.java:[' || CAST(1 + (e.event_id + 3 * j) % 12 AS VARCHAR) || ','
       || CAST(1 + (e.event_id * (j + 1)) % 20 AS VARCHAR) || '] '
       || ({MSGS})[(e.event_id + j) % 4 + 1] AS line
-  FROM events e, range(0, 3) r(j)
+  FROM mvn_events e, range(0, 3) r(j)
   WHERE e.event_type = 'error' AND j <= e.event_id % 3
 ),
 mvn_logs AS (
-  SELECT event_id, 'own_src' || CAST(user_id % 20 AS VARCHAR) AS proj_name,
-    'mod/src/main/java/p' || CAST(event_id % 1000 % 7 AS VARCHAR) || '/C' || CAST(event_id % 1000 AS VARCHAR) || '.java' AS relative_path,
+  SELECT event_id, proj_name,
+    'mod/src/' || CASE WHEN doc % 10 = 9 THEN 'test' ELSE 'main' END || '/java/p' || CAST(doc % 7 AS VARCHAR)
+      || '/C' || CAST(doc AS VARCHAR) || '.java' AS relative_path,
     event_type = 'purchase' AND event_id % 7 = 0 AS fill_failed,
     event_type
-  FROM events
+  FROM mvn_events
 ),
 mvn_entries AS (
   SELECT event_id,
@@ -327,9 +333,10 @@ SELECT doc_id, idx, CAST(least(floor(idx / ceil(n / 4.0)) + 1, 4) AS BIGINT) AS
 """
 
 ORACLE["positional_zip"] = r"""
-SELECT d.idx, d.doc_id, l.label_doc_id, l.quality FROM
+SELECT coalesce(d.idx, l.idx) AS idx, d.doc_id, l.label_doc_id, l.quality,
+  CASE WHEN d.idx IS NULL THEN 'no_left' WHEN l.idx IS NULL THEN 'no_right' ELSE 'ok' END AS status FROM
   (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM documents) d
-  JOIN (SELECT doc_id AS label_doc_id, quality, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM labels) l
+  FULL JOIN (SELECT doc_id AS label_doc_id, quality, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM labels) l
   ON d.idx = l.idx
 """
 
@@ -649,18 +656,21 @@ fb AS (
   FROM mvn_logs l LEFT JOIN mvn_entries m USING (event_id)
 ),
 ent AS (
-  SELECT fb.event_id, fb.proj_name, fb.relative_path, j.source_code, u.e, u.i
-  FROM fb JOIN java_file j ON j.relative_path = fb.relative_path,
+  SELECT fb.event_id, fb.proj_name, fb.relative_path, fb.compiler_feedback, j.source_code, u.e, u.i
+  FROM fb LEFT JOIN java_file j ON j.relative_path = fb.relative_path AND j.proj_name = fb.proj_name,
        unnest(string_split(fb.compiler_feedback, E'\n')) WITH ORDINALITY AS u(e, i)
 )
-SELECT event_id, coalesce(string_agg(
+SELECT event_id, CASE WHEN any_value(source_code) IS NULL THEN 'no_file' ELSE 'ok' END AS feedback_status,
+  CASE WHEN any_value(source_code) IS NULL OR any_value(compiler_feedback) IN ('<success>', '<execute_error>')
+       THEN any_value(compiler_feedback) ELSE coalesce(string_agg(
   CASE WHEN regexp_extract(e, '<file>(.*?)<line>(\d+)<col>(\d+)<err>(.*)', 1) = proj_name || '/' || relative_path
+        AND string_split(source_code, E'\n')[CAST(regexp_extract(e, '<file>(.*?)<line>(\d+)<col>(\d+)<err>(.*)', 2) AS INTEGER)] IS NOT NULL
        THEN '<file>' || regexp_extract(e, '<file>(.*?)<line>(\d+)<col>(\d+)<err>(.*)', 1)
          || '<line>' || regexp_extract(e, '<file>(.*?)<line>(\d+)<col>(\d+)<err>(.*)', 2)
          || '<col>' || regexp_extract(e, '<file>(.*?)<line>(\d+)<col>(\d+)<err>(.*)', 3)
          || '<line_of_code>' || coalesce(string_split(source_code, E'\n')[CAST(regexp_extract(e, '<file>(.*?)<line>(\d+)<col>(\d+)<err>(.*)', 2) AS INTEGER)], '')
          || '<err>' || regexp_extract(e, '<file>(.*?)<line>(\d+)<col>(\d+)<err>(.*)', 4)
-       ELSE e END, E'\n' ORDER BY i) FILTER (WHERE regexp_matches(e, '<file>(.*?)<line>(\d+)<col>(\d+)<err>(.*)')), '') AS new_compiler_feedback
+       ELSE e END, E'\n' ORDER BY i) FILTER (WHERE regexp_matches(e, '<file>(.*?)<line>(\d+)<col>(\d+)<err>(.*)')), '') END AS new_compiler_feedback
 FROM ent GROUP BY event_id
 """
 
@@ -741,7 +751,7 @@ ORACLE["first_rows"] = "SELECT doc_id, source FROM documents ORDER BY doc_id LIM
 ORACLE["row_range"] = "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 20 OFFSET 10"
 
 ORACLE["inspect_rows"] = r"""
-SELECT conv_id, turn, role FROM conversations ORDER BY md5('42:' || conv_id), conv_id LIMIT 3
+SELECT conv_id, turn, role FROM conversations ORDER BY md5('42:' || conv_id || ':' || turn), conv_id, turn LIMIT 3
 """
 
 
