@@ -13,8 +13,9 @@ sets differ in at most ``D`` members, so of ``D + 1`` or more groups at least
 one holds the same members in both.  Each (class, group, members) is a block.
 Equal sets are merged before, and all texts of one set count as one.
 
-Links are only needed up to connectivity.  First every block links its members
-to its smallest one; blocks whose members are then all connected are done.
+Links are only needed up to connectivity.  In a few rounds every open block
+links its members to the one with most company; blocks whose members are then
+all connected are done, and a member that has met all others leaves its block.
 The others are joined through their R-trees, in chunks of bounded size, and
 report links between sets that are not connected yet.
 """
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codecorpus.llm.common import cut, rows_of, shared_path
+from codecorpus.llm.common import cut, default_partitions, rows_of, shared_path
 
 #: The stages on word shingles take five words and 0.8 unless told otherwise.
 WORDS = 5
@@ -39,6 +40,8 @@ GROUPS = 256
 LEAF = 32
 #: Members of a block that meet in one task: two chunks.
 CHUNK = 1024
+#: Rounds in which open blocks link to one member.
+ROUNDS = 2
 #: Width of a size class, and hash seeds tried for groups without empty ones.
 CLASS_RATIO = 1.4
 SEEDS = 4
@@ -65,15 +68,18 @@ def shingles(text: str | None, words: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(_cache) > CACHE_WORDS:
         _cache.clear()
-    for w in set(parts):
-        if w not in _cache:
-            _cache[w] = xxhash.xxh64_digest(w)
-    own = np.frombuffer(b"".join([_cache[w] for w in parts]), "<u8")
+    try:
+        joined = b"".join([_cache[w] for w in parts])
+    except KeyError:
+        _cache.update((w, xxhash.xxh64_digest(w)) for w in set(parts))
+        joined = b"".join([_cache[w] for w in parts])
+    own = np.frombuffer(joined, "<u8")
     with np.errstate(over="ignore"):
         n = min(words, len(own))
         z = np.full(len(own) - n + 1, n, np.uint64)
         for i in range(n):
-            z = _mix(z + own[i:len(own) - n + 1 + i] * _ODD[i])
+            z += own[i:len(own) - n + 1 + i] * _ODD[i]
+        z = _mix(z)
     return np.unique(z)
 
 
@@ -128,39 +134,20 @@ class RTree:
         return self.order[at]
 
 
-class Forest:
-    """Union-find over positions."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.parent[x] != x:
-            self.parent[x] = self.parent[self.parent[x]]
-            x = self.parent[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        self.parent[a] = b
-        return a != b
-
-
-def block_links(sets: list[np.ndarray], component: list, similarity: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links that join what is not connected yet among ``sets``; ``component``:
-    what is known to be connected.  Every pair is passed over by its bound,
-    because it is connected, or verified."""
-    forest, first, out = Forest(len(sets)), {}, []
-    for i, c in enumerate(component):
-        forest.join(i, first.setdefault(c, i))
-    if len(first) < 2:
-        return out
-    points = np.array([point(s) for s in sets])
-    tree = RTree(points)
-    for i, own in enumerate(sets):
-        for j in tree.near(points[i], len(own), similarity).tolist():
-            if j < i and forest.root(i) != forest.root(j) and linked(own, sets[j], similarity):
-                forest.join(i, j)
+def near_pairs(points: np.ndarray, component: np.ndarray, similarity: tuple[int, int]) -> list[tuple[int, int]]:
+    """Pairs of points of different components whose overlap may reach the
+    similarity: through a tree, or at once for a single leaf."""
+    if len(set(component.tolist())) < 2:
+        return []
+    sizes = points.sum(1)
+    if len(points) <= LEAF:
+        bound = np.minimum(points[:, None, :], points[None, :, :]).sum(2)
+        near = (bound >= least_overlap(sizes[:, None] + sizes[None, :], similarity)) & (component[:, None] != component[None, :])
+        return [(i, j) for i, j in np.argwhere(near).tolist() if i < j]
+    tree, out = RTree(points), []
+    for i in range(len(points)):
+        for j in tree.near(points[i], sizes[i], similarity).tolist():
+            if i < j and component[i] != component[j]:
                 out.append((i, j))
     return out
 
@@ -258,35 +245,69 @@ def _key_batch(keys: list, ids: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "sid"])
 
 
-def _verify(words: int, similarity: tuple[int, int]):
+def _points(words: int):
+    """``sid`` and point of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple] = {}
+        for b in batches:
+            points = [point(shingles(t, words)).astype("<u4").tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array(points, pa.binary())], ["sid", "point"])
+    return run
+
+
+def _decoded(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), GROUPS).astype(np.int32)
+
+
+def _bounded(similarity: tuple[int, int]):
+    """Pairs whose points allow the similarity."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = _decoded(b.column("a_point")), _decoded(b.column("b_point"))
+            keep = np.minimum(x, y).sum(1) >= least_overlap(x.sum(1) + y.sum(1), similarity)
+            yield b.select(["a", "b"]).filter(pa.array(keep))
+    return run
+
+
+def _verified(words: int, similarity: tuple[int, int]):
+    """Pairs whose sets are that similar."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, np.ndarray] = {}
 
-        def of(sid: int, text: str) -> tuple:
+        def of(sid: int, text: str) -> np.ndarray:
             if sid not in kept:
-                if len(kept) > 64:
+                if len(kept) > 256:
                     kept.clear()
-                own = shingles(text, words)
-                kept[sid] = own, point(own)
+                kept[sid] = shingles(text, words)
             return kept[sid]
 
         for b in batches:
-            a, c = b.column("a").to_pylist(), b.column("b").to_pylist()
-            keep = []
-            for i, x, y, s, t in zip(range(b.num_rows), a, c, b.column("a_text").to_pylist(), b.column("b_text").to_pylist()):
-                (sx, px), (sy, py) = of(x, s), of(y, t)
-                if np.minimum(px, py).sum() >= least_overlap(len(sx) + len(sy), similarity) and linked(sx, sy, similarity):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([c[i] for i in keep], pa.int64())], ["a", "b"])
+            rows = zip(*(b.column(c).to_pylist() for c in ("a", "b", "a_text", "b_text")))
+            keep = [linked(of(x, s), of(y, t), similarity) for x, y, s, t in rows]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
-def _block(words: int, similarity: tuple[int, int]):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        ids = table.column("sid").to_pylist()
-        sets = [shingles(t, words) for t in table.column("text").to_pylist()]
-        found = block_links(sets, table.column("component").to_pylist(), similarity)
-        return pa.table({"a": pa.array([ids[i] for i, _ in found], pa.int64()), "b": pa.array([ids[j] for _, j in found], pa.int64())})
+def _block_pairs(similarity: tuple[int, int]):
+    """Pairs of a partition's blocks; rows come sorted by block (key, i, j)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def pairs():
+            sids, component = (np.array([h[k] for h in held]) for k in (0, 1))
+            points = np.frombuffer(b"".join(h[2] for h in held), "<u4").reshape(len(held), GROUPS).astype(np.int32)
+            found = near_pairs(points, component, similarity)
+            a, b = (sids[[f[k] for f in found]] if found else np.empty(0, np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for b in batches:
+            for key, i, j, sid, component, own in zip(*(c.to_pylist() for c in b.columns)):
+                if (key, i, j) != last:
+                    if len(held) > 1:
+                        yield pairs()
+                    last, held = (key, i, j), []
+                held.append((sid, component, own))
+        if len(held) > 1:
+            yield pairs()
     return run
 
 
@@ -308,6 +329,24 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return labels
 
 
+def _open_blocks(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``key, sid, company, component`` of the blocks whose members are not all connected."""
+    known = members.join(labels, "sid")
+    several = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return cut(known.join(several.select("key"), "key"))
+
+
+def _links(pairs: DataFrame, points: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
+    """The ``pairs(a, b)`` that are linked: bounded by their points, then verified on their sets."""
+    def both(df: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        for side in ("a", "b"):
+            df = df.join(table.select(F.col("sid").alias(side), F.col(column).alias(f"{side}_{column}")), side)
+        return df.select("a", "b", f"a_{column}", f"b_{column}")
+
+    near = cut(both(pairs, points, "point").mapInArrow(_bounded(similarity), "a long, b long"))
+    return cut(both(near, texts, "text").mapInArrow(_verified(words, similarity), "a long, b long"))
+
+
 def group(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """One row per document: ``doc_id, text_hash, n_shingles, component_id, first``.
 
@@ -334,37 +373,44 @@ def group(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIM
     path = shared_path(spark, "jaccard-members")
     keys.join(shared, "key").write.parquet(path)
     members = spark.read.parquet(path).distinct()
-    blocks = cut(members.groupBy("key").agg(F.min("sid").alias("a"), F.max("sid").alias("last"), F.count(F.lit(1)).alias("size"),
-                                            F.bit_xor(F.xxhash64("sid")).alias("print")).where("a <> last"))
-    edges = cut(members.join(blocks.select("key", "a"), "key").where("sid <> a").select("a", F.col("sid").alias("b")).distinct())
-    asked = edges.select(F.col("a").alias("sid")).union(edges.select("b")).distinct()
-    wanted = reps.join(asked, "sid")
+    # How much company a set has in all its blocks: the one that the others
+    # were made from has most, and links to more of them than they to each other.
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = members.join(sizes, "key")
+    company = members.groupBy("sid").agg(F.sum("size").alias("company"))
+    path = shared_path(spark, "jaccard-blocks")
+    members.select("key", "sid").join(company, "sid").write.parquet(path)
+    rest = spark.read.parquet(path)
+    wanted = reps.join(company.select("sid"), "sid")
     on = [F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("doc_id", "text_hash")]
     path = shared_path(spark, "jaccard-texts")
     rows.alias("r").join(wanted.alias("w"), on).select("w.sid", "r.text").dropDuplicates(["sid"]).write.parquet(path)
     texts = spark.read.parquet(path)
-
-    def sides(pairs: DataFrame) -> DataFrame:
-        left = texts.select(F.col("sid").alias("a"), F.col("text").alias("a_text"))
-        right = texts.select(F.col("sid").alias("b"), F.col("text").alias("b_text"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text")
-
-    links = cut(sides(edges).mapInArrow(_verify(words, similarity), "a long, b long"))
-    labels = components(texts.select("sid"), links)
-    # Blocks that are not connected yet; those with the same members once.
-    # The smallest member has met all others, so it and blocks of two are done.
-    larger = blocks.where("size > 2").select("key", "a", "size", "print")
-    known = members.join(larger, "key").where("sid <> a").join(labels, "sid")
-    openly = known.groupBy("key", "a", "size", "print").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    once = openly.groupBy("a", "size", "print").agg(F.min("key").alias("key"))
-    rest = known.join(once.select("key"), "key", "left_semi").select("key", "sid", "component", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    points = cut(texts.mapInArrow(_points(words), "sid long, point binary"))
+    labels = cut(texts.select("sid", F.col("sid").alias("component")))
+    links = cut(spark.createDataFrame([], "a long, b long"))
+    for _ in range(ROUNDS):
+        rest = _open_blocks(rest, labels)
+        pivots = rest.groupBy("key").agg(F.max(F.struct("company", "sid", "component")).alias("pivot"))
+        met = cut(rest.join(pivots.select("key", "pivot.sid", F.col("pivot.component").alias("with")).withColumnRenamed("sid", "a"), "key"))
+        edges = met.where("component <> with").select("a", F.col("sid").alias("b")).distinct()
+        links = cut(links.union(_links(edges, points, texts, words, similarity)).distinct())
+        labels = components(texts.select("sid"), links)
+        rest = met.where("sid <> a").select("key", "sid", "company")
+    # What is still open, each set of members once, through the trees.
+    rest = _open_blocks(rest, labels)
+    blocks = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("sid")).alias("print"), F.min("sid").alias("least"))
+    once = blocks.groupBy("size", "print", "least").agg(F.min("key").alias("key"))
+    rest = rest.join(once.select("key", "size"), "key").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
     mine = F.pmod(F.xxhash64("sid", "key"), F.col("chunks")).cast("int")
     dealt = rest.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "sid", "component")
-    rest_links = dealt.join(texts, "sid").groupBy("key", "i", "j").applyInArrow(_block(words, similarity), "a long, b long")
-    rest_links = cut(rest_links.distinct())
-    if not rest_links.isEmpty():
-        labels = components(texts.select("sid"), links.union(rest_links))
+    blocked = dealt.join(points, "sid").select("key", "i", "j", "sid", "component", "point")
+    blocked = blocked.repartition(default_partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = blocked.mapInArrow(_block_pairs(similarity), "a long, b long").distinct()
+    more = _links(pairs, points, texts, words, similarity)
+    if not more.isEmpty():
+        labels = components(texts.select("sid"), links.union(more))
     owned = reps.join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     smallest = owned.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = cut(owned.join(smallest, "component").select("sid", "component_id", F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash")))
