@@ -18,7 +18,6 @@ NO_PARAM_CLASS = "<no_param_class>"
 NOT_SELF_DEFINED_CLASS = "<not_self_defined_class>"
 CONTEXT_ERROR = "<error>"
 PARAM_CLASS = "<param_class>"
-CANT_RESOLVE_BINDING = "<cant_resolve_binding>"
 
 # --- fixed values: tool output texts ------------------------------------------
 SOLIDITY_SUCCESS_TEXT = "Compiled 1 Solidity file successfully"
@@ -71,7 +70,6 @@ RE_PRIVATE = r"(?<=\s)private\s"
 RE_MAVEN_ERROR = r"^\[ERROR\] (.+?):\[(\d+),(\d+)\] (.+)$"
 RE_FEEDBACK = r"<file>(.*?)<line>(\d+)<col>(\d+)<err>(.*)"
 RE_FAILED_TEST = r"^\d+\) (test\d+)\(RegressionTest\d+\)$"
-RE_TEST_HEADER = r"(?s)@Test\s+public\s+void\s+(\w+)\s*\([^)]*\)[^{]*\{"
 RE_SKIPPED_TYPE = (
     r"^(String|int|byte|short|long|float|double|boolean|char|Object|Integer|Long|"
     r"Double|Boolean|Character|CharSequence|Byte|Float|Short)"

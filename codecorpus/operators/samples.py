@@ -81,6 +81,12 @@ def contract_functions(scanned: DataFrame, keys: list[str], text: str = "source_
     D5: ``function`` = signature + body, ``masked_contract`` with the whole
     function replaced by ``<FILL_FUNCTION>``.
     """
+    rows = function_offsets(scanned.withColumn("_text", F.col(text)), [*keys, "_text"], types)
+    return cut_functions(rows, keys, "_text", whole, with_source, masked)
+
+
+def function_offsets(scanned: DataFrame, keys: list[str], types=("contract",)) -> DataFrame:
+    """Functions with a body: names and offsets only, for joins that run before any text is cut."""
     fs = F.filter(F.col("spans"), lambda s: (s["kind"] == "function") & s["body_start"].isNotNull()
                   & _in_contract(s, types))
 
@@ -91,20 +97,25 @@ def contract_functions(scanned: DataFrame, keys: list[str], text: str = "source_
             s["start"].alias("func_start"), s["end"].alias("_end"), s["body_start"].alias("body_start"),
             s["body_end"].alias("_body_end"), c["start"].alias("_c_start"), c["end"].alias("_c_end"))
 
-    def columns(t):
-        a, b, c0, c1 = F.col("body_start"), F.col("_body_end"), F.col("_c_start"), F.col("_c_end")
-        if whole:
-            return ["contract_name", "func_name",
-                    F.concat(cut(t, c0, F.col("func_start")), F.lit(K.FILL_FUNCTION), cut(t, F.col("_end"), c1)).alias("masked_contract"),
-                    cut(t, F.col("func_start"), F.col("_end")).alias("function")]
-        out = ["contract_name", "func_name", "func_ord", "func_start", "body_start", cut(t, a, b).alias("func_body")]
-        if masked:
-            out.append(F.concat(cut(t, c0, a), F.lit(K.FILL_FUNCTION_BODY), cut(t, b, c1)).alias("masked_contract"))
-        if with_source:
-            out.append(cut(t, c0, c1).alias("contract_source"))
-        return out
+    return _explode(scanned, keys, F.transform(fs, offsets))
 
-    return _explode_cut(scanned, keys, F.transform(fs, offsets), text, columns)
+
+def cut_functions(rows: DataFrame, keys: list[str], text: str, whole: bool = False,
+                  with_source: bool = False, masked: bool = True) -> DataFrame:
+    """The columns of ``contract_functions`` for rows of ``function_offsets`` that carry their file's text."""
+    t = F.col(text)
+    a, b, c0, c1 = F.col("body_start"), F.col("_body_end"), F.col("_c_start"), F.col("_c_end")
+    if whole:
+        return rows.select(
+            *keys, "contract_name", "func_name",
+            F.concat(cut(t, c0, F.col("func_start")), F.lit(K.FILL_FUNCTION), cut(t, F.col("_end"), c1)).alias("masked_contract"),
+            cut(t, F.col("func_start"), F.col("_end")).alias("function"))
+    out = ["contract_name", "func_name", "func_ord", "func_start", "body_start", cut(t, a, b).alias("func_body")]
+    if masked:
+        out.append(F.concat(cut(t, c0, a), F.lit(K.FILL_FUNCTION_BODY), cut(t, b, c1)).alias("masked_contract"))
+    if with_source:
+        out.append(cut(t, c0, c1).alias("contract_source"))
+    return rows.select(*keys, *out)
 
 
 def visible_members(scanned: DataFrame, keys: list[str], text: str = "source_code",
@@ -280,32 +291,49 @@ def last_method_text(methods: DataFrame, keys: list[str]) -> DataFrame:
     return methods.groupBy(*keys, "name").agg(F.max_by("raw", "ord").alias("raw"))
 
 
+def imports(text: Column) -> Column:
+    """Names in the single-type and on-demand (``.*``) imports of a Java file."""
+    return F.regexp_extract_all(text, F.lit(r"(?m)^\s*import\s+([\w.]+(?:\.\*)?)\s*;"), F.lit(1))
+
+
 def param_context(samples: DataFrame, types: DataFrame, keys: list[str], project: str = "proj_name",
-                  package: str = "package") -> DataFrame:
+                  package: str = "package", imported: str | None = None) -> DataFrame:
     """per sample, the skeletons (``abstract``) of its parameter types
     that are defined in the same project, in parameter order, each followed by
-    ``<param_class>``; ``<no_param_class>`` without parameters and
-    ``<not_self_defined_class>`` when none is a project type.
-
-    A simple type name resolves in the file's package.  The type index is
-    de-duplicated per (project, qualified name) before the join, and the
+    ``<param_class>``; ``<no_param_class>`` without parameters,
+    ``<not_self_defined_class>`` when none is a project type and ``<error>``
+    when the parameters are unknown (NULL).
+
+    Arrays count as their elements, generic types as the type and its
+    arguments.  A name with dots is qualified; another resolves through the
+    single-type imports, the file's package and the on-demand imports
+    (``imported``: a column with ``imports``), in this order.  The type index
+    is de-duplicated per (project, qualified name) before the join, and the
     per-sample concatenation is a grouped ``array_join`` ordered by position.
     """
-    from codecorpus import constants as K
-
     from codecorpus.operators.joins import with_row_id
     s = with_row_id(samples)
-    p = s.select("_sid", project, package, F.posexplode_outer("parameters").alias("pos", "p")) \
-        .dropDuplicates(["_sid", "pos"])
-    p = p.withColumn("qualified_name", F.when(F.col("p.type").contains("."), F.col("p.type"))
-                     .otherwise(F.concat_ws(".", F.col(package), F.col("p.type"))))
+    known = F.coalesce(F.col(imported), F.array().cast("array<string>")) if imported else F.array().cast("array<string>")
+    p = s.select("_sid", project, package, known.alias("_imports"), F.col("parameters").isNull().alias("unknown"),
+                 F.posexplode_outer("parameters").alias("pos", "p")).dropDuplicates(["_sid", "pos"])
+    names = F.filter(F.regexp_extract_all(F.col("p.type"), F.lit(r"[A-Za-z_$][\w$.]*[\w$]|[A-Za-z_$]"), F.lit(0)),
+                     lambda n: ~n.isin("extends", "super", "final"))
+    p = p.select("*", F.posexplode_outer(names).alias("sub", "name"))
+    name, dotted = F.col("name"), F.col("name").contains(".")
+    single = F.filter("_imports", lambda m: F.element_at(F.split(m, "[.]"), -1) == name)
+    wild = F.transform(F.filter("_imports", lambda m: m.endswith(".*")), lambda m: F.concat(F.regexp_replace(m, r"\*$", ""), name))
+    places = F.when(dotted, F.array(name)).otherwise(F.concat(single, F.array(F.concat_ws(".", F.col(package), name)), wild))
+    p = p.select("_sid", project, "unknown", "pos", "p", "sub", F.posexplode_outer(F.when(name.isNotNull(), places)).alias("rank", "qualified_name"))
     ty = types.groupBy(project, "qualified_name").agg(F.min_by("abstract", F.col(keys[-1])).alias("abstract"))
     j = p.join(ty, [project, "qualified_name"], "left")
-    g = j.groupBy("_sid").agg(
-        F.count("p").alias("n_params"),
-        F.array_sort(F.collect_list(F.when(F.col("abstract").isNotNull(),
-                                           F.struct("pos", "abstract")))).alias("found"))
-    ctx = (F.when(F.col("n_params") == 0, F.lit(K.NO_PARAM_CLASS))
+    best = j.groupBy("_sid", "pos", "sub").agg(
+        F.any_value("unknown").alias("unknown"), F.count("p").alias("params"),
+        F.min(F.when(F.col("abstract").isNotNull(), F.struct("rank", "abstract"))).alias("hit"))
+    g = best.groupBy("_sid").agg(
+        F.bool_or("unknown").alias("unknown"), F.sum("params").alias("n_params"),
+        F.array_sort(F.collect_list(F.when(F.col("hit").isNotNull(), F.struct("pos", "sub", "hit.abstract")))).alias("found"))
+    ctx = (F.when(F.col("unknown"), F.lit(K.CONTEXT_ERROR))
+           .when(F.col("n_params") == 0, F.lit(K.NO_PARAM_CLASS))
            .when(F.size("found") == 0, F.lit(K.NOT_SELF_DEFINED_CLASS))
            .otherwise(F.array_join(F.transform("found", lambda x: F.concat(x["abstract"], F.lit(K.PARAM_CLASS))), "")))
     return s.join(g.select("_sid", ctx.alias("param_context")), "_sid").drop("_sid")

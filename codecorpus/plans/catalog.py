@@ -363,10 +363,10 @@ def padded_batches(spark, sf_dir):
 def fim_prompts(spark, sf_dir):
     """H2 + H3 + H4 + H7 + E19 (+F7): prompts for masked Solidity functions,
     the refine variant joined with the compile status of the same id."""
-    fns = SM.contract_functions(sol_scanned(spark, sf_dir), ["source_idx"])
     status = R.compile_status(X.solidity_logs(_t(spark, sf_dir, "events"))) \
         .select(F.col("event_id").alias("source_idx"), "compile_info")
-    j = fns.join(status, "source_idx", "left")
+    # joined to the file, before its text is cut once per function
+    j = SM.contract_functions(sol_scanned(spark, sf_dir).join(status, "source_idx", "left"), ["source_idx", "compile_info"])
     masked, out = F.col("masked_contract"), F.upper("func_body")
     return j.select("source_idx", "contract_name", "func_name",
                     TR.fim_prompt(masked).alias("prompt_fim"),
@@ -411,9 +411,10 @@ def type_context(spark, sf_dir):
     """parameter-type context of every Java method with a body."""
     sc = S.materialize(java_scanned(spark, sf_dir))  # types and samples
     types = SM.java_types(sc, JKEYS)
-    samples = SM.java_method_table(sc, JKEYS).where(F.col("has_body"))
+    sc = sc.withColumn("imports", SM.imports(F.col("source_code")))
+    samples = SM.java_method_table(sc, [*JKEYS, "imports"]).where(F.col("has_body"))
     out = SM.param_context(samples, types.select("proj_name", "relative_path", "qualified_name", "abstract"),
-                           JKEYS)
+                           JKEYS, imported="imports")
     return out.select(*JKEYS, "class", "name", "param_context")
 
 
@@ -642,12 +643,15 @@ def task_sources(spark, sf_dir):
     """H4 (final / disable) + H7: task-conditional source texts with the
     inherited members of the contract (F15) and its compile status (F7)."""
     sc = S.materialize(sol_scanned(spark, sf_dir))
-    fns = SM.contract_functions(sc, ["source_idx"])
+    fns = SM.function_offsets(sc, ["source_idx"])
     inh = J.inherited_elements(sc, ["source_idx"]).select(
         "source_idx", "contract_name", F.array_join("inherit_elements", "\n").alias("inherit"))
     status = R.compile_status(X.solidity_logs(_t(spark, sf_dir, "events"))) \
         .select(F.col("event_id").alias("source_idx"), "compile_info")
+    # offsets meet the small tables first; the file's text comes last
     j = fns.join(inh, ["source_idx", "contract_name"], "left").join(status, "source_idx", "left")
+    j = j.join(sc.select("source_idx", "source_code"), "source_idx")
+    j = SM.cut_functions(j, ["source_idx", "compile_info", "inherit"], "source_code")
     masked, out = F.col("masked_contract"), F.upper("func_body")
     return j.select("source_idx", "contract_name", "func_name",
                     TR.task_source("final", masked, out, F.col("compile_info"), F.col("inherit")).alias("source_final"),

@@ -135,3 +135,29 @@ def test_a_cluster_needs_a_shared_checkpoint_folder():
     context = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {}, master="spark://host:7077")
     with pytest.raises(ValueError, match="checkpoint"):
         ensure_checkpoint_dir(SimpleNamespace(sparkContext=context))
+
+
+def test_parameter_types_resolve_through_imports_generics_and_arrays(spark):
+    files = [("p", "a/A.java", "package a;\nimport b.Foo;\nimport c.*;\npublic class A {\n  void one(Foo f) { x(); }\n  void two(List<Foo> f, Bar[] b) { x(); }\n"
+                               "  void three(int a) { x(); }\n  void four() { x(); }\n  void five(Own o, b.Foo f) { x(); }\n}\n"),
+             ("p", "b/Foo.java", "package b;\npublic class Foo {\n}\n"), ("p", "c/Bar.java", "package c;\npublic class Bar {\n}\n"),
+             ("p", "a/Own.java", "package a;\npublic class Own {\n}\n"), ("q", "b/Foo.java", "package b;\npublic class Foo {\n int other; }\n")]
+    keys = ["proj_name", "relative_path"]
+    df = spark.createDataFrame(files, "proj_name string, relative_path string, source_code string")
+    sc = S.scan_files(df, "source_code", "java").withColumn("imports", SM.imports(F.col("source_code")))
+    samples = SM.java_method_table(sc, [*keys, "imports"]).where("has_body")
+    unknown = samples.where("name = 'four'").withColumn("name", F.lit("six")).withColumn("parameters", F.lit(None).cast(samples.schema["parameters"].dataType))
+    out = SM.param_context(samples.unionByName(unknown), SM.java_types(sc, keys), keys, imported="imports")
+    got = {r.name: r.param_context for r in out.collect()}
+    foo, bar, own = ("public class %s {\n}<param_class>" % n for n in ("Foo", "Bar", "Own"))
+    assert got == {"one": foo, "two": foo + bar, "three": "<not_self_defined_class>", "four": "<no_param_class>", "five": own + foo, "six": "<error>"}
+
+
+def test_no_masked_text_is_shuffled(spark):
+    """Exchanges carry files or offsets, never a contract copy per function."""
+    import re
+    for name in ("fim_prompts", "task_sources"):
+        p = E.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+        for line in p.splitlines():
+            if "Exchange" in line:
+                assert not re.search("masked_contract|func_body", line), (name, line)

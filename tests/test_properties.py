@@ -141,7 +141,7 @@ def test_odd_log_values_do_not_fail(spark):
     files = logs.select("relative_path", F.col("src").alias("source_code")).dropDuplicates(["relative_path"])
     out = R.enrich_feedback(logs.select("id", "proj_name", "relative_path", F.col("fb").alias("compiler_feedback")),
                             files, ["relative_path"]).orderBy("id").collect()
-    assert out[0]["new_compiler_feedback"] == "<file>p/r.java<line>99999999999<col>1<line_of_code><err>x"
+    assert out[0]["new_compiler_feedback"] == "<file>p/r.java<line>99999999999<col>1<err>x"
     st = spark.createDataFrame([("99999999999) step done\n3) step done",), ("nothing",)], "s string")
     assert [r[0] for r in st.select(L.stage_reached(F.col("s"))).collect()] == [3, 0]
 
