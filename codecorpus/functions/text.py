@@ -13,6 +13,10 @@ BLANKS = r"[ \t\n\x0B\f\r]"
 PY_SPACE = r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x1c-\x1f]"
 
 
+#: A string literal (kept as group 1) or a comment.
+STRINGS_OR_COMMENTS = (r"""("(?:\\.|[^"\\\n])*+"|'(?:\\.|[^'\\\n])*+')|//[^\n]*|/\*(?s:.*?)\*/""")
+
+
 def normalize_newlines(s: Column) -> Column:
     """A2 / E5: CRLF -> LF (all occurrences)."""
     return F.replace(s, F.lit("\r\n"), F.lit("\n"))
@@ -26,9 +30,12 @@ def lenient_text(content: Column) -> Column:
     return normalize_newlines(F.replace(text, F.lit("\U0010fffe"), F.lit("\ufffd")))
 
 
-def remove_comments(s: Column) -> Column:
-    """Line and block comments removed (string literals not recognised;
-    an unterminated block comment is kept)."""
+def remove_comments(s: Column, string_aware: bool = False) -> Column:
+    """Line and block comments removed (an unterminated block comment is
+    kept).  By default string literals are not recognised, so ``"http://x"``
+    starts a comment (Q10); ``string_aware`` keeps them whole."""
+    if string_aware:
+        return F.regexp_replace(s, STRINGS_OR_COMMENTS, "$1")
     return F.regexp_replace(s, K.RE_COMMENTS, "$1")
 
 

@@ -161,3 +161,16 @@ def test_no_masked_text_is_shuffled(spark):
         for line in p.splitlines():
             if "Exchange" in line:
                 assert not re.search("masked_contract|func_body", line), (name, line)
+
+
+def test_comments_in_strings_stay_if_asked(spark):
+    code = 'string u = "http://x"; // gone\nchar c = \'"\'; /* also "gone" */ string v = "a\\"/*b*/";\n/* open'
+    df = spark.createDataFrame([(code,)], "s string")
+    r = df.select(TX.remove_comments(F.col("s"), string_aware=True).alias("aware"), TX.remove_comments(F.col("s")).alias("plain")).first()
+    assert r.aware == 'string u = "http://x"; \nchar c = \'"\';  string v = "a\\"/*b*/";\n/* open'
+    assert r.plain.startswith('string u = "http:') and "//x" not in r.plain
+
+
+def test_call_mentions(spark):
+    df = spark.createDataFrame([("a.run(1)", "run"), ("run(1)", "run"), ("a.rerun(1)", "run"), ("a.run (1)", "run")], "t string, n string")
+    assert [r[0] for r in df.select(TX.mentions_call(F.col("t"), F.col("n"))).collect()] == [True, False, False, False]
