@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codecorpus import constants as K
 from codecorpus.operators import results as R
 from codecorpus.plans import fixtures as X
 
@@ -368,12 +369,16 @@ def fim_prompts(spark, sf_dir):
     # joined to the file, before its text is cut once per function
     j = SM.contract_functions(sol_scanned(spark, sf_dir).join(status, "source_idx", "left"), ["source_idx", "compile_info"])
     masked, out = F.col("masked_contract"), F.upper("func_body")
+    # damaged texts: no marker in those of f1, two in those of f2
+    marker = F.lit(K.FILL_FUNCTION_BODY)
+    damaged = (F.when(F.col("func_name") == "f1", F.replace(masked, marker, F.lit("")))
+               .when(F.col("func_name") == "f2", F.concat(masked, marker)).otherwise(masked))
     return j.select("source_idx", "contract_name", "func_name",
                     TR.fim_prompt(masked).alias("prompt_fim"),
-                    TR.psm_prompt(masked).alias("prompt_psm"),
-                    TR.marker_status(masked).alias("marker_status"),
+                    TR.psm_prompt(damaged).alias("prompt_psm"),
+                    TR.marker_status(damaged).alias("marker_status"),
                     TR.task_source("refine", masked, out, F.col("compile_info")).alias("source_refine"),
-                    TR.psm_source(masked, out).alias("source_psm"),
+                    TR.psm_source(damaged, out).alias("source_psm"),
                     TR.target(F.col("func_body")).alias("target"))
 
 
@@ -578,13 +583,14 @@ def ast_json(spark, sf_dir):
 
 def _expected_java(spark, sf_dir):
     """Expected (file, func_name, func_body) rows: one per cleaned line of a
-    document, with different white space than the file."""
+    document, with different white space than the file; some are missing."""
     d = X.doc_lines(_t(spark, sf_dir, "documents"))
     rel = F.concat(F.lit("mod/src/"), F.when(F.col("doc_id") % 10 == 9, F.lit("test")).otherwise(F.lit("main")),
                    F.lit("/java/p"), (F.col("doc_id") % 7).cast("string"), F.lit("/C"),
                    F.col("doc_id").cast("string"), F.lit(".java"))
     return d.select(F.concat(F.lit("own_"), F.col("source")).alias("proj_name"), rel.alias("relative_path"),
-                    F.posexplode("ls").alias("i", "x")) \
+                    "doc_id", F.posexplode("ls").alias("i", "x")) \
+        .where("NOT (doc_id % 3 = 1 AND i % 4 = 3)") \
         .select("proj_name", "relative_path", F.concat(F.lit("f"), F.floor(F.col("i") / 2).cast("string")).alias("func_name"),
                 F.concat(F.lit("\n\t"), F.col("x"), F.lit("  ")).alias("func_body"))
 
@@ -603,7 +609,9 @@ def java_refill(spark, sf_dir):
     """F3 + F4 + E7 + E9: model output put into the masked class, spliced
     into the file at the first method with that class and name."""
     sc = S.materialize(java_scanned(spark, sf_dir))
-    samples = SM.java_methods(sc, JKEYS).select(*JKEYS, "class_name", "func_name", "masked_class",
+    # samples of f2 name a class that their file does not have
+    named = F.when(F.col("func_name") == "f2", F.lit("Gone")).otherwise(F.col("class_name"))
+    samples = SM.java_methods(sc, JKEYS).select(*JKEYS, named.alias("class_name"), "func_name", "masked_class",
                                                 F.upper("func_body").alias("output"))
     out = J.refill_java_class(samples, sc, JKEYS, "output")
     return out.select(*JKEYS, "class_name", "func_name", "status", "filled_file")

@@ -563,12 +563,12 @@ FROM p
 ORACLE["fim_prompts"] = "WITH " + ALL_FN + ", " + SOL_LOGS + ", " + COMPILE_INFO + r"""
 SELECT f.source_idx, f.contract_name, f.func_name,
   '<｜fim▁begin｜>' || replace(f.masked_body, '<FILL_FUNCTION_BODY>', '<｜fim▁hole｜>') || '<｜fim▁end｜>' AS prompt_fim,
-  '▁<PRE>' || split_part(f.masked_body, '<FILL_FUNCTION_BODY>', 1) || '▁<SUF>' || split_part(f.masked_body, '<FILL_FUNCTION_BODY>', 2) || '▁<MID>' AS prompt_psm,
-  'ok' AS marker_status,
+  CASE WHEN f.func_name NOT IN ('f1', 'f2') THEN '▁<PRE>' || split_part(f.masked_body, '<FILL_FUNCTION_BODY>', 1) || '▁<SUF>' || split_part(f.masked_body, '<FILL_FUNCTION_BODY>', 2) || '▁<MID>' END AS prompt_psm,
+  CASE WHEN f.func_name IN ('f1', 'f2') THEN 'bad_marker' ELSE 'ok' END AS marker_status,
   '<｜fim▁begin｜>' || replace(f.masked_body, '<FILL_FUNCTION_BODY>', '<｜fim▁hole｜>') || '<｜fim▁end｜>'
     || E'\n<ouput>\n' || upper(f.func_body) || E'\n<compile>\n' || replace(c.compile_info, '<COMPILED_SUCCESSFULLY>', 'success') || E'\n<correct> ' AS source_refine,
-  '▁<PRE>' || split_part(f.masked_body, '<FILL_FUNCTION_BODY>', 1) || '▁<SUF>' || split_part(f.masked_body, '<FILL_FUNCTION_BODY>', 2) || '▁<MID>'
-    || E'\n' || upper(f.func_body) || E'\n<correct>' AS source_psm,
+  CASE WHEN f.func_name NOT IN ('f1', 'f2') THEN '▁<PRE>' || split_part(f.masked_body, '<FILL_FUNCTION_BODY>', 1) || '▁<SUF>' || split_part(f.masked_body, '<FILL_FUNCTION_BODY>', 2) || '▁<MID>'
+    || E'\n' || upper(f.func_body) || E'\n<correct>' END AS source_psm,
   f.func_body || E'\n<|EOT|>' AS target
 FROM h14 f LEFT JOIN compiled c ON c.event_id = f.source_idx
 """
@@ -763,14 +763,16 @@ ORACLE["match_back"] = "WITH " + JAVA + r"""
   FROM java_fn
 )
 SELECT proj_name, relative_path, 'C' || d AS class_name, func_name, body AS func_body, masked_class
-FROM m WHERE EXISTS (SELECT 1 FROM lines e WHERE e.d = m.d AND 'f' || (e.i // 2) = m.func_name AND e.x = trim(m.body))
+FROM m WHERE EXISTS (SELECT 1 FROM lines e WHERE e.d = m.d AND 'f' || (e.i // 2) = m.func_name AND e.x = trim(m.body)
+  AND NOT (e.d % 3 = 1 AND e.i % 4 = 3))
 """
 
 ORACLE["java_refill"] = "WITH " + JAVA_FILE + r"""
-SELECT f.proj_name, f.relative_path, 'C' || f.d AS class_name, 'f' || (f.i // 2) AS func_name, 'ok' AS status,
-  'package p' || (f.d % 7) || E';\n\nimport java.util.List;\n\n/** Class C' || f.d || E'. */\npublic '
+SELECT f.proj_name, f.relative_path, CASE WHEN f.i // 2 = 2 THEN 'Gone' ELSE 'C' || f.d END AS class_name, 'f' || (f.i // 2) AS func_name,
+  CASE WHEN f.i // 2 = 2 THEN 'not_found' ELSE 'ok' END AS status,
+  CASE WHEN f.i // 2 <> 2 THEN 'package p' || (f.d % 7) || E';\n\nimport java.util.List;\n\n/** Class C' || f.d || E'. */\npublic '
   || left(f.c_text, CAST(f.off + length(f.nopen) + length(f.cm) + length(f.sig) AS BIGINT)) || upper(f.body)
-  || substr(f.c_text, CAST(f.off + length(f.nopen) + length(f.cm) + length(f.sig) + length(f.body) + 1 AS BIGINT)) || E'\n' AS filled_file
+  || substr(f.c_text, CAST(f.off + length(f.nopen) + length(f.cm) + length(f.sig) + length(f.body) + 1 AS BIGINT)) || E'\n' END AS filled_file
 FROM java_fn f
 """
 

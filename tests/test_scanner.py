@@ -137,11 +137,12 @@ def test_solidity_declaration_forms():
 
 def test_file_without_package_or_class(spark):
     from codecorpus.operators import samples as SM, spans as S
-    df = spark.createDataFrame([("p", "X.java", "interface I { default void f() { } }\n")],
+    df = spark.createDataFrame([("p", "X.java", "interface I { default void f() { } }\nenum E { A; void g() { } }\n")],
                                "proj_name string, relative_path string, source_code string")
     sc = S.scan_files(df, "source_code", "java")
     rows = SM.java_methods(sc, ["proj_name", "relative_path"]).collect()
-    assert [(r["func_name"], r["class_name"], r["status"]) for r in rows] == [("f", None, "no_class")]
+    # interface methods give no row; enums are no classes
+    assert [(r["func_name"], r["class_name"], r["status"]) for r in rows] == [("g", None, "no_class")]
     assert SM.java_types(sc, ["proj_name", "relative_path"]).first()["qualified_name"] == "I"
 
 
