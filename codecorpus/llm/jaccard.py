@@ -57,7 +57,15 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-_cache: dict[bytes, bytes] = {}
+class _Hashes(dict):
+    """Hash of each word, worked out when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        own = self[word] = xxhash.xxh64_digest(word)
+        return own
+
+
+_cache = _Hashes()
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -68,12 +76,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     if len(_cache) > CACHE_WORDS:
         _cache.clear()
-    try:
-        joined = b"".join([_cache[w] for w in parts])
-    except KeyError:
-        _cache.update((w, xxhash.xxh64_digest(w)) for w in set(parts))
-        joined = b"".join([_cache[w] for w in parts])
-    own = np.frombuffer(joined, "<u8")
+    own = np.frombuffer(b"".join([_cache[w] for w in parts]), "<u8")
     with np.errstate(over="ignore"):
         n = min(words, len(own))
         z = np.full(len(own) - n + 1, n, np.uint64)
