@@ -207,47 +207,34 @@ def _set_id(members: np.ndarray, seed: int) -> tuple[int, int]:
     return (full >> 64) - (1 << 63), (full & ((1 << 64) - 1)) - (1 << 63)
 
 
-def _sets(words: int, seed: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sizes, ids = [], []
-            for text in b.column("text").to_pylist():
-                own = shingles(text, words)
-                sizes.append(len(own))
-                ids.append(_set_id(own, seed))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_hash"), pa.array(sizes, pa.int64()),
-                 pa.array([i[0] for i in ids], pa.int64()), pa.array([i[1] for i in ids], pa.int64())],
-                ["doc_id", "text_hash", "n_shingles", "sid", "check"])
-    return run
+SCANNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.int64()),
+                     ("check", pa.int64()), ("keys", pa.list_(pa.int64()))])
+SCANNED_DDL = "doc_id long, text_hash long, n_shingles long, sid long, check long, keys array<long>"
 
 
-def _keys(words: int, seed: int, similarity: tuple[int, int]):
+def _scanned(words: int, seed: int, similarity: tuple[int, int]):
+    """Size and ids of every document's set, and the keys of its blocks; a set
+    that the partition has seen before has none (one copy is enough)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
-            keys, ids, held = [], [], 0
-            for text in b.column("text").to_pylist():
-                own = shingles(text, words)
-                sid = _set_id(own, seed)[0]
-                if not len(own) or sid in seen:
-                    continue
-                seen.add(sid)
-                keys.append(block_keys(own, similarity))
-                ids.append(np.full(len(keys[-1]), sid))
-                held += len(keys[-1])
-                if held > 200_000:
-                    yield _key_batch(keys, ids)
-                    keys, ids, held = [], [], 0
-            if keys:
-                yield _key_batch(keys, ids)
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                sizes, sids, checks, keys = [], [], [], []
+                for text in part.column("text").to_pylist():
+                    own = shingles(text, words)
+                    sid, check = _set_id(own, seed)
+                    sizes.append(len(own))
+                    sids.append(sid)
+                    checks.append(check)
+                    keys.append(None if not len(own) or sid in seen else block_keys(own, similarity).view(np.int64))
+                    seen.add(sid)
+                columns = [part.column("doc_id"), part.column("text_hash"), *(pa.array(c, pa.int64()) for c in (sizes, sids, checks)),
+                           pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, schema=SCANNED)
     return run
 
 
-def _key_batch(keys: list, ids: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids))], ["key", "sid"])
-
-
 def _points(words: int):
     """``sid`` and point of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,14 +351,16 @@ def group(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIM
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     seed = 0
     while True:
-        sets = cut(rows.mapInArrow(_sets(words, seed), "doc_id long, text_hash long, n_shingles long, sid long, check long"))
+        path = shared_path(spark, "jaccard-sets")
+        rows.mapInArrow(_scanned(words, seed, similarity), SCANNED_DDL).write.parquet(path)
+        sets = spark.read.parquet(path)
         reps = sets.where("n_shingles > 0").groupBy("sid", "check").agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep"))
         reps = cut(reps.select("sid", "rep.doc_id", "rep.text_hash"))
         if reps.groupBy("sid").count().where("count > 1").isEmpty():
             break
         seed += 1  # two different sets share an id: take another hash
-    keys = rows.select("text").mapInArrow(_keys(words, seed, similarity), "key long, sid long")
+    keys = sets.select("sid", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
     path = shared_path(spark, "jaccard-members")
     keys.join(shared, "key").write.parquet(path)
@@ -417,7 +406,7 @@ def group(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIM
     owned = reps.join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     smallest = owned.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = cut(owned.join(smallest, "component").select("sid", "component_id", F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash")))
-    found = sets.join(by_set, "sid", "left")
+    found = sets.drop("keys").join(by_set, "sid", "left")
     alone = F.col("n_shingles") == 0
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     first = alone | (F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("text_hash").eqNullSafe(F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
