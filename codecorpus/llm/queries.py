@@ -16,7 +16,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = cut(simhash.with_edits(table(spark, sf_dir, "documents")))
     near = simhash.near_counts(found.select("doc_id", "fp"))
     asked = F.when(F.col("doc_id") % 20 == 0, F.col("near_docs"))
-    return found.join(near, "fp", "left").select(
+    return found.join(near.hint("merge"), "fp", "left").select(
         "doc_id", "n_chars", "edited_sha256", simhash.as_hex(F.col("fp")).alias("fingerprint"),
         simhash.as_hex(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next", asked.alias("near_docs"))
 

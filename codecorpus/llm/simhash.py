@@ -154,7 +154,8 @@ def within_radius(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, bloc
     a, b = keyed(queries, "fp").alias("a"), keyed(fps, "other").alias("b")
     on = (F.col("a.table") == F.col("b.table")) & (F.col("a.block_key") == F.col("b.block_key"))
     near = (F.bit_count(differ) <= radius) & (agreed == F.col("a.table"))
-    return a.join(b, on & near).select("fp", "other", F.bit_count(differ).alias("distance"))
+    # Both sides grow with the documents: never broadcast, whatever the estimate.
+    return a.join(b.hint("merge"), on & near).select("fp", "other", F.bit_count(differ).alias("distance"))
 
 
 def near_counts(found: DataFrame, every: int = 20, radius: int = RADIUS) -> DataFrame:
@@ -167,4 +168,4 @@ def near_counts(found: DataFrame, every: int = 20, radius: int = RADIUS) -> Data
     sizes = found.groupBy("fp").agg(F.count(F.lit(1)).alias("docs"))
     queries = found.where(F.col("doc_id") % every == 0).select("fp").distinct()
     pairs = within_radius(queries, sizes.select("fp"), radius)
-    return pairs.join(sizes.withColumnRenamed("fp", "other"), "other").groupBy("fp").agg(F.sum("docs").alias("near_docs"))
+    return pairs.join(sizes.withColumnRenamed("fp", "other").hint("merge"), "other").groupBy("fp").agg(F.sum("docs").alias("near_docs"))
