@@ -85,7 +85,7 @@ def features(text: str | None) -> list[int]:
     return sorted(found)
 
 
-def fit(rows: list[list[int]], good: list[int], steps: int = 100, decay: float = 1e-3, rate: float = 0.05) -> np.ndarray:
+def fit(rows: list[np.ndarray], good: list[int], steps: int = 100, decay: float = 1e-3, rate: float = 0.05) -> np.ndarray:
     """Weights (the last is the bias) of a logistic regression on feature sets.
 
     A feature's value is its log count ratio between good and bad documents,
@@ -95,17 +95,19 @@ def fit(rows: list[list[int]], good: list[int], steps: int = 100, decay: float =
     if len(set(good)) < 2:
         return np.zeros(FEATURES + 1)
     y = np.array(good, float)
-    lengths = np.array([len(r) for r in rows])
-    ids, starts, doc = np.concatenate([np.array(r) for r in rows]), np.cumsum(np.r_[0, lengths[:-1]]), np.repeat(np.arange(len(rows)), lengths)
+    ids = np.concatenate([np.asarray(r, np.int32) for r in rows])
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     seen = np.bincount(ids, minlength=FEATURES)
     in_good = np.bincount(ids, weights=y[doc], minlength=FEATURES)
     ratio = np.log((in_good + 0.5) / (y.sum() + 1)) - np.log((seen - in_good + 0.5) / ((1 - y).sum() + 1))
     ratio[seen < LEAST_DOCS] = 0
+    kept = ratio[ids] != 0  # most features are too rare to count
+    ids, doc = ids[kept], doc[kept]
     value, weigh = ratio[ids], np.where(y == 1, 1.0, BAD_WEIGHT) / len(y)
     w, mean, square, bias = np.zeros(FEATURES), np.zeros(FEATURES), np.zeros(FEATURES), 0.0
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[ids] * value, starts) + bias, -30, 30)))
-        error = (p - y) * weigh
+        logit = np.bincount(doc, weights=w[ids] * value, minlength=len(y)) + bias
+        error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * weigh
         gradient = np.bincount(ids, weights=error[doc] * value, minlength=FEATURES) + decay * w
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient * gradient
         w -= rate * (mean / (1 - 0.9 ** t)) / (np.sqrt(square / (1 - 0.99 ** t)) + 1e-8)
@@ -130,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarra
 
     found = rows.mapInArrow(extract, "doc_id long, good int, ids binary").collect()
     found.sort(key=lambda r: (r.doc_id, r.good, bytes(r.ids)))
-    return fit([np.frombuffer(r.ids, "<i4").tolist() for r in found], [r.good for r in found])
+    return fit([np.frombuffer(r.ids, "<i4") for r in found], [r.good for r in found])
 
 
 def evidence(docs: DataFrame, weights: np.ndarray, host: Column, path: Column) -> DataFrame:
