@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecorpus.llm import extendible
-from codecorpus.llm.common import cut, lower_ascii, rows_of, shared_path
+from codecorpus.llm.common import cut, discard, lower_ascii, rows_of, shared_path
 
 #: Keys in a bucket, and the most hash bits that the directory uses.
 CAPACITY = 8192
@@ -67,7 +67,8 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, hash_bits: int = HASH
     gives an empty result.
     """
     spark = docs.sparkSession
-    index = spark.read.parquet(build_index(docs, capacity, hash_bits))
+    path = build_index(docs, capacity, hash_bits)
+    index = spark.read.parquet(path)
     chained = cut(chains(index.select("bucket", "hash", "keep_id", "group_size")))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _normal().alias("normal")).select(
         "doc_id", "text_hash", F.sha2("normal", 256).alias("text_sha256"), _hash(F.col("normal"), hash_bits).alias("hash"))
@@ -75,7 +76,9 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, hash_bits: int = HASH
     numbered = rows.withColumn("nth", F.row_number().over(same))
     found = numbered.join(chained.where("chain = 1").select("hash", "keep_id", "group_size"), "hash")
     collided = chained.where("chain > 1").select("hash").distinct()
-    if not collided.isEmpty():
+    if collided.isEmpty():
+        discard(spark, path)
+    else:
         # Unequal texts of equal hash: compare the bytes.
         texts = index.join(collided, "hash", "left_semi").select("hash", "text", "keep_id", "group_size")
         full = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _normal().alias("text"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codecorpus.llm.common import cut, default_partitions, rows_of, shared_path
+from codecorpus.llm.common import cut, default_partitions, discard, rows_of, shared_path
 
 #: The stages on word shingles take five words and 0.8 unless told otherwise.
 WORDS = 5
@@ -362,22 +362,25 @@ def group(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIM
         seed += 1  # two different sets share an id: take another hash
     keys = sets.select("sid", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
-    path = shared_path(spark, "jaccard-members")
-    keys.join(shared, "key").write.parquet(path)
-    members = spark.read.parquet(path).distinct()
+    in_blocks = shared_path(spark, "jaccard-members")
+    keys.join(shared, "key").write.parquet(in_blocks)
+    members = spark.read.parquet(in_blocks).distinct()
+    sets = cut(sets.drop("keys"))
+    discard(spark, path)
     # How much company a set has in all its blocks: the one that the others
     # were made from has most, and links to more of them than they to each other.
     sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = members.join(sizes, "key")
     company = members.groupBy("sid").agg(F.sum("size").alias("company"))
-    path = shared_path(spark, "jaccard-blocks")
-    members.select("key", "sid").join(company, "sid").write.parquet(path)
-    rest = spark.read.parquet(path)
+    with_company = shared_path(spark, "jaccard-blocks")
+    members.select("key", "sid").join(company, "sid").write.parquet(with_company)
+    rest = spark.read.parquet(with_company)
     wanted = reps.join(company.select("sid"), "sid")
     on = [F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("doc_id", "text_hash")]
-    path = shared_path(spark, "jaccard-texts")
-    rows.alias("r").join(wanted.alias("w"), on).select("w.sid", "r.text").dropDuplicates(["sid"]).write.parquet(path)
-    texts = spark.read.parquet(path)
+    of_members = shared_path(spark, "jaccard-texts")
+    rows.alias("r").join(wanted.alias("w"), on).select("w.sid", "r.text").dropDuplicates(["sid"]).write.parquet(of_members)
+    texts = spark.read.parquet(of_members)
+    discard(spark, in_blocks)
     points = cut(texts.mapInArrow(_points(words), "sid long, point binary"))
     labels = cut(texts.select("sid", F.col("sid").alias("component")))
     links = cut(spark.createDataFrame([], "a long, b long"))
@@ -406,7 +409,8 @@ def group(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIM
     owned = reps.join(labels, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     smallest = owned.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = cut(owned.join(smallest, "component").select("sid", "component_id", F.col("doc_id").alias("rep_id"), F.col("text_hash").alias("rep_hash")))
-    found = sets.drop("keys").join(by_set, "sid", "left")
+    discard(spark, with_company, of_members)
+    found = sets.join(by_set, "sid", "left")
     alone = F.col("n_shingles") == 0
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     first = alone | (F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("text_hash").eqNullSafe(F.col("rep_hash")) & F.col("doc_id").eqNullSafe(F.col("rep_id")))
