@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from codecorpus.llm.common import cut, rows_of
 
-#: Labelled documents used for fitting, at most (those of smallest id hash).
+#: Labelled ids used for fitting, at most (those of smallest hash), with one document each.
 SAMPLE = 8192
 FEATURES = 1 << 18
 #: A feature needs this many sample documents.
@@ -116,22 +116,37 @@ def fit(rows: list[np.ndarray], good: list[int], steps: int = 100, decay: float
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Fit on at most ``sample`` labelled documents; good: quality 1 and not toxic."""
+    """Fit on at most ``sample`` labelled documents; good: quality 1 and not toxic.
+
+    A labelled id counts once, however often it occurs: it is good if all its
+    labels say so, and of its documents the one of the smallest text hash is used.
+    """
+    good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
     chosen = (labels.where("doc_id IS NOT NULL AND quality IS NOT NULL")
-              .select("doc_id", ((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int").alias("good"))
-              .orderBy(F.xxhash64("doc_id"), "good").limit(sample))
+              .groupBy("doc_id").agg(F.min(good.cast("int")).alias("good"))
+              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     # At most ``sample`` rows of two numbers.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").join(F.broadcast(chosen), "doc_id")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[int, int] = {}  # of each of the chosen ids, the smallest hash so far
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                ids = pa.array([np.array(features(t), dtype="<i4").tobytes() for t in part.column("text").to_pylist()], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("good"), ids], ["doc_id", "good", "ids"])
-
-    found = rows.mapInArrow(extract, "doc_id long, good int, ids binary").collect()
-    found.sort(key=lambda r: (r.doc_id, r.good, bytes(r.ids)))
+                kept = []
+                for i, (d, h) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text_hash").to_pylist())):
+                    if d not in least or h < least[d]:
+                        least[d] = h
+                        kept.append(i)
+                if kept:
+                    part = part.take(pa.array(kept))
+                    ids = pa.array([np.array(features(t), dtype="<i4").tobytes() for t in part.column("text").to_pylist()], pa.binary())
+                    names = ["doc_id", "good", "text_hash"]
+                    yield pa.RecordBatch.from_arrays([part.column(n) for n in names] + [ids], names + ["ids"])
+
+    sets = rows.select("doc_id", "good", "text_hash", "text").mapInArrow(extract, "doc_id long, good int, text_hash long, ids binary")
+    found = sets.groupBy("doc_id").agg(F.min(F.struct("text_hash", "ids", "good")).alias("r")).select("doc_id", "r.good", "r.ids").collect()
+    found.sort(key=lambda r: r.doc_id)
     return fit([np.frombuffer(r.ids, "<i4") for r in found], [r.good for r in found])
 
 

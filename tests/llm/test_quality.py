@@ -76,3 +76,22 @@ def test_sparse_sites_say_little(spark):
                                     host=F.concat(F.lit("host"), (F.col("doc_id") % 400).cast("string"))))
     spread = table_of.agg(F.stddev("evidence"), F.stddev("host_posterior")).first()
     assert spread[1] < 0.3 * spread[0]
+
+
+def test_repeated_ids_count_once(spark, monkeypatch):
+    """One labelled id on a third of all rows, and labels that repeat, give the fit no further documents."""
+    fitted = []
+    monkeypatch.setattr(quality, "fit", lambda rows, good: fitted.append(([r.tolist() for r in rows], good)))
+    rows = [(i, f"text number{i} of source", "en", "s", 2) for i in range(400)]
+    labels = [(i, i % 2, 0) for i in range(0, 400, 2)] + [(i, 1, 0) for i in range(1, 400, 2)]
+    copies = [(7, f"another text{i % 50} of seven", "en", "s", 2) for i in range(200)] + [rows[7]] * 100
+    quality.train(docs(spark, rows), spark.createDataFrame(labels, LABELS))
+    quality.train(docs(spark, rows + copies).repartition(6), spark.createDataFrame(labels + [(7, 1, 0)] * 300 + [(9, 0, 0)], LABELS))
+    (once, good), (many, votes) = fitted
+    assert len(once) == len(many) == 400
+    assert votes == good[:9] + [0] + good[10:]
+    assert once[:7] + once[8:] == many[:7] + many[8:]
+    of_seven = docs(spark, [rows[7], *copies]).select("text", F.xxhash64("text").alias("h")).orderBy("h").first().text
+    assert many[7] == quality.features(of_seven)
+    quality.train(docs(spark, rows + copies), spark.createDataFrame(labels * 2, LABELS), sample=200)
+    assert len(fitted[2][0]) == 200
