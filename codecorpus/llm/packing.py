@@ -8,6 +8,11 @@ At the end of a partition its open windows are handed, with their ids, to a
 merge task for ``MERGE_PARTITIONS`` partitions, which lays them end to end and
 cuts full sequences; only the last sequence of a merge task needs padding.
 
+Sequence ids follow the partitions: ``partition << 33`` and a number in order of
+emission; a merged sequence stands behind those of the first partition that it
+has pieces of.  So documents whose partitions are ranges of an order
+(``in_file_order``) are in that order up to the windows open in a partition.
+
 A task holds the open windows and one Arrow batch; the hand-over is at most
 ``OPEN_WINDOWS`` windows a partition.
 """
@@ -22,6 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +36,8 @@ from codecorpus.llm.common import cut
 SEQUENCE = 4096
 OPEN_WINDOWS = 8
 MERGE_PARTITIONS = 32
+#: Added to the numbers of merged sequences, so that they follow the emitted ones of their partition.
+MERGED = 1 << 32
 #: Ends every document.
 END_ID = 2
 #: Words whose ids a Python worker keeps.
@@ -184,26 +192,40 @@ def _packed(path: str | None, sequence: int, open_windows: int):
 
 
 def _merged(sequence: int):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).to_pylist()
         packer = Packer(sequence, 1)
         for r in rows:
             # One open window takes the pieces in turn, so sequences fill without gaps.
-            packer.add((r["doc_id"], r["text_hash"], r["doc_tokens"], r["start"]), r["ids"])
+            packer.add((r["doc_id"], r["text_hash"], r["doc_tokens"], r["start"], r["sequence_id"] >> 33), r["ids"])
         out = []
         for number, (_, pieces) in enumerate(packer.done + packer.open):
             offset = 0
-            for (doc_id, text_hash, tokens, base), start, ids in pieces:
+            first = pieces[0][0][-1]
+            for (doc_id, text_hash, tokens, base, _), start, ids in pieces:
                 n = len(ids) // 4
                 out.append({"doc_id": doc_id, "text_hash": text_hash, "start": base + start, "length": n,
                             "ids_crc32": zlib.crc32(ids), "doc_tokens": tokens,
-                            "sequence_id": (1 << 62) + (key[0].as_py() << 33) + number, "offset": offset,
+                            "sequence_id": (first << 33) + MERGED + number, "offset": offset,
                             "part": None, "ids": None})
                 offset += n
         return pa.Table.from_pylist(out, SCHEMA)
     return run
 
 
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """``docs``, read from Parquet that Spark wrote in order, in that order again:
+    range-sorted by part number and row position (a scan bins files by size).
+    Rows that come from no file keep the order they have."""
+    try:
+        placed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("_metadata.file_path").alias("_file"),
+                             F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return docs
+    number = F.regexp_extract("_file", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    return placed.orderBy(number, "_file", "_at").select("_doc.*")
+
+
 def pack(docs: DataFrame, sequence: int = SEQUENCE, open_windows: int = OPEN_WINDOWS,
          merge_partitions: int = MERGE_PARTITIONS, tokenizer_path: str | None = None) -> DataFrame:
     """One row per piece: ``doc_id, text_hash, start, length, ids_crc32,
@@ -211,8 +233,8 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, open_windows: int = OPEN_WIN
 
     A document's ids are its text's (null: none) and the end id; every id lies
     in exactly one piece.  Pieces of a sequence are gapless from offset 0.
-    Rows with equal ids are separate documents.  An empty table gives no
-    pieces.  ``tokenizer_path``: a tokenizer file whose tokens end words in
+    Sequences by id are in the order of the partitions of ``docs``.  Rows with
+    equal ids are separate documents.  An empty table gives no pieces.  ``tokenizer_path``: a tokenizer file whose tokens end words in
     ``</w>``; unset, the public word-level BPE.
     """
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")

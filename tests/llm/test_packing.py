@@ -5,6 +5,7 @@ from collections import defaultdict
 import public_tokenizers
 import pytest
 from cases import clashing, docs
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from codecorpus.llm import packing
@@ -77,3 +78,14 @@ def test_words_equal_the_tokenizer_on_odd_text(tokenizer):
     words = packing._words(None)
     for text, raw in zip(texts, words.ids(texts)):
         assert raw == struct.pack(f"<{len(raw) // 4}I", *tokenizer.encode(text or "", add_special_tokens=False).ids), text
+
+
+def test_leftovers_stand_behind_their_partition(spark):
+    rows = docs(spark, [(i, "one two three " * (5 + i % 7), "en", "s", 1) for i in range(400)]).repartitionByRange(10, "doc_id")
+    part = {r.doc_id: r.p for r in rows.select("doc_id", F.spark_partition_id().alias("p")).collect()}
+    spans = defaultdict(set)
+    for r in packing.pack(rows, sequence=256, open_windows=3, merge_partitions=4).collect():
+        spans[r.sequence_id].add(part[r.doc_id])
+    spans = [spans[i] for i in sorted(spans)]
+    assert max(map(len, spans)) > 1  # merged sequences
+    assert [min(s) for s in spans] == sorted(min(s) for s in spans)

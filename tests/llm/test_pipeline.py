@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import public_tokenizers
 from cases import docs
+from pyspark.sql import functions as F
 from test_jaccard import brute
 from tokenizers import Tokenizer
 
@@ -81,3 +82,17 @@ def test_awkward_rows_pass_every_stage(spark):
     empty = docs(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_packing_keeps_the_order_of_the_files(spark):
+    """Files of growing size, which a scan would read from the largest down."""
+    path = shared_path(spark, "test-order")
+    rows = [(i, " ".join(f"w{(i * k) % 9973}" for k in range(5000)), "en", "s", 1) for i in range(60)]
+    files = docs(spark, rows).withColumn("f", F.floor(F.sqrt(F.col("doc_id"))).cast("int")).repartitionByRange(8, "f")
+    files.sortWithinPartitions("doc_id").drop("f").write.parquet(path)
+    df = spark.read.parquet(path)
+    assert len(df.inputFiles()) > 3
+    first = {}
+    for r in corpus_pipeline.STAGES[-1][1](spark, df, SF).collect():
+        first[r.doc_id] = min(r.sequence_id, first.get(r.doc_id, r.sequence_id)) if r.start == 0 else first.get(r.doc_id, 1 << 63)
+    assert sorted(first, key=first.get) == list(range(60))
