@@ -75,3 +75,12 @@ def rows_of(docs: DataFrame, picked: DataFrame) -> DataFrame:
     often as it is picked."""
     counts = picked.select(*row_key(F.col("text_hash"))).groupBy(*ROW_KEY).agg(F.count(F.lit(1)).alias("_picked"))
     return keyed_rows(docs).join(counts, ROW_KEY).where("_nth <= _picked").select("_row.*")
+
+
+#: Words of letters, digits and everything beyond ASCII, in lower-cased text.
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def alnum_words(text: Column) -> Column:
+    """Words of a whole text, A-Z lower-cased (null: none)."""
+    return F.regexp_extract_all(lower_ascii(F.coalesce(text, F.lit(""))), F.lit(ALNUM), F.lit(0))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codecorpus.llm import dedup, jaccard, mixing, packing, quality, sharding, simhash, suffixes, urls, warc
+from codecorpus.llm import (
+    decontaminate, dedup, jaccard, mixing, packing, quality, resample, sharding, simhash, suffixes, urls, warc, whitening)
 from codecorpus.llm.common import cut, shared_path, table
 from codecorpus.llm.oracle import ORACLE  # noqa: F401
 
@@ -78,6 +79,23 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn toward the benchmark's word distribution, with ranks."""
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document holds of the benchmark's windows of ten words."""
+    found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash", "spans")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every embedding on the first 32 components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_exact_dedup": op2_exact_dedup,
@@ -89,4 +107,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op11_resample": op11_resample,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_whitening": op13_whitening,
 }
