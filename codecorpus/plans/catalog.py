@@ -665,3 +665,74 @@ def task_sources(spark, sf_dir):
                     TR.task_source("final", masked, out, F.col("compile_info"), F.col("inherit")).alias("source_final"),
                     TR.task_source("disable", masked, out, None, F.col("inherit")).alias("source_disable"),
                     TR.task_source("plain", masked, out).alias("source_plain"))
+
+
+# --- joins without an equal key ------------------------------------------------------------
+
+from codecorpus.operators import intervals as IV  # noqa: E402
+from codecorpus.operators import mentions as MN  # noqa: E402
+from codecorpus.operators import nearest as NR  # noqa: E402
+from codecorpus.operators import similarity as SIM  # noqa: E402
+
+
+def _placed_events(spark, sf_dir):
+    e = _t(spark, sf_dir, "events")
+    return e.select("event_id", "event_type", "user_id", NR.micros(e, "ts").alias("at"))
+
+
+@query
+def nearest_event(spark, sf_dir):
+    """F8: for every error event the nearest other event in time (tie: the
+    earlier one, then the smaller id)."""
+    e = _placed_events(spark, sf_dir)
+    out = NR.nearest(e.where("event_type = 'error'"), e, "at", "event_id", ["event_type"])
+    return out.select("event_id", F.col("near.key").alias("near_id"), F.col("near.event_type").alias("near_type"),
+                      F.col("near.distance").alias("gap_us"))
+
+
+@query
+def nearest_purchase(spark, sf_dir):
+    """F8: for every error event the nearest purchase of the same user."""
+    e = _placed_events(spark, sf_dir)
+    out = NR.nearest(e.where("event_type = 'error'"), e.where("event_type = 'purchase'"), "at", "event_id", by=["user_id"])
+    return out.select("event_id", "user_id", F.col("near.key").alias("near_id"), F.col("near.distance").alias("gap_us"))
+
+
+@query
+def best_document(spark, sf_dir):
+    """F9 + E17: the document most similar to each benchmark item (Dice of
+    bigrams, strictly above 0, ties by smaller id)."""
+    out = SIM.best_matches(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"), "item_id", "doc_id")
+    return out.select("item_id", "doc_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query
+def containment_samples(spark, sf_dir):
+    """F5 (+D1, E8, H16): the masked samples from two flat tables, classes and
+    methods, by an interval join."""
+    sc = S.materialize(java_scanned(spark, sf_dir))
+    flat = sc.select(*JKEYS, F.inline_outer("spans"))
+    types = flat.where("kind = 'class'").select(*JKEYS, F.col("type").alias("kind"), "name", "kw_start", "start", "end")
+    methods = flat.where("kind = 'method' AND body_start IS NOT NULL").select(*JKEYS, "ord", "name", "start", "end", "body_start", "body_end")
+    return IV.method_samples(sc, types, methods, JKEYS).select(*JKEYS, "class_name", "func_name", "func_body", "masked_class")
+
+
+def _named_items(spark, sf_dir):
+    """A function name per benchmark item: one of its first words."""
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.get(F.split("text", " "), (F.col("item_id") % 5).cast("int")).alias("name"))
+
+
+@query
+def name_mentions(spark, sf_dir):
+    """Every document that mentions an item's name, of all names and documents."""
+    names = _named_items(spark, sf_dir)
+    found = MN.mentions(names, _t(spark, sf_dir, "documents"), ["doc_id"])
+    return names.join(found, "name").select("item_id", "name", "doc_id")
+
+
+@query
+def generation_mentions(spark, sf_dir):
+    """J5 + C12: a run per benchmark item; it counts if its exit code is 0 and
+    a document mentions its name."""
+    runs = _named_items(spark, sf_dir).select("item_id", F.col("name").alias("func_name"), (F.col("item_id") % 3).alias("exit_code"))
+    return MN.generation_status(runs, _t(spark, sf_dir, "documents")).select("item_id", "func_name", "n_mentions", "generate_status")

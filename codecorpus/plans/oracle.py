@@ -817,3 +817,57 @@ SELECT source_idx, contract_name, func_name,
   p AS source_plain
 FROM fim
 """
+
+
+# --- joins without an equal key ---
+
+ORACLE["nearest_event"] = """
+WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS t FROM events),
+k AS (SELECT t, list(event_id ORDER BY event_id)[1] AS a, list(event_id ORDER BY event_id)[2] AS b FROM e GROUP BY t),
+er AS (SELECT * FROM e WHERE event_type = 'error'),
+c AS (
+  SELECT er.event_id, 0 AS gap, er.t AS t, CASE WHEN k.a = er.event_id THEN k.b ELSE k.a END AS near FROM er JOIN k USING (t)
+  UNION ALL SELECT er.event_id, er.t - k.t, k.t, k.a FROM er ASOF JOIN k ON er.t > k.t
+  UNION ALL SELECT er.event_id, k.t - er.t, k.t, k.a FROM er ASOF JOIN k ON er.t < k.t),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY gap, t, near) AS n FROM c WHERE near IS NOT NULL)
+SELECT er.event_id, r.near AS near_id, e.event_type AS near_type, r.gap::BIGINT AS gap_us
+FROM er LEFT JOIN r ON r.event_id = er.event_id AND r.n = 1 LEFT JOIN e ON e.event_id = r.near
+"""
+
+ORACLE["nearest_purchase"] = """
+WITH e AS (SELECT event_id, event_type, user_id, epoch_us(ts) AS t FROM events),
+k AS (SELECT user_id, t, min(event_id) AS a FROM e WHERE event_type = 'purchase' GROUP BY ALL),
+er AS (SELECT * FROM e WHERE event_type = 'error'),
+c AS (
+  SELECT er.event_id, er.t - k.t AS gap, k.t AS t, k.a AS near FROM er ASOF JOIN k ON er.user_id = k.user_id AND er.t >= k.t
+  UNION ALL SELECT er.event_id, k.t - er.t, k.t, k.a FROM er ASOF JOIN k ON er.user_id = k.user_id AND er.t < k.t),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY gap, t, near) AS n FROM c)
+SELECT er.event_id, er.user_id, r.near AS near_id, r.gap::BIGINT AS gap_us
+FROM er LEFT JOIN r ON r.event_id = er.event_id AND r.n = 1
+"""
+
+ORACLE["best_document"] = r"""
+WITH t AS (
+  SELECT 'i' AS side, item_id AS id, regexp_replace(lower(text), '\s+', '', 'g') AS x FROM benchmark
+  UNION ALL SELECT 'd', doc_id, regexp_replace(lower(text), '\s+', '', 'g') FROM documents),
+g AS (SELECT side, id, length(x) - 1 AS n, x[i:i + 1] AS b FROM (SELECT *, unnest(range(1, length(x))) AS i FROM t)),
+c AS (SELECT side, id, n, b, count(*) AS k FROM g GROUP BY ALL),
+s AS (
+  SELECT i.id AS item_id, d.id AS doc_id, 2.0::DOUBLE * sum(least(i.k, d.k)) / any_value(i.n + d.n) AS similarity
+  FROM c i JOIN c d ON i.b = d.b WHERE i.side = 'i' AND d.side = 'd' GROUP BY ALL)
+SELECT item_id, doc_id, round(similarity, 6) AS similarity
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS r FROM s) WHERE r = 1
+"""
+
+ORACLE["containment_samples"] = ORACLE["masked_samples"]
+
+_NAMES = "SELECT item_id, string_split(text, ' ')[item_id % 5 + 1] AS name FROM benchmark"
+
+ORACLE["name_mentions"] = f"""
+SELECT item_id, name, doc_id FROM ({_NAMES}) JOIN documents ON contains(text, name)
+"""
+
+ORACLE["generation_mentions"] = f"""
+SELECT item_id, any_value(name) AS func_name, count(doc_id) AS n_mentions, item_id % 3 = 0 AND count(doc_id) > 0 AS generate_status
+FROM ({_NAMES}) LEFT JOIN documents ON contains(text, name) GROUP BY item_id
+"""
