@@ -669,6 +669,7 @@ def task_sources(spark, sf_dir):
 
 # --- joins without an equal key ------------------------------------------------------------
 
+from codecorpus.operators import braces as BR  # noqa: E402
 from codecorpus.operators import intervals as IV  # noqa: E402
 from codecorpus.operators import mentions as MN  # noqa: E402
 from codecorpus.operators import nearest as NR  # noqa: E402
@@ -736,3 +737,18 @@ def generation_mentions(spark, sf_dir):
     a document mentions its name."""
     runs = _named_items(spark, sf_dir).select("item_id", F.col("name").alias("func_name"), (F.col("item_id") % 3).alias("exit_code"))
     return MN.generation_status(runs, _t(spark, sf_dir, "documents")).select("item_id", "func_name", "n_mentions", "generate_status")
+
+
+@query
+def nested_samples(spark, sf_dir):
+    """D1 + D13 + H16: masked samples of all methods, those of anonymous and
+    local classes included, from brace pairs in column expressions."""
+    files = X.nested_java_files(_t(spark, sf_dir, "documents"))
+    return BR.nested_samples(files, JKEYS).select(*JKEYS, "class_name", "func_name", "func_body", "masked_class")
+
+
+@query
+def brace_samples(spark, sf_dir):
+    """D1 + F5 + H16: the masked samples of the flat files, by brace pairs instead of the scanner."""
+    files = X.java_files(_t(spark, sf_dir, "documents"))
+    return BR.nested_samples(files, JKEYS).select(*JKEYS, "class_name", "func_name", "func_body", "masked_class")

@@ -120,6 +120,27 @@ def java_files(documents: DataFrame) -> DataFrame:
         F.expr(text).alias("source_code"))
 
 
+def nested_java_files(documents: DataFrame) -> DataFrame:
+    """One Java-like file per document whose lines are bodies of plain methods,
+    of methods of anonymous classes and of methods of local classes in turn.
+    Columns as in ``java_files``."""
+    d = "cast(doc_id as string)"
+    one = (
+        "case i % 3"
+        " when 0 then concat('  void f', i, '(int a) {', ' ', x, ' ', '}\n')"
+        " when 1 then concat('  Runnable r', i, ' = new Thread() {\n    public void run', i, '() {', ' ', x, ' ', '}\n  };\n')"
+        " else concat('  int g', i, '() {\n    class L', i, ' {\n      String h', i, '(String s) {', ' ', x, ' ',"
+        " '}\n    }\n    return 0;\n  }\n') end")
+    text = (
+        f"concat('package p;\n\npublic class C', {d}, ' {{\n  private int x = \"{{\".length(); // }}\n  C', {d},"
+        " '(int a) { super(); }\n', "
+        f"array_join(transform(ls, (x, i) -> {one}), ''),"
+        f" '  interface J', {d}, ' {{ default void q(int a) {{ return; }} }}\n}}\n')".replace("'(int a) {{", "'(int a) {"))
+    return doc_lines(documents).select(
+        F.concat(F.lit("own_"), F.col("source")).alias("proj_name"),
+        F.expr(_java_path("doc_id")).alias("relative_path"), F.expr(text).alias("source_code"))
+
+
 def compiled_classes(java: DataFrame) -> DataFrame:
     """Listing of compiled class files: present for doc_id%4<>3 (FIXTURES §3.2)."""
     return java.where("doc_id % 4 <> 3").select(

@@ -871,3 +871,36 @@ ORACLE["generation_mentions"] = f"""
 SELECT item_id, any_value(name) AS func_name, count(doc_id) AS n_mentions, item_id % 3 = 0 AND count(doc_id) > 0 AS generate_status
 FROM ({_NAMES}) LEFT JOIN documents ON contains(text, name) GROUP BY item_id
 """
+
+ORACLE["brace_samples"] = ORACLE["masked_samples"]
+
+ORACLE["nested_samples"] = "WITH " + DOCS + r""",
+piece AS (
+  SELECT d, i, '  int g' || i || '() {' AS gsig, ' ' || x || ' ' AS body,
+    CASE i % 3 WHEN 0 THEN '  void f' || i || '(int a) {'
+      WHEN 1 THEN '  Runnable r' || i || E' = new Thread() {\n    public void run' || i || '() {'
+      ELSE '  int g' || i || E'() {\n    class L' || i || E' {\n      String h' || i || '(String s) {' END AS pre,
+    CASE i % 3 WHEN 0 THEN E'}\n' WHEN 1 THEN E'}\n  };\n' ELSE E'}\n    }\n    return 0;\n  }\n' END AS post
+  FROM lines),
+file AS (
+  SELECT h.d, 'own_' || h.source AS proj_name,
+    'mod/src/' || CASE WHEN h.d % 10 = 9 THEN 'test' ELSE 'main' END || '/java/p' || (h.d % 7) || '/C' || h.d || '.java' AS relative_path,
+    'class C' || h.d || E' {\n  private int x = "{".length(); // }\n  C' || h.d || E'(int a) { super(); }\n' AS head,
+    coalesce((SELECT string_agg(pre || body || post, '' ORDER BY i) FROM piece p WHERE p.d = h.d), '') AS members,
+    '  interface J' || h.d || E' { default void q(int a) { return; } }\n}' AS tail
+  FROM docs h),
+placed AS (
+  SELECT p.*, f.proj_name, f.relative_path, f.head || f.members || f.tail AS c_text,
+    length(f.head) + coalesce(sum(length(pre || body || post)) OVER (PARTITION BY p.d ORDER BY i
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+  FROM piece p JOIN file f USING (d)),
+fn AS (
+  SELECT d, proj_name, relative_path, c_text, CASE i % 3 WHEN 0 THEN 'f' WHEN 1 THEN 'run' ELSE 'h' END || i AS func_name,
+    body AS func_body, (off + length(pre))::BIGINT AS a FROM placed
+  UNION ALL
+  SELECT d, proj_name, relative_path, c_text, 'g' || i, substr(pre || body || post, length(gsig) + 1,
+    length(pre || body || post) - length(gsig) - 2), (off + length(gsig))::BIGINT FROM placed WHERE i % 3 = 2)
+SELECT proj_name, relative_path, 'C' || d AS class_name, func_name, func_body,
+  left(c_text, a) || '<FILL_FUNCTION_BODY>' || substr(c_text, a + length(func_body) + 1) AS masked_class
+FROM fn
+"""
