@@ -1,43 +1,33 @@
 """Synthetic call inputs (D12, E18, K1, K2): random argument values for the
 elementary parameters of functions, md5-keyed so they are reproducible.
 
-bool / address / string values are Column expressions; integers of up to
-256 bits exceed every SQL numeric type, so they come from a small
-Arrow-batched helper that turns md5 bits into a decimal string.
+All values are Column expressions; integers of up to 256 bits exceed every SQL
+numeric type, so md5 bits become decimal text by arithmetic on limb arrays.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codecorpus import constants as K
+from codecorpus.functions import limbs as L
 from codecorpus.functions import text as TX
 from codecorpus.operators.samples import _explode, span_at
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _int_values(type_name: pd.Series, n: pd.Series, key: pd.Series) -> pd.Series:
-    """n decimal strings of uniform intN / uintN values (N defaults to 256),
-    element i from md5 of ``key:i``."""
-    import hashlib
-
-    def one(t, cnt, k):
-        if t is None or k is None:
-            return None
-        signed = not t.startswith("u")
-        digits = t[3:] if signed else t[4:]
-        bits = int(digits) if digits else 256
-        out = []
-        for i in range(1, int(cnt) + 1):
-            h = b"".join(hashlib.md5(f"{k}:{i}:{j}".encode()).digest() for j in range((bits + 127) // 128))
-            v = int.from_bytes(h, "big") % (1 << bits)
-            out.append(str(v - (1 << (bits - 1)) if signed else v))
-        return out
-
-    return pd.Series([one(t, c, k) for t, c, k in zip(type_name, n, key)], dtype="object")
+def _int_value(type_name: Column, key: Column) -> Column:
+    """Decimal text of a uniform intN / uintN value (N defaults to 256): the
+    lowest N bits of the md5 digests of ``key:0``, ``key:1``, ... in turn,
+    less 2**(N - 1) if signed."""
+    width = F.regexp_extract(type_name, r"^u?int([0-9]*)$", 1)
+    bits = F.when(width == "", 256).otherwise(width.try_cast("int"))
+    blocks = F.greatest(F.ceil(bits / 128).cast("int"), F.lit(1))
+    digests = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.md5(F.concat_ws(":", key, j.cast("string"))))
+    own = L.low_bits(F.array_join(digests, ""), bits)
+    # A width of 0 has the one value 0, or without the sign bit's place no negative half.
+    signed = F.when(bits > 0, L.let(own, lambda h: L.signed_text(h, bits))).otherwise("0")
+    return F.when(type_name.startswith("u"), L.text(L.from_hex(own))).otherwise(signed)
 
 
 def _scalar_value(kind: Column, key: Column) -> Column:
@@ -65,8 +55,6 @@ def typed_inputs(params: DataFrame, key_cols: list[str], seed: int = K.SEED_GENE
     """K1 + K2: a value for every elementary parameter (arrays ``T[n]`` get n
     values); other types are skipped.  ``value`` is text; arrays render as
     ``[v1, v2, ...]``."""
-    from codecorpus.session import ship_library
-    ship_library(params.sparkSession)  # the big-integer helper runs in Python workers
     arr_m = F.regexp_extract("type", r"^(.+)\[([0-9]+)\]$", 2)
     base = F.when(arr_m != "", F.regexp_extract("type", r"^(.+)\[([0-9]+)\]$", 1)).otherwise(F.col("type"))
     p = params.withColumn("_base", base).withColumn("_n", F.when(arr_m != "", arr_m.try_cast("int")))
@@ -74,11 +62,9 @@ def typed_inputs(params: DataFrame, key_cols: list[str], seed: int = K.SEED_GENE
     key = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols])
     p = p.withColumn("_kind", TX.elementary_kind(F.col("_base"))).withColumn("_key", key) \
         .withColumn("_cnt", F.coalesce(F.col("_n"), F.lit(1)))
-    # the helper only sees integer types (a UDF runs on every row of the batch)
-    ints = _int_values(F.when(F.col("_kind").isin("uint", "int"), F.col("_base")), F.col("_cnt"), F.col("_key"))
-    others = F.transform(F.sequence(F.lit(1), F.col("_cnt")),
-                         lambda i: _scalar_value(F.col("_kind"), F.concat_ws(":", F.col("_key"), i.cast("string"))))
-    vals = F.when(F.col("_kind").isin("uint", "int"), ints).otherwise(others)
+    item = lambda i: F.concat_ws(":", F.col("_key"), i.cast("string"))
+    vals = F.transform(F.sequence(F.lit(1), F.col("_cnt")), lambda i: F.when(
+        F.col("_kind").isin("uint", "int"), _int_value(F.col("_base"), item(i))).otherwise(_scalar_value(F.col("_kind"), item(i))))
     value = F.when(F.col("_n").isNull(), F.try_element_at(vals, F.lit(1))).otherwise(
         F.concat(F.lit("["), F.array_join(vals, ", "), F.lit("]")))
     return p.withColumn("value", value).drop("_base", "_n", "_kind", "_key", "_cnt")

@@ -752,3 +752,80 @@ def brace_samples(spark, sf_dir):
     """D1 + F5 + H16: the masked samples of the flat files, by brace pairs instead of the scanner."""
     files = X.java_files(_t(spark, sf_dir, "documents"))
     return BR.nested_samples(files, JKEYS).select(*JKEYS, "class_name", "func_name", "func_body", "masked_class")
+
+
+@query
+def abi_inputs(spark, sf_dir):
+    """E18 + K1 + K2: random values of all elementary types and their arrays."""
+    params = X.typed_params(_t(spark, sf_dir, "documents"))
+    out = SY.typed_inputs(params, ["source_idx", "contract_name", "func_name", "pos"])
+    return out.select("source_idx", "pos", "type", "name", "value")
+
+
+@query
+def commented_functions_flat(spark, sf_dir):
+    """H15 + F14 + G8: commented functions by islands and running sums over
+    flat items, linear in a file's declarations."""
+    sc = S.materialize(sol_scanned(spark, sf_dir))
+    return J.commented_functions_flat(sc, ["source_idx"])
+
+
+# --- profiles, batches, lines, benchmark rows ------------------------------------------------
+
+from codecorpus.operators import profiles as PF  # noqa: E402
+from codecorpus.session import ensure_checkpoint_dir  # noqa: E402
+from codecorpus.sources import batches as BT  # noqa: E402
+from codecorpus.sources import files as FL  # noqa: E402
+
+
+def _new_path(spark, name):
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def profile_tables(spark, sf_dir):
+    """Count, distinct values, most frequent value and its frequency of
+    every column of three tables, each read once."""
+    out = None
+    for name in ("documents", "labels", "events"):
+        one = PF.profile(_t(spark, sf_dir, name).drop("ts")).select(F.lit(name).alias("table"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def batched_results(spark, sf_dir):
+    """Compile results written batch by batch; the job is stopped after
+    three of eight batches and started again."""
+    logs = X.solidity_logs(_t(spark, sf_dir, "events"))
+    path = _new_path(spark, "batched")
+    process = lambda df: R.compile_status(df).select("event_id", "proj_name", "compile_info")
+    BT.write_batches(logs, ["event_id"], path, 8, process, stop_after=3)
+    BT.write_batches(logs, ["event_id"], path, 8, process)
+    return BT.read_batches(spark, path)
+
+
+@query
+def numbered_lines(spark, sf_dir):
+    """A7 + A13: every document written as a file of its own, read back as
+    numbered lines."""
+    path = _new_path(spark, "filled")
+    d = _t(spark, sf_dir, "documents").select(F.format_string("doc%d.txt", "doc_id").alias("file"), "text")
+    FL.write_text_files(d, path, "file", "text")
+    return FL.numbered_lines(spark, path, "file")
+
+
+@query
+def benchmark_rows(spark, sf_dir):
+    """Model outputs joined to their contract and file, without the
+    contract's index."""
+    files = X.sol_files(_t(spark, sf_dir, "documents"))
+    sc = S.materialize(S.scan_files(files, "source_code", "solidity"))
+    fns = SM.contract_functions(sc, ["source_idx"])
+    contracts = SM.contracts(sc, ["source_idx"])
+    number = F.concat_ws("#", "source_idx", "contract_name")
+    outputs = fns.select(number.alias("contract_idx"), "func_name", "func_body", F.upper("func_body").alias("output"))
+    index = contracts.select(number.alias("contract_idx"), F.col("source_idx").alias("file_source_idx"))
+    rows = J.benchmark_rows(outputs, index, files.select(F.col("source_idx").alias("file_source_idx"), F.col("source_code").alias("file_source")))
+    return rows.select("file_source_idx", "func_name", "func_body", "output", "status", F.md5("file_source").alias("file_source_md5"))

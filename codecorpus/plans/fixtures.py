@@ -141,6 +141,22 @@ def nested_java_files(documents: DataFrame) -> DataFrame:
         F.expr(_java_path("doc_id")).alias("relative_path"), F.expr(text).alias("source_code"))
 
 
+#: Parameter types that ``typed_params`` deals out in turn.
+PARAM_TYPES = ("uint256", "int256", "uint8", "int8", "uint", "int", "int128[3]", "uint72[2]", "bool", "bool[2]",
+               "address", "string", "string[2]", "bytes32", "int104")
+
+
+def typed_params(documents: DataFrame) -> DataFrame:
+    """(source_idx, contract_name, func_name, pos, type, name): two parameter
+    declarations per document, of every kind of elementary type and one that is
+    not."""
+    types = F.array(*[F.lit(t) for t in PARAM_TYPES])
+    rows = documents.select(F.col("doc_id").alias("source_idx"), F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"))
+    nth = F.pmod(2 * F.col("source_idx") + F.col("pos"), F.lit(len(PARAM_TYPES))).cast("int")
+    return rows.select("source_idx", F.concat(F.lit("C"), "source_idx").alias("contract_name"), F.lit("f").alias("func_name"), "pos",
+                       F.get(types, nth).alias("type"), F.concat(F.lit("p"), "pos").alias("name"))
+
+
 def compiled_classes(java: DataFrame) -> DataFrame:
     """Listing of compiled class files: present for doc_id%4<>3 (FIXTURES §3.2)."""
     return java.where("doc_id % 4 <> 3").select(

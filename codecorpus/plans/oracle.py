@@ -904,3 +904,100 @@ SELECT proj_name, relative_path, 'C' || d AS class_name, func_name, func_body,
   left(c_text, a) || '<FILL_FUNCTION_BODY>' || substr(c_text, a + length(func_body) + 1) AS masked_class
 FROM fn
 """
+
+ORACLE["commented_functions_flat"] = ORACLE["commented_functions"]
+ORACLE["batched_results"] = ORACLE["compile_status"]
+
+ORACLE["numbered_lines"] = """
+SELECT 'doc' || doc_id || '.txt' AS file, (unnest(range(len(l))))::BIGINT AS line_no, unnest(l) AS line
+FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+"""
+
+ORACLE["benchmark_rows"] = "WITH " + SOL_FILE + """,
+fns AS (
+  SELECT d, 'g' || d || '_' || k AS func_name, ' return; ' AS func_body FROM base_c
+  UNION ALL SELECT d, 'h' || d || '_' || k, ' return; ' FROM base_c
+  UNION ALL SELECT d, 'm' || d, ' return v; ' FROM side_c
+  UNION ALL SELECT d, 'f' || (i // 2), body FROM sol_fn)
+SELECT d AS file_source_idx, func_name, func_body, upper(func_body) AS output, 'ok' AS status, md5(source_code) AS file_source_md5
+FROM fns JOIN sol_file USING (d)
+"""
+
+
+def _profile(table: str, columns: list[str]) -> str:
+    """Every column of a table counted by itself."""
+    one = ("SELECT '{t}' AS \"table\", '{c}' AS \"column\", sum(n)::BIGINT AS count, count(v) AS \"unique\","
+           " arg_min(v, (-n, v)) FILTER (v IS NOT NULL) AS top, max(n) FILTER (v IS NOT NULL) AS freq"
+           " FROM (SELECT {c}::VARCHAR AS v, count(*) AS n FROM {t} GROUP BY 1)")
+    return " UNION ALL ".join(one.format(t=table, c=c) for c in columns)
+
+
+ORACLE["profile_tables"] = " UNION ALL ".join([
+    _profile("documents", ["doc_id", "text", "lang", "source", "n_chars"]), _profile("labels", ["doc_id", "quality", "toxic"]),
+    _profile("events", ["event_id", "user_id", "event_type", "value", "props"])])
+
+# Random inputs: md5 words to decimal digits, 32 bits at a time, in limbs of 18 digits.
+_VALUES = """
+parsed AS (
+  SELECT *, CASE WHEN type LIKE '%]' THEN regexp_extract(type, '^(.+)\\[([0-9]+)\\]$', 1) ELSE type END AS base,
+         CASE WHEN type LIKE '%]' THEN regexp_extract(type, '^(.+)\\[([0-9]+)\\]$', 2)::INT END AS n
+  FROM params),
+items AS (
+  SELECT *, key || ':' || i AS item FROM (SELECT *, unnest(range(1, coalesce(n, 1) + 1)) AS i FROM parsed)
+  WHERE regexp_full_match(base, 'u?int[0-9]*|bool|address|string')),
+ints AS (
+  SELECT *, right(CASE WHEN bits > 128 THEN md5(item || ':0') || md5(item || ':1') ELSE md5(item || ':0') END, bits // 4) AS own
+  FROM (SELECT *, coalesce(nullif(regexp_extract(base, '([0-9]*)$', 1), ''), '256')::INT AS bits FROM items WHERE base LIKE '%int%')),
+signs AS (
+  SELECT *, base NOT LIKE 'u%' AND own[1] < '8' AS negative FROM ints),
+sized AS (
+  SELECT *, CASE WHEN base LIKE 'u%' THEN own
+    WHEN negative THEN substr('76543210', ('0x' || own[1])::INT + 1, 1) || translate(own[2:], '0123456789abcdef', 'fedcba9876543210')
+    ELSE (('0x' || own[1])::INT - 8)::VARCHAR || own[2:] END AS size_hex FROM signs),
+horner AS (
+  SELECT item, lpad(size_hex, 64, '0') AS x, negative, 0 AS step, 0::HUGEINT AS a, 0::HUGEINT AS b, 0::HUGEINT AS c, 0::HUGEINT AS d, 0::HUGEINT AS e
+  FROM sized
+  UNION ALL
+  SELECT item, x, negative, step + 1, ta % q, tb % q, tc % q, td % q, e * 4294967296 + td // q
+  FROM (SELECT *, d * 4294967296 + tc // q AS td FROM (SELECT *, c * 4294967296 + tb // q AS tc
+        FROM (SELECT *, b * 4294967296 + ta // q AS tb FROM (
+          SELECT *, 1000000000000000000::HUGEINT AS q, a * 4294967296 + ('0x' || substr(x, step * 8 + 1, 8))::BIGINT
+                    + CASE WHEN step = 7 AND negative THEN 1 ELSE 0 END AS ta FROM horner WHERE step < 8))))),
+digits AS (
+  SELECT item, negative, ltrim(lpad(e::VARCHAR, 18, '0') || lpad(d::VARCHAR, 18, '0') || lpad(c::VARCHAR, 18, '0')
+         || lpad(b::VARCHAR, 18, '0') || lpad(a::VARCHAR, 18, '0'), '0') AS t FROM horner WHERE step = 8),
+elements AS (
+  SELECT i.*, CASE WHEN base LIKE '%int%' THEN CASE WHEN negative THEN '-' ELSE '' END || CASE WHEN t = '' THEN '0' ELSE t END
+    WHEN base = 'bool' THEN CASE WHEN ('0x' || substr(md5(i.item), 1, 2))::INT % 2 = 1 THEN 'true' ELSE 'false' END
+    WHEN base = 'address' THEN (['0xca35b7d915458ef540ade6068dfe2f44e8fa733c', '0x14723a09acff6d2a60dcdf7aa4aff308fddc160c',
+      '0x4b0897b0513fdc7c541b6d9d7e929c4e5364d2db', '0x583031d1113ad414f02576bd6afabfb302140225',
+      '0xdd870fa1b7c4700f2bd7f44238821c26f7392148'])[('0x' || substr(md5(i.item), 1, 2))::INT % 5 + 1]
+    ELSE array_to_string(list_transform(range(10), lambda k: chr(32 + ('0x' || substr(md5(i.item), (2 * k + 1)::INT, 2))::INT % 95)), '') END AS v
+  FROM items i LEFT JOIN digits USING (item))"""
+
+ORACLE["abi_inputs"] = """
+WITH RECURSIVE params AS (
+  SELECT doc_id AS source_idx, pos::INT AS pos, 'p' || pos AS name, '42:' || doc_id || ':C' || doc_id || ':f:' || pos AS key,
+    (['uint256', 'int256', 'uint8', 'int8', 'uint', 'int', 'int128[3]', 'uint72[2]', 'bool', 'bool[2]',
+      'address', 'string', 'string[2]', 'bytes32', 'int104'])[(2 * doc_id + pos) % 15 + 1] AS type
+  FROM documents, range(2) r(pos)),""" + _VALUES + """
+SELECT source_idx, pos, any_value(type) AS type, any_value(name) AS name,
+       CASE WHEN any_value(n) IS NULL THEN any_value(v) ELSE '[' || string_agg(v, ', ' ORDER BY i) || ']' END AS value
+FROM elements GROUP BY source_idx, pos
+"""
+
+# A function's key holds its position among the spans of its file: contracts, members and comments in order.
+ORACLE["typed_inputs"] = "WITH RECURSIVE " + DOCS + """,
+fns AS (
+  SELECT d, 'I' || d AS contract_name, 'ping' || d AS func_name, 1 AS ord, [('uint256', 'x')] AS ps FROM docs WHERE d % 5 = 1
+  UNION ALL
+  SELECT d, 'Side' || d, 'm' || d, 5 * (d % 4 + 1) + CASE WHEN d % 5 = 1 THEN 2 ELSE 0 END + 2, [('uint256', 'v')] FROM docs WHERE d % 10 = 0
+  UNION ALL
+  SELECT d, 'C' || d, 'f' || (i // 2), 5 * (d % 4 + 1) + CASE WHEN d % 5 = 1 THEN 2 ELSE 0 END + CASE WHEN d % 10 = 0 THEN 3 ELSE 0 END
+    + 1 + i + (i + 1) // 3 * 3 + [0, 1, 3][(i + 1) % 3 + 1], [('uint256', 'a'), ('address', 'b')] FROM lines),
+params AS (
+  SELECT d AS source_idx, contract_name, func_name, ord, pos::INT AS pos, ps[pos + 1][1] AS type, ps[pos + 1][2] AS name,
+         '42:' || d || ':' || contract_name || ':' || func_name || ':' || ord || ':' || pos AS key
+  FROM (SELECT *, unnest(range(len(ps))) AS pos FROM fns)),""" + _VALUES + """
+SELECT source_idx, contract_name, func_name, pos, type, name, v AS value FROM elements
+"""
