@@ -776,6 +776,7 @@ from codecorpus.operators import profiles as PF  # noqa: E402
 from codecorpus.session import ensure_checkpoint_dir  # noqa: E402
 from codecorpus.sources import batches as BT  # noqa: E402
 from codecorpus.sources import files as FL  # noqa: E402
+from codecorpus.sources import variants as VR  # noqa: E402
 
 
 def _new_path(spark, name):
@@ -829,3 +830,13 @@ def benchmark_rows(spark, sf_dir):
     index = contracts.select(number.alias("contract_idx"), F.col("source_idx").alias("file_source_idx"))
     rows = J.benchmark_rows(outputs, index, files.select(F.col("source_idx").alias("file_source_idx"), F.col("source_code").alias("file_source")))
     return rows.select("file_source_idx", "func_name", "func_body", "output", "status", F.md5("file_source").alias("file_source_md5"))
+
+
+@query
+def nested_types(spark, sf_dir):
+    """A5 + A6 (D7, D10, D11): the type index written as JSON arrays per
+    project, read back as VARIANT objects and flattened."""
+    path = _new_path(spark, "types")
+    VR.write_json_arrays(java_types(spark, sf_dir), path, "proj_name")
+    names = ["relative_path", "name", "modifiers", "qualified_name", "extend", "implements", "raw", "abstract", "abstract_compact"]
+    return VR.read_json_arrays(spark, path).select("proj_name", *[VR.field(n) for n in names])

@@ -1001,3 +1001,5 @@ params AS (
   FROM (SELECT *, unnest(range(len(ps))) AS pos FROM fns)),""" + _VALUES + """
 SELECT source_idx, contract_name, func_name, pos, type, name, v AS value FROM elements
 """
+
+ORACLE["nested_types"] = ORACLE["java_types"]

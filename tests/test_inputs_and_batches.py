@@ -13,6 +13,7 @@ from codecorpus.operators import synth as SY
 from codecorpus.plans import fixtures as X
 from codecorpus.sources import batches as BT
 from codecorpus.sources import files as FL
+from codecorpus.sources import variants as VR
 
 
 def test_hex_to_decimal(spark):
@@ -139,3 +140,20 @@ def test_flat_comment_islands_of_a_long_file(spark):
     files = spark.createDataFrame([(1, code)], "source_idx long, source_code string")
     got = J.commented_functions_flat(S.materialize(S.scan_files(files, "source_code", "solidity")), ["source_idx"])
     assert got.select("func_name", "func_requirement").distinct().count() == 5000
+
+
+def test_json_arrays_of_differing_objects(spark, tmp_path):
+    """A group of a third of all rows is many arrays; absent fields are null; a field of another kind is null."""
+    rows = [("hot" if i % 3 == 0 else f"p{i % 5}", i if i % 2 else None, f"t\n\"{i}" if i % 4 else None, [i, i + 1] if i % 7 else []) for i in range(300)]
+    path = str(tmp_path / "arrays")
+    VR.write_json_arrays(spark.createDataFrame(rows, "p string, n int, t string, l array<int>").coalesce(1), path, "p", 20)
+    items = VR.read_json_arrays(spark, path)
+    assert VR.fields(items) == "OBJECT<l: ARRAY<BIGINT>, n: BIGINT, t: STRING>"
+    got = items.select("p", VR.field("n", "int"), VR.field("t"), VR.field("l", "array<int>"), VR.field("gone")).collect()
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(repr((*r, None)) for r in rows)
+    lines = spark.read.text(path).where("p = 'hot'")
+    assert lines.count() > 4
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "x.json").write_text('{"n": 1}\n[{"n": "two"}, {"n": 3}]\nnot json\n[]\n')
+    odd = VR.read_json_arrays(spark, str(tmp_path / "odd")).select(VR.field("n", "int")).collect()
+    assert sorted((r.n is None, r.n or 0) for r in odd) == [(False, 1), (False, 3), (True, 0)]
