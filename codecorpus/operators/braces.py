@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codecorpus.operators import intervals
-from codecorpus.operators.samples import cut
+from codecorpus.operators.samples import _explode_cut, cut
 
 _COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
 _LITERAL = r"\"\"\"[\s\S]*?\"\"\"|\"[^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+\"|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"
@@ -33,6 +33,8 @@ _MODIFIER = r"(?<![\w$])(?:public|protected|private|static|final|abstract|native
 _NOT_A_TYPE = r"(?<![\w$])(?:new|return|throw|else|case|do|try|assert)(?![\w$])"
 _NOT_A_NAME = ("if", "for", "while", "switch", "catch", "synchronized", "try", "super", "this")
 _CONSTANT = r"(?s)^[,\s]*(?!(?:static|do|try|else|finally)\s*$)[A-Za-z_$][\w$]*\s*(?:\(.*\)\s*)?$"
+_SOLIDITY_TYPE = r"(?<![\w.$])(?:abstract\s+)?(contract|interface|library)\s+([A-Za-z_$][\w$]*)"
+_SOLIDITY_FUNCTION = r"(?<![\w$])function\s+([A-Za-z_$][\w$]*)\s*\("
 TYPE_KINDS = ("class", "enum", "record", "anonymous", "constant")
 
 
@@ -73,20 +75,27 @@ def _blanked(head: Column) -> Column:
     return F.array_join(F.transform(parts, lambda t: F.when(t.rlike(_BLANKED), F.repeat(F.lit(" "), F.length(t))).otherwise(t)), "")
 
 
-def classified(files: DataFrame, keys: list[str], text: str = "source_code") -> DataFrame:
-    """``keys, start, end, depth, kind, name, kw_start`` of every pair of
-    braces.  ``kind``: class, interface, enum, record, anonymous, method,
-    constant (of an enum; constructors look alike) or block; ``name`` of types and methods; ``kw_start`` is the offset of a
-    type's keyword.  Each file's text is joined once with its pairs."""
+def heads(files: DataFrame, keys: list[str], text: str = "source_code") -> DataFrame:
+    """``keys, start, end, depth, head_start, head`` of every pair of braces:
+    the head's comments and literals are blanks.  Each file's text is joined
+    once with its pairs."""
     pairs = brace_pairs(delimiters(files, keys, text), keys)
     per_file = pairs.groupBy(*keys).agg(F.collect_list(F.struct("start", "end", "depth", "head_start")).alias("_pairs"))
     rows = files.select(*keys, F.col(text).alias("_text")).join(per_file, keys).select(*keys, "_text", F.inline_outer("_pairs"))
     # Heads are cut in the stage that multiplies the rows, so that it hands on no row with a whole text.
     raw = F.col("_raw")
-    heads = rows.withColumn("_raw", cut(F.col("_text"), F.col("head_start"), F.col("start"))).drop("_text")
-    heads = heads.withColumn("head", F.when(F.length(raw) > 0, _blanked(raw)).otherwise("")).drop("_raw")
+    cuts = rows.withColumn("_raw", cut(F.col("_text"), F.col("head_start"), F.col("start"))).drop("_text")
+    return cuts.withColumn("head", F.when(F.length(raw) > 0, _blanked(raw)).otherwise("")).drop("_raw")
+
+
+def classified(files: DataFrame, keys: list[str], text: str = "source_code") -> DataFrame:
+    """``keys, start, end, depth, kind, name, kw_start`` of every pair of
+    braces of Java files.  ``kind``: class, interface, enum, record, anonymous, method,
+    constant (of an enum; constructors look alike) or block; ``name`` of types and methods; ``kw_start`` is the offset of a
+    type's keyword."""
+    known = heads(files, keys, text)
     plain = F.trim(F.regexp_replace("head", _ANNOTATION, " "))
-    heads = heads.withColumn("_plain", plain)
+    known = known.withColumn("_plain", plain)
     head, p = F.col("head"), F.col("_plain")
     type_kind, type_name = F.regexp_extract(head, _TYPE, 1), F.regexp_extract(head, _TYPE, 2)
     result, name = F.regexp_extract(p, _METHOD, 1), F.regexp_extract(p, _METHOD, 2)
@@ -94,7 +103,7 @@ def classified(files: DataFrame, keys: list[str], text: str = "source_code") ->
     is_method = (name != "") & ~name.isin(*_NOT_A_NAME) & typed & ~result.rlike(_NOT_A_TYPE)
     kind = (F.when(type_kind != "", type_kind).when(head.rlike(_ANONYMOUS), F.lit("anonymous"))
             .when(is_method, F.lit("method")).when(p.rlike(_CONSTANT), F.lit("constant")).otherwise(F.lit("block")))
-    return heads.select(*keys, "start", "end", "depth", kind.alias("kind"), F.when(type_kind != "", type_name).when(is_method, name).alias("name"),
+    return known.select(*keys, "start", "end", "depth", kind.alias("kind"), F.when(type_kind != "", type_name).when(is_method, name).alias("name"),
                         F.when(type_kind != "", F.col("head_start") + F.regexp_instr(head, F.lit(_TYPE)) - 1).cast("int").alias("kw_start"))
 
 
@@ -111,3 +120,34 @@ def nested_samples(files: DataFrame, keys: list[str], text: str = "source_code")
     methods = braces.where("kind = 'method'").select(
         *keys, F.col("start").alias("ord"), "name", "start", "end", (F.col("start") + 1).alias("body_start"), (F.col("end") - 1).alias("body_end"))
     return intervals.method_samples(files, braces.drop("depth"), methods, keys, text, TYPE_KINDS)
+
+
+def solidity_braces(files: DataFrame, keys: list[str], text: str = "source_code") -> DataFrame:
+    """As ``classified``, for Solidity: contract, interface, library, function or block."""
+    head = F.col("head")
+    kind, name, function = F.regexp_extract(head, _SOLIDITY_TYPE, 1), F.regexp_extract(head, _SOLIDITY_TYPE, 2), F.regexp_extract(head, _SOLIDITY_FUNCTION, 1)
+    typed = kind != ""
+    return heads(files, keys, text).select(
+        *keys, "start", "end", "depth", F.when(typed, kind).when(function != "", F.lit("function")).otherwise(F.lit("block")).alias("kind"),
+        F.when(typed, name).when(function != "", function).alias("name"),
+        F.when(typed, F.col("head_start") + F.regexp_instr(head, F.lit(_SOLIDITY_TYPE)) - 1).cast("int").alias("kw_start"))
+
+
+def solidity_contracts(files: DataFrame, keys: list[str], text: str = "source_code") -> DataFrame:
+    """D3 + C5: one row per contract (kind contract only) with its source."""
+    found = solidity_braces(files, keys, text).where("kind = 'contract'")
+    per_file = found.groupBy(*keys).agg(F.collect_list(F.struct(F.col("name").alias("contract_name"), F.col("kw_start").alias("_a"),
+                                                                F.col("end").alias("_b"))).alias("_contracts"))
+    both = files.select(*keys, text).join(per_file, keys)
+    return _explode_cut(both, keys, F.col("_contracts"), text, lambda t: [
+        "contract_name", cut(t, F.col("_a"), F.col("_b")).alias("contract_source")])
+
+
+def solidity_functions(files: DataFrame, keys: list[str], text: str = "source_code") -> DataFrame:
+    """Functions with a body that stand in a contract, their body, and the contract with that body masked."""
+    from codecorpus.session import checkpoint
+    braces = checkpoint(solidity_braces(files, keys, text))
+    functions = braces.where("kind = 'function'").select(
+        *keys, F.col("start").alias("ord"), "name", "start", "end", (F.col("start") + 1).alias("body_start"), (F.col("end") - 1).alias("body_end"))
+    found = intervals.method_samples(files, braces.drop("depth"), functions, keys, text, ("contract",), "contract")
+    return found.select(*keys, F.col("class_name").alias("contract_name"), "func_name", "func_body", F.col("masked_class").alias("masked_contract"))

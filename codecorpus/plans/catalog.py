@@ -840,3 +840,15 @@ def nested_types(spark, sf_dir):
     VR.write_json_arrays(java_types(spark, sf_dir), path, "proj_name")
     names = ["relative_path", "name", "modifiers", "qualified_name", "extend", "implements", "raw", "abstract", "abstract_compact"]
     return VR.read_json_arrays(spark, path).select("proj_name", *[VR.field(n) for n in names])
+
+
+@query
+def brace_contracts(spark, sf_dir):
+    """D3 + C5: contracts with their source, by brace pairs instead of the scanner."""
+    return BR.solidity_contracts(X.sol_files(_t(spark, sf_dir, "documents")), ["source_idx"])
+
+
+@query
+def brace_functions(spark, sf_dir):
+    """D4 + C5 + C6: contract functions with their body masked, by brace pairs instead of the scanner."""
+    return BR.solidity_functions(X.sol_files(_t(spark, sf_dir, "documents")), ["source_idx"])

@@ -1003,3 +1003,5 @@ SELECT source_idx, contract_name, func_name, pos, type, name, v AS value FROM el
 """
 
 ORACLE["nested_types"] = ORACLE["java_types"]
+ORACLE["brace_contracts"] = ORACLE["contracts"]
+ORACLE["brace_functions"] = ORACLE["function_spans"]

@@ -78,3 +78,20 @@ def test_ten_thousand_methods_in_one_file(spark):
     big = spark.createDataFrame([("x", code)], "f string, source_code string")
     braces = B.classified(big, ["f"])
     assert {r.kind: r["count"] for r in braces.groupBy("kind").count().collect()} == {"class": 1, "method": 20_000, "anonymous": 10_000}
+
+
+def test_solidity_contracts_and_functions(spark):
+    code = """pragma solidity ^0.8.0; // contract Not {
+library Lib { function l() internal { } }
+interface I { function i() external; }
+abstract contract A is B(1), C { /* } */ uint x = 1; struct S { uint a; }
+  modifier m() { _; } constructor() B(2) { }
+  function f(uint a) public m() returns (uint) { if (a > 0) { return 1; } string memory s = "}"; return 2; }
+  function g() external; receive() external payable { } }
+contract D { function f() public { } }"""
+    files = spark.createDataFrame([(1, code), (2, None), (3, "contract {")], "source_idx long, source_code string")
+    got = {r.contract_name: r.contract_source for r in B.solidity_contracts(files, ["source_idx"]).collect()}
+    assert set(got) == {"A", "D"} and got["A"].startswith("abstract contract A") and got["A"].endswith("payable { } }")
+    fns = B.solidity_functions(files, ["source_idx"]).collect()
+    assert sorted((r.contract_name, r.func_name) for r in fns) == [("A", "f"), ("D", "f")]
+    assert all(r.masked_contract.replace("<FILL_FUNCTION_BODY>", r.func_body) == got[r.contract_name] for r in fns)
