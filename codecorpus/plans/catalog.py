@@ -852,3 +852,14 @@ def brace_contracts(spark, sf_dir):
 def brace_functions(spark, sf_dir):
     """D4 + C5 + C6: contract functions with their body masked, by brace pairs instead of the scanner."""
     return BR.solidity_functions(X.sol_files(_t(spark, sf_dir, "documents")), ["source_idx"])
+
+
+@query
+def test_split_varied(spark, sf_dir):
+    """D15 + E15 + E16 + F16: the split of test files that differ by event; a
+    failing name may be missing from its file."""
+    ev = S.balance(_t(spark, sf_dir, "events"))
+    failing = X.test_logs(ev).select("event_id", LG.failed_test_names(F.col("stdout")).alias("failing"))
+    files = X.varied_test_files(ev).join(failing, "event_id")
+    out = R.split_tests(S.scan_files(files, "test_code", "java"))
+    return out.select("event_id", "n_tests", "pass_test_code", "fail_test_code")

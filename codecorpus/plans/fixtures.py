@@ -262,6 +262,19 @@ def test_files(events: DataFrame) -> DataFrame:
         + body + ", '}\\n')").alias("test_code"))
 
 
+def varied_test_files(events: DataFrame) -> DataFrame:
+    """(event_id, test_code): JUnit files that differ by event: 0 to 11 tests,
+    annotations with and without arguments, braces in literals, ``@Test`` in
+    comments, and methods that are no tests between them."""
+    one = ("concat('\n  @Test', if(k % 2 = 1, concat('(timeout = ', event_id, ')'), ''),"
+           " '\n  public void test', k, '() throws Throwable {\n    String s = \"}\" + ', event_id * k, '; // @Test\n  }\n',"
+           " if(k % 3 = 0, concat('  private int helper', k, '() { return ', event_id, '; }\n'), ''))")
+    body = f"if(event_id % 12 = 0, '', array_join(transform(sequence(0, cast(event_id % 12 as int) - 1), k -> {one}), ''))"
+    return events.select("event_id", F.expr(
+        "concat('package p', event_id % 5, ';\n\nimport org.junit.Test;\n\npublic class RegressionTest0 {\n', " + body + ", '}\n')")
+        .alias("test_code"))
+
+
 def target_listing(java: DataFrame) -> DataFrame:
     """(proj_name, target_dir, name): build outputs found in each module's
     target folder: a fat jar for doc_id%3=0, a plain jar for doc_id%3=1."""

@@ -1005,3 +1005,20 @@ SELECT source_idx, contract_name, func_name, pos, type, name, v AS value FROM el
 ORACLE["nested_types"] = ORACLE["java_types"]
 ORACLE["brace_contracts"] = ORACLE["contracts"]
 ORACLE["brace_functions"] = ORACLE["function_spans"]
+
+ORACLE["test_split_varied"] = "WITH " + TEST_LOG + r""",
+cases AS (
+  SELECT event_id, k, E'\n  @Test' || CASE WHEN k % 2 = 1 THEN '(timeout = ' || event_id || ')' ELSE '' END
+    || E'\n  public void test' || k || E'() throws Throwable {\n    String s = "}" + ' || (event_id * k) || E'; // @Test\n  }\n' AS code,
+    CASE WHEN k % 3 = 0 THEN '  private int helper' || k || '() { return ' || event_id || E'; }\n' ELSE '' END AS helper
+  FROM (SELECT event_id, unnest(range(event_id % 12)) AS k FROM events)),
+flagged AS (SELECT c.*, list_contains(coalesce(f.f, []), c.k) AS fails FROM cases c LEFT JOIN fails f USING (event_id)),
+parts AS (
+  SELECT event_id, string_agg(CASE WHEN fails THEN E'\n  \n' ELSE code END || helper, '' ORDER BY k) AS passing,
+    string_agg(CASE WHEN fails THEN code ELSE E'\n  \n' END || helper, '' ORDER BY k) AS failing
+  FROM flagged GROUP BY event_id)
+SELECT e.event_id, (e.event_id % 12)::INT AS n_tests,
+  'package p' || (e.event_id % 5) || E';\n\nimport org.junit.Test;\n\npublic class RegressionPassTest0 {\n' || coalesce(passing, '') || E'}\n' AS pass_test_code,
+  'package p' || (e.event_id % 5) || E';\n\nimport org.junit.Test;\n\npublic class RegressionFailTest0 {\n' || coalesce(failing, '') || E'}\n' AS fail_test_code
+FROM events e LEFT JOIN parts p ON p.event_id = e.event_id
+"""
