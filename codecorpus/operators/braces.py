@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codecorpus import constants as K
 from codecorpus.operators import intervals
 from codecorpus.operators.samples import _explode_cut, cut
 
@@ -75,11 +76,11 @@ def _blanked(head: Column) -> Column:
     return F.array_join(F.transform(parts, lambda t: F.when(t.rlike(_BLANKED), F.repeat(F.lit(" "), F.length(t))).otherwise(t)), "")
 
 
-def heads(files: DataFrame, keys: list[str], text: str = "source_code") -> DataFrame:
+def heads(files: DataFrame, keys: list[str], text: str = "source_code", marks: DataFrame | None = None) -> DataFrame:
     """``keys, start, end, depth, head_start, head`` of every pair of braces:
     the head's comments and literals are blanks.  Each file's text is joined
     once with its pairs."""
-    pairs = brace_pairs(delimiters(files, keys, text), keys)
+    pairs = brace_pairs(delimiters(files, keys, text) if marks is None else marks, keys)
     per_file = pairs.groupBy(*keys).agg(F.collect_list(F.struct("start", "end", "depth", "head_start")).alias("_pairs"))
     rows = files.select(*keys, F.col(text).alias("_text")).join(per_file, keys).select(*keys, "_text", F.inline_outer("_pairs"))
     # Heads are cut in the stage that multiplies the rows, so that it hands on no row with a whole text.
@@ -122,12 +123,12 @@ def nested_samples(files: DataFrame, keys: list[str], text: str = "source_code")
     return intervals.method_samples(files, braces.drop("depth"), methods, keys, text, TYPE_KINDS)
 
 
-def solidity_braces(files: DataFrame, keys: list[str], text: str = "source_code") -> DataFrame:
+def solidity_braces(files: DataFrame, keys: list[str], text: str = "source_code", marks: DataFrame | None = None) -> DataFrame:
     """As ``classified``, for Solidity: contract, interface, library, function or block."""
     head = F.col("head")
     kind, name, function = F.regexp_extract(head, _SOLIDITY_TYPE, 1), F.regexp_extract(head, _SOLIDITY_TYPE, 2), F.regexp_extract(head, _SOLIDITY_FUNCTION, 1)
     typed = kind != ""
-    return heads(files, keys, text).select(
+    return heads(files, keys, text, marks).select(
         *keys, "start", "end", "depth", F.when(typed, kind).when(function != "", F.lit("function")).otherwise(F.lit("block")).alias("kind"),
         F.when(typed, name).when(function != "", function).alias("name"),
         F.when(typed, F.col("head_start") + F.regexp_instr(head, F.lit(_SOLIDITY_TYPE)) - 1).cast("int").alias("kw_start"))
@@ -151,3 +152,23 @@ def solidity_functions(files: DataFrame, keys: list[str], text: str = "source_co
         *keys, F.col("start").alias("ord"), "name", "start", "end", (F.col("start") + 1).alias("body_start"), (F.col("end") - 1).alias("body_end"))
     found = intervals.method_samples(files, braces.drop("depth"), functions, keys, text, ("contract",), "contract")
     return found.select(*keys, F.col("class_name").alias("contract_name"), "func_name", "func_body", F.col("masked_class").alias("masked_contract"))
+
+
+def solidity_tree(files: DataFrame, keys: list[str], text: str = "source_code") -> DataFrame:
+    """D6 + C9: ``keys, ast, status``: a file's contracts, interfaces, libraries
+    and functions with bodies in order, as JSON (kind, name, depth).  A file
+    whose braces do not pair, or that has no text, cannot be read: it keeps its
+    row with the sentinel and ``status='parse_error'``."""
+    from codecorpus.session import checkpoint
+    marks = checkpoint(delimiters(files, keys, text))
+    opens, closes = F.count_if(F.col("mark") == "{"), F.count_if(F.col("mark") == "}")
+    # A closing brace too many brings the depth below its first level.
+    paired = (opens == closes) & (F.coalesce(F.min(F.when(F.col("mark") == "}", F.col("depth"))), F.lit(1)) >= 1)
+    state = marks.groupBy(*keys).agg(paired.alias("_paired"))
+    node = F.struct("start", "kind", "name", "depth")
+    nodes = solidity_braces(files, keys, text, marks).where("kind <> 'block'").groupBy(*keys).agg(F.array_sort(F.collect_list(node)).alias("_nodes"))
+    rows = files.select(*keys, F.col(text).isNotNull().alias("_text")).join(state, keys, "left").join(nodes, keys, "left")
+    ok = F.col("_text") & F.coalesce("_paired", F.lit(True))
+    tree = F.transform(F.coalesce("_nodes", F.array()), lambda n: F.struct(n["kind"].alias("kind"), n["name"].alias("name"), n["depth"].alias("depth")))
+    return rows.select(*keys, F.when(ok, F.to_json(tree)).otherwise(F.lit(K.PARSER_ERROR)).alias("ast"),
+                       F.when(ok, F.lit("ok")).otherwise(F.lit("parse_error")).alias("status"))

@@ -863,3 +863,13 @@ def test_split_varied(spark, sf_dir):
     files = X.varied_test_files(ev).join(failing, "event_id")
     out = R.split_tests(S.scan_files(files, "test_code", "java"))
     return out.select("event_id", "n_tests", "pass_test_code", "fail_test_code")
+
+
+@query
+def brace_tree(spark, sf_dir):
+    """D6 + C9: declaration tree per Solidity file as JSON; every seventh file
+    has lost its last brace and gets the sentinel."""
+    files = X.sol_files(_t(spark, sf_dir, "documents"))
+    text = F.col("source_code")
+    damaged = F.when(F.col("source_idx") % 7 == 3, text.substr(F.lit(1), F.length(text) - 2)).otherwise(text)
+    return BR.solidity_tree(files.select("source_idx", damaged.alias("source_code")), ["source_idx"])

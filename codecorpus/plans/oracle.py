@@ -1022,3 +1022,18 @@ SELECT e.event_id, (e.event_id % 12)::INT AS n_tests,
   'package p' || (e.event_id % 5) || E';\n\nimport org.junit.Test;\n\npublic class RegressionFailTest0 {\n' || coalesce(failing, '') || E'}\n' AS fail_test_code
 FROM events e LEFT JOIN parts p ON p.event_id = e.event_id
 """
+
+ORACLE["brace_tree"] = "WITH " + DOCS + """,
+node AS (
+  SELECT d, 0 AS a, 0 AS b, 'interface' AS kind, 'I' || d AS name, 1 AS depth FROM docs WHERE d % 5 = 1
+  UNION ALL SELECT d, 1, 3 * k, 'contract', 'Base' || d || '_' || k, 1 FROM (SELECT d, unnest(range(d % 4 + 1)) AS k FROM docs)
+  UNION ALL SELECT d, 1, 3 * k + 1, 'function', 'g' || d || '_' || k, 2 FROM (SELECT d, unnest(range(d % 4 + 1)) AS k FROM docs)
+  UNION ALL SELECT d, 1, 3 * k + 2, 'function', 'h' || d || '_' || k, 2 FROM (SELECT d, unnest(range(d % 4 + 1)) AS k FROM docs)
+  UNION ALL SELECT d, 2, 0, 'contract', 'Side' || d, 1 FROM docs WHERE d % 10 = 0
+  UNION ALL SELECT d, 2, 1, 'function', 'm' || d, 2 FROM docs WHERE d % 10 = 0
+  UNION ALL SELECT d, 3, 0, 'contract', 'C' || d, 1 FROM docs
+  UNION ALL SELECT d, 4, i, 'function', 'f' || (i // 2), 2 FROM lines)
+SELECT d AS source_idx, CASE WHEN d % 7 = 3 THEN 'parse_error' ELSE 'ok' END AS status,
+  CASE WHEN d % 7 = 3 THEN '<PARSER_ERROR>' ELSE to_json(list({'kind': kind, 'name': name, 'depth': depth} ORDER BY a, b))::VARCHAR END AS ast
+FROM node GROUP BY d
+"""

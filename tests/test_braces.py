@@ -95,3 +95,11 @@ contract D { function f() public { } }"""
     fns = B.solidity_functions(files, ["source_idx"]).collect()
     assert sorted((r.contract_name, r.func_name) for r in fns) == [("A", "f"), ("D", "f")]
     assert all(r.masked_contract.replace("<FILL_FUNCTION_BODY>", r.func_body) == got[r.contract_name] for r in fns)
+
+
+def test_trees_of_broken_files(spark):
+    rows = [(1, "contract A { function f() { } }"), (2, "contract A { "), (3, "} contract A { "), (4, "}{"), (5, None), (6, ""), (7, 'x = "{"; // }')]
+    files = spark.createDataFrame(rows, "source_idx long, source_code string")
+    got = {r.source_idx: (r.status, r.ast) for r in B.solidity_tree(files, ["source_idx"]).collect()}
+    assert got[1] == ("ok", '[{"kind":"contract","name":"A","depth":1},{"kind":"function","name":"f","depth":2}]')
+    assert all(got[i] == ("parse_error", "<PARSER_ERROR>") for i in (2, 3, 4, 5)) and got[6] == got[7] == ("ok", "[]")
