@@ -16,7 +16,6 @@ grow with the dimension alone, never with the rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from fractions import Fraction
 
