@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,35 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+class WordCache(dict):
+    """Values of words in a Python worker, worked out when they are first asked for.
+
+    Bounded in bytes (``limit``; an entry counts its word's length and
+    ``entry``), in two halves: ``bound`` puts a full newer half in the place of
+    the older one, and words of that which are met again move over, so frequent
+    words are never forgotten.
+    """
+
+    def __init__(self, make, limit: int, entry: int):
+        self.make, self.limit, self.entry = make, limit, entry
+        self.older: dict = {}
+        self.size = 0
+
+    def __missing__(self, word):
+        own = self.older.get(word)
+        if own is None:
+            own = self.make(word)
+        self[word] = own
+        self.size += len(word) + self.entry
+        return own
+
+    def bound(self) -> None:
+        if 2 * self.size > self.limit:
+            self.older = dict(self)
+            self.clear()
+            self.size = 0
+
+
 def prepare(spark: SparkSession) -> None:
     """Checkpoint folder of the session, and the package on the executors."""
     ensure_checkpoint_dir(spark)
@@ -26,6 +57,19 @@ def cut(df: DataFrame) -> DataFrame:
     return checkpoint(df)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Plans made inside send at most ``rows`` rows at a time to Python, where
+    a row holds whole texts and the session's own limit may be 10,000."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

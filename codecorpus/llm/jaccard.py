@@ -30,22 +30,25 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codecorpus.llm.common import cut, default_partitions, discard, rows_of, shared_path
+from codecorpus.llm.common import WordCache, batches_of, cut, default_partitions, discard, rows_of, shared_path
 
 #: The stages on word shingles take five words and 0.8 unless told otherwise.
 WORDS = 5
 SIMILARITY = (80, 100)
 #: Coordinates of a point, points in a leaf, children of an inner node.
-GROUPS = 256
+GROUPS = 1024
 LEAF = 32
 #: Members of a block that meet in one task: two chunks.
 CHUNK = 1024
+#: Pairs of whole texts that a Python worker gets at a time.
+PAIR_ROWS = 128
 #: Rounds in which open blocks link to one member.
 ROUNDS = 2
 #: Width of a size class, and hash seeds tried for groups without empty ones.
 CLASS_RATIO = 1.4
 SEEDS = 4
-CACHE_WORDS = 1_000_000
+#: Bytes of the words whose hashes a Python worker keeps, with what an entry adds.
+CACHE_BYTES, ENTRY_BYTES = 64 << 20, 140
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,15 +60,7 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-class _Hashes(dict):
-    """Hash of each word, worked out when it is first asked for."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        own = self[word] = xxhash.xxh64_digest(word)
-        return own
-
-
-_cache = _Hashes()
+_cache = WordCache(xxhash.xxh64_digest, CACHE_BYTES, ENTRY_BYTES)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -74,8 +69,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     parts = text.encode().lower().split() if text else []
     if not parts:
         return np.empty(0, np.uint64)
-    if len(_cache) > CACHE_WORDS:
-        _cache.clear()
+    _cache.bound()
     own = np.frombuffer(b"".join([_cache[w] for w in parts]), "<u8")
     with np.errstate(over="ignore"):
         n = min(words, len(own))
@@ -239,20 +233,28 @@ def _points(words: int):
     """``sid`` and point of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            points = [point(shingles(t, words)).astype("<u4").tobytes() for t in b.column("text").to_pylist()]
+            points = [_encoded(point(shingles(t, words))) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("sid"), pa.array(points, pa.binary())], ["sid", "point"])
     return run
 
 
-def _decoded(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(len(column), GROUPS).astype(np.int32)
+def _encoded(counts: np.ndarray) -> bytes:
+    """A point in as few bytes a coordinate as its largest count needs."""
+    return counts.astype(next(t for t in ("<u1", "<u2", "<u4") if counts.max() <= np.iinfo(t).max)).tobytes()
+
+
+def _decoded(points: list[bytes]) -> np.ndarray:
+    out = np.empty((len(points), GROUPS), np.int32)
+    for i, own in enumerate(points):
+        out[i] = np.frombuffer(own, f"<u{len(own) // GROUPS}")
+    return out
 
 
 def _bounded(similarity: tuple[int, int]):
     """Pairs whose points allow the similarity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = _decoded(b.column("a_point")), _decoded(b.column("b_point"))
+            x, y = (_decoded(b.column(c).to_pylist()) for c in ("a_point", "b_point"))
             keep = np.minimum(x, y).sum(1) >= least_overlap(x.sum(1) + y.sum(1), similarity)
             yield b.select(["a", "b"]).filter(pa.array(keep))
     return run
@@ -284,7 +286,7 @@ def _block_pairs(similarity: tuple[int, int]):
 
         def pairs():
             sids, component = (np.array([h[k] for h in held]) for k in (0, 1))
-            points = np.frombuffer(b"".join(h[2] for h in held), "<u4").reshape(len(held), GROUPS).astype(np.int32)
+            points = _decoded([h[2] for h in held])
             found = near_pairs(points, component, similarity)
             a, b = (sids[[f[k] for f in found]] if found else np.empty(0, np.int64) for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -334,7 +336,9 @@ def _links(pairs: DataFrame, points: DataFrame, texts: DataFrame, words: int, si
         return df.select("a", "b", f"a_{column}", f"b_{column}")
 
     near = cut(both(pairs, points, "point").mapInArrow(_bounded(similarity), "a long, b long"))
-    return cut(both(near, texts, "text").mapInArrow(_verified(words, similarity), "a long, b long"))
+    # The rows are written here, so the limit holds for their plan.
+    with batches_of(pairs.sparkSession, PAIR_ROWS):
+        return cut(both(near, texts, "text").mapInArrow(_verified(words, similarity), "a long, b long"))
 
 
 def group(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
