@@ -40,12 +40,14 @@ MERGE_PARTITIONS = 32
 MERGED = 1 << 32
 #: Ends every document.
 END_ID = 2
-#: Words whose ids a Python worker keeps.
-CACHE_WORDS = 1_000_000
+#: Bytes of the words whose ids a Python worker keeps, with what an entry adds.
+CACHE_BYTES, ENTRY_BYTES = 112 << 20, 160
+#: Texts whose new words are learned together.
+TOGETHER = 1024
+_MARKS = b".,;:!?|#$%&*-"
 
-_SPACES = regex.compile(r"[ \t-\r]+")
 #: Letters, then perhaps marks: the tokenizer sees one or two pieces, each ending in a word-end id.
-_PLAIN = regex.compile(r"(\p{Ll}|[A-Z])+([.,;:!?|#$%&*-]+)?")
+_PLAIN = regex.compile(r"[\p{Ll}A-Z]+([.,;:!?|#$%&*-]+)?")
 
 
 class Words:
@@ -53,8 +55,14 @@ class Words:
 
     The tokenizer splits at white space and gives every other run of
     characters ids of its own, so a text's ids are those of its words in turn.
+    Texts and cached words are UTF-8, which ``bytes.split`` cuts at the same
+    (ASCII) white space.
     New words are encoded together; words of letters are told apart in the
     result by their word-end ids, all others are encoded alone.
+
+    The cache has two halves: when the newer one is full it takes the place of
+    the older one, and words of the older one that are met again move over, so
+    that frequent words are never forgotten.
     """
 
     def __init__(self, path: str):
@@ -64,19 +72,27 @@ class Words:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.size = 0
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         plain, counts, odd = [], [], []
         for word in words:
-            m = _PLAIN.fullmatch(word)
-            if m:
+            if word.isalpha():  # ASCII letters
+                count = 1
+            elif word.rstrip(_MARKS).isalpha():
+                count = 2
+            else:
+                m = None if word.isascii() else _PLAIN.fullmatch(word.decode())
+                count = 1 + (m.start(1) >= 0) if m else 0
+            if count:
                 plain.append(word)
-                counts.append(1 + (m.start(2) >= 0))
+                counts.append(count)
             else:
                 odd.append(word)
         if plain:
-            ids = np.array(self._encode([" ".join(plain)])[0].ids, dtype="<u4")
+            ids = np.array(self._encode([b" ".join(plain)])[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == sum(counts):
                 raw, at = ids.tobytes(), 0
@@ -88,22 +104,24 @@ class Words:
         if odd:
             for word, e in zip(odd, self._encode(odd)):
                 self.cache[word] = np.array(e.ids, dtype="<u4").tobytes()
+    def _encode(self, words: list[bytes]):
+        return self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
 
-    def _encode(self, texts: list[str]):
-        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-
-    def ids(self, texts: list[str | None]) -> Iterator[bytes]:
+    def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text (null: none)."""
-        for at in range(0, len(texts), 256):
-            split = [_SPACES.split(t) if t else [] for t in texts[at:at + 256]]
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            new = {w for words in split for w in words if w not in self.cache}
+        for at in range(0, len(texts), TOGETHER):
+            split = [t.split() if t else [] for t in texts[at:at + TOGETHER]]
+            if 2 * self.size > CACHE_BYTES:
+                self.cache, self.older, self.size = {}, self.cache, 0
+            new = set().union(*split).difference(self.cache)
+            self.size += sum(map(len, new)) + ENTRY_BYTES * len(new)
+            met = self.older.keys() & new
+            self.cache.update((w, self.older[w]) for w in met)
+            new -= met
             if new:
                 self.learn(list(new))
-            cache = self.cache
             for words in split:
-                yield b"".join([cache[w] for w in words])
+                yield b"".join(map(self.cache.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -178,7 +196,8 @@ def _packed(path: str | None, sequence: int, open_windows: int):
         words, packer, emitted = _words(path), Packer(sequence, open_windows), part << 33
         end = struct.pack("<I", END_ID)
         for batch in batches:
-            ids, hashes, texts = (batch.column(i).to_pylist() for i in range(3))
+            ids, hashes = (batch.column(i).to_pylist() for i in range(2))
+            texts = batch.column(2).cast(pa.binary()).to_pylist()
             for doc_id, text_hash, raw in zip(ids, hashes, words.ids(texts)):
                 raw += end
                 packer.add((doc_id, text_hash, len(raw) // 4), raw)
@@ -220,8 +239,10 @@ def in_file_order(docs: DataFrame) -> DataFrame:
     try:
         placed = docs.select(F.struct(*docs.columns).alias("_doc"), F.col("_metadata.file_path").alias("_file"),
                              F.col("_metadata.row_index").alias("_at"))
-    except AnalysisException:
-        return docs
+    except AnalysisException as e:
+        if (e.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+            return docs  # rows that come from no file have no such columns
+        raise
     number = F.regexp_extract("_file", r"part-(\d+)[^/]*$", 1).try_cast("long")
     return placed.orderBy(number, "_file", "_at").select("_doc.*")
 

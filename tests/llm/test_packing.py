@@ -76,7 +76,7 @@ def test_words_equal_the_tokenizer_on_odd_text(tokenizer):
     texts = ["It's the dog's <|endoftext|> x", "İstanbul ΣΑΣ ǅ é é a b \x1c c", "a1b2 ... ,x, --- ß$$$ A!!", None, "",
              "3,14 don't we'll !!!'s '' '   z", "漢字かな交じり文 한국어 \U0001f600\U0001f600 ok"]
     words = packing._words(None)
-    for text, raw in zip(texts, words.ids(texts)):
+    for text, raw in zip(texts, words.ids([None if t is None else t.encode() for t in texts])):
         assert raw == struct.pack(f"<{len(raw) // 4}I", *tokenizer.encode(text or "", add_special_tokens=False).ids), text
 
 
