@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codecorpus.llm.common import cut, rows_of
+from codecorpus.llm.common import WordCache, cut, rows_of
 
 #: Labelled ids used for fitting, at most (those of smallest hash), with one document each.
 SAMPLE = 8192
@@ -34,8 +34,8 @@ LEAST_DOCS = 3
 PREFIXES = (4, 6)
 #: A bad document counts this many times in fitting.
 BAD_WEIGHT = 3.0
-#: Words whose features a Python worker keeps.
-CACHE_WORDS = 1_000_000
+#: Bytes of the words whose features a Python worker keeps, with what an entry adds.
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 260
 #: Strength of a prior when sites do not differ at all.
 MOST_STRENGTH = 1e6
 
@@ -57,7 +57,7 @@ def _word_features(word: str) -> tuple[int, ...]:
     return tuple(map(_feature, names))
 
 
-_cache: dict[str, tuple[int, ...]] = {}
+_cache = WordCache(_word_features, CACHE_BYTES, ENTRY_BYTES)
 
 
 def features(text: str | None) -> list[int]:
@@ -65,15 +65,11 @@ def features(text: str | None) -> list[int]:
     words = text.split() if text else []
     if not words:
         return [_feature("empty")]
-    if len(_cache) > CACHE_WORDS:
-        _cache.clear()
+    _cache.bound()
     counts = Counter(words)
     found: set[int] = set()
     for word in counts:
-        ids = _cache.get(word)
-        if ids is None:
-            ids = _cache[word] = _word_features(word)
-        found.update(ids)
+        found.update(_cache[word])
     n = len(words)
     scale = min(12, n.bit_length())
     repeats = sum(a == b for a, b in pairwise(words)) / n
@@ -184,8 +180,10 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     """One row per document: ``doc_id, text_hash, host, path, evidence,
     host_posterior, path_posterior, posterior, keep``.
 
-    ``host`` is the site of a document (default: its source), ``path`` the part
-    of it (default: source and language); null counts as "".  Without usable
+    The posteriors of a document's host and path come from their other
+    documents; alone on its path it gets the host's, alone on its host the
+    global mean.  ``host`` is the site of a document (default: its source),
+    ``path`` the part of it (default: source and language); null counts as "".  Without usable
     labels every document's evidence is one half and all are kept.  Null and
     empty texts have evidence of their own.  Equal rows get equal results; an
     empty table gives an empty result.
@@ -207,10 +205,13 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     sites = paths.join(hosts, "host").withColumn("prior", F.lit(prior))
     k_host = _strength(hosts.select(F.col("host_n").alias("n"), F.col("host_mean").alias("mean"), F.lit(prior).alias("prior")), "prior", within)
     k_path = _strength(sites, "host_mean", within)
-    at_host = (F.col("host_n") * F.col("host_mean") + k_host * prior) / (F.col("host_n") + k_host)
-    at_path = (F.col("n") * F.col("mean") + k_path * F.col("host_posterior")) / (F.col("n") + k_path)
-    sites = sites.withColumn("host_posterior", at_host).select("host", "path", "host_posterior", at_path.alias("path_posterior"))
-    both = own.join(sites, ["host", "path"])
+    # What the site's other documents say: a document does not vouch for itself.
+    others, host_others = F.col("n") - 1, F.col("host_n") - 1
+    at_host = (F.col("host_n") * F.col("host_mean") - F.col("evidence") + k_host * prior) / (host_others + k_host)
+    at_path = (F.col("n") * F.col("mean") - F.col("evidence") + k_path * F.col("host_posterior")) / (others + k_path)
+    both = own.join(sites.select("host", "path", "n", "mean", "host_n", "host_mean"), ["host", "path"])
+    inside = lambda p: F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))
+    both = both.withColumn("host_posterior", inside(at_host)).withColumn("path_posterior", inside(at_path))
     odds = _logit(F.col("evidence")) + _logit(F.col("path_posterior")) - F.lit(float(np.log(prior / (1 - prior))))
     posterior = 1 / (1 + F.exp(-odds))
     return (both.withColumn("posterior", posterior).withColumn("keep", F.col("posterior") >= threshold)

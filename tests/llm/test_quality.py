@@ -52,8 +52,8 @@ def test_posteriors_by_hand(spark, monkeypatch):
     kp = strength([(x, mean(by_host[s])) for (s, _), x in by_path.items()])
     logit = lambda p: math.log(p / (1 - p))
     for i, _, lang, s, _ in rows:
-        host = (sum(by_host[s]) + kh * mu) / (len(by_host[s]) + kh)
-        path = (sum(by_path[s, lang]) + kp * host) / (len(by_path[s, lang]) + kp)
+        host = (sum(by_host[s]) - evidence[i] + kh * mu) / (len(by_host[s]) - 1 + kh)
+        path = (sum(by_path[s, lang]) - evidence[i] + kp * host) / (len(by_path[s, lang]) - 1 + kp)
         posterior = 1 / (1 + math.exp(-(logit(evidence[i]) + logit(path) - logit(mu))))
         assert found[i].host_posterior == pytest.approx(host) and found[i].path_posterior == pytest.approx(path)
         assert found[i].posterior == pytest.approx(posterior) and found[i].keep == (posterior >= 0.5)
@@ -70,6 +70,24 @@ def test_awkward_rows(spark):
     assert quality.drop_rejected(df, spark.createDataFrame([], LABELS)).count() == df.count()
 
 
+def test_a_document_does_not_vouch_for_itself(spark, monkeypatch):
+    """Alone on its site, a document gets the global mean as the site's word; next to
+    one other document, only that one's evidence moves it."""
+    rows = [(1, "a", "en", "alone", 1), (2, "b", "en", "pair", 1), (3, "c", "en", "pair", 1)] + [(i, "d", "en", f"s{i % 3}", 1) for i in range(10, 40)]
+    given = {1: 0.99, 2: 0.9, 3: 0.1}
+    monkeypatch.setattr(quality, "train", lambda *a: None)
+
+    def fixed(docs_, weights, host, path):
+        value = F.coalesce(*[F.when(F.col("doc_id") == i, v) for i, v in given.items()], (F.col("doc_id") % 10) / 20.0 + 0.2)
+        return docs_.select("doc_id", F.xxhash64("text").alias("text_hash"), host.alias("host"), path.alias("path"), value.alias("evidence"))
+
+    monkeypatch.setattr(quality, "evidence", fixed)
+    found = {r.doc_id: r for r in quality.classify(docs(spark, rows), None).collect()}
+    mean = sum(r.evidence for r in found.values()) / len(found)
+    assert found[1].host_posterior == pytest.approx(mean) and found[1].path_posterior == pytest.approx(mean)
+    assert found[2].path_posterior < mean < found[3].path_posterior
+
+
 def test_sparse_sites_say_little(spark):
     """One bad document on a site of its own does not move it far from the prior."""
     table_of = cut(quality.classify(table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels"),
