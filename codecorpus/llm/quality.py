@@ -35,7 +35,7 @@ PREFIXES = (4, 6)
 #: A bad document counts this many times in fitting.
 BAD_WEIGHT = 3.0
 #: Bytes of the words whose features a Python worker keeps, with what an entry adds.
-CACHE_BYTES, ENTRY_BYTES = 96 << 20, 260
+CACHE_BYTES, ENTRY_BYTES = 80 << 20, 400
 #: Strength of a prior when sites do not differ at all.
 MOST_STRENGTH = 1e6
 
