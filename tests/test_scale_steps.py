@@ -4,6 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from codecorpus.operators import joins as J
+from codecorpus.operators import results as R
 from codecorpus.operators import samples as SM
 from codecorpus.operators import spans as S
 
@@ -73,3 +74,16 @@ def test_refills_shuffle_no_masked_text(spark):
     by_place = SM.java_methods(sc, [*KEYS, "file_row"], offsets=True)
     held = by_place.agg(*[F.sum(F.length(F.to_json(F.struct(c)))).alias(c) for c in by_place.columns]).first()
     assert sum(held) < 20 * len(text)
+
+
+def test_generated_tests_are_not_broadcast(spark):
+    runs = spark.createDataFrame([(1, 0, "f"), (2, 0, "g"), (3, 1, "f"), (None, 0, "f"), (4, 0, "f")], "id long, exit_code int, func_name string")
+    tests = spark.range(1, 4).select("id", F.concat(F.lit("class T { void t() { f("), F.col("id").cast("string"), F.lit("); } }")).alias("text"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        out = R.generation_status(runs, tests, ["id"])
+        assert "SortMergeJoin" in out._jdf.queryExecution().sparkPlan().toString()
+        assert {(r.id, r.generate_status) for r in out.collect()} == {(1, True), (2, False), (3, False), (None, False), (4, False)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
