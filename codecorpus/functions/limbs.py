@@ -33,10 +33,14 @@ def _times(limbs: Column, factor: int, plus: Column) -> Column:
 def from_hex(digits: Column) -> Column:
     """The number that a string of hex digits writes (the empty string: 0, null: null)."""
     n = F.ceil(F.length(digits) / STEP).cast("int")
-    padded = F.lpad(digits, n * STEP, "0")
     places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    words = F.transform(places, lambda i: F.conv(F.substring(padded, i * STEP + 1, F.lit(STEP)), 16, 10).cast("long"))
-    return F.when(n.isNotNull(), F.aggregate(words, F.array(F.lit(0).cast("long")), lambda acc, w: _times(acc, 16 ** STEP, w)))
+
+    def words(padded):
+        return F.transform(places, lambda i: F.conv(F.substring(padded, i * STEP + 1, F.lit(STEP)), 16, 10).cast("long"))
+
+    limbs = let(F.lpad(digits, n * STEP, "0"), lambda padded: F.aggregate(
+        words(padded), F.array(F.lit(0).cast("long")), lambda acc, w: _times(acc, 16 ** STEP, w)))
+    return F.when(n.isNotNull(), limbs)
 
 
 def minus(a: Column, b: Column) -> Column:

@@ -23,11 +23,16 @@ def _int_value(type_name: Column, key: Column) -> Column:
     width = F.regexp_extract(type_name, r"^u?int([0-9]*)$", 1)
     bits = F.when(width == "", 256).otherwise(width.try_cast("int"))
     blocks = F.greatest(F.ceil(bits / 128).cast("int"), F.lit(1))
-    digests = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.md5(F.concat_ws(":", key, j.cast("string"))))
-    own = L.low_bits(F.array_join(digests, ""), bits)
-    # A width of 0 has the one value 0, or without the sign bit's place no negative half.
-    signed = F.when(bits > 0, L.let(own, lambda h: L.signed_text(h, bits))).otherwise("0")
-    return F.when(type_name.startswith("u"), L.text(L.from_hex(own))).otherwise(signed)
+
+    # What is used more than once is bound by ``let``: inside a lambda Spark works it out at every use.
+    def value(own, n):
+        # A width of 0 has the one value 0, or without the sign bit's place no negative half.
+        signed = F.when(n > 0, L.signed_text(own, n)).otherwise("0")
+        return F.when(type_name.startswith("u"), L.text(L.from_hex(own))).otherwise(signed)
+
+    digests = L.let(key, lambda k: F.array_join(F.transform(
+        F.sequence(F.lit(0), blocks - 1), lambda j: F.md5(F.concat_ws(":", k, j.cast("string")))), ""))
+    return L.let(bits, lambda n: L.let(L.let(digests, lambda d: L.low_bits(d, n)), lambda own: value(own, n)))
 
 
 def _scalar_value(kind: Column, key: Column) -> Column:
