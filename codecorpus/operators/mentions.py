@@ -16,41 +16,31 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codecorpus.functions.text import character_runs
 from codecorpus.session import checkpoint
 
 Q = 4
 BLOCK_BYTES = 16 << 20
 
 
-def _grams(chars: Column, n: Column, lengths: list[int]) -> Column:
+def _grams(text: Column, lengths: list[int]) -> Column:
     """Hashes of the distinct character runs of these lengths."""
-    def of(k: int) -> Column:
-        starts = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(chars, i, k)))
-
-    return F.array_distinct(F.concat(*[of(k) for k in lengths]))
-
-
-def _with_chars(df: DataFrame, text: str) -> DataFrame:
-    """``_chars`` and ``_n``, as columns."""
-    return df.withColumn("_chars", F.split(F.col(text), "")).withColumn("_n", F.size("_chars"))
+    return F.array_distinct(F.concat(*[F.transform(character_runs(text, k), lambda g: F.xxhash64(g)) for k in lengths]))
 
 
 def rarest_grams(names: DataFrame, texts: DataFrame, q: int = Q, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``name, gram`` of the distinct names (at least one character): the
     gram's number of texts is the least among the name's grams (ties: by hash)."""
     own = names.where(F.length("name") > 0).select("name").distinct()
-    own = _with_chars(own, "name").withColumn("k", F.least(F.col("_n"), F.lit(q)))
+    own = own.withColumn("k", F.least(F.length("name"), F.lit(q)))
     lengths = sorted(r.k for r in own.select("k").distinct().collect())  # at most q different ones
     if not lengths:
         return own.select("name", F.lit(0).cast("long").alias("gram"), "k").where(F.lit(False))
-    starts = F.sequence(F.lit(1), F.col("_n") - F.col("k") + 1)
-    of_names = own.select("name", "k", F.explode_outer(F.array_distinct(
-        F.transform(starts, lambda i: F.xxhash64(F.slice("_chars", i, F.col("k")))))).alias("gram"))
+    grams = F.coalesce(*[F.when(F.col("k") == k, _grams(F.col("name"), [k])) for k in lengths])
+    of_names = own.select("name", "k", F.explode_outer(grams).alias("gram"))
     of_names = checkpoint(of_names)
     wanted = of_names.select("gram").distinct()
-    known = _with_chars(texts.select("text"), "text").select(_grams(F.col("_chars"), F.col("_n"), lengths).alias("g"), "_n")
-    seen = known.select(F.explode_outer("g").alias("gram"))
+    seen = texts.select(_grams(F.col("text"), lengths).alias("g")).select(F.explode_outer("g").alias("gram"))
     blocks = max(1, -(-wanted.count() * 64 // block_bytes))
     counts = [seen.join(F.broadcast(wanted.where(F.pmod("gram", F.lit(blocks)) == b)), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
               for b in range(blocks)]
@@ -71,10 +61,10 @@ def mentions(names: DataFrame, texts: DataFrame, keys: list[str], q: int = Q, bl
     facts = index.agg(F.sum(F.octet_length("name") + 64).alias("bytes"), F.collect_set("k").alias("lengths")).first()
     blocks = max(1, -(-(facts["bytes"] or 0) // block_bytes))
     lengths = sorted(facts["lengths"]) or [q]
-    known = _with_chars(texts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "text"), "text")
+    known = texts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "text")
     kept = [f"_key_{k}" for k in keys] + ["text"]
     # "outer" keeps Spark from filtering on the array's size, which would make it twice.
-    seen = known.select(*kept, _grams(F.col("_chars"), F.col("_n"), lengths).alias("_g")).select(*kept, F.explode_outer("_g").alias("gram"))
+    seen = known.select(*kept, _grams(F.col("text"), lengths).alias("_g")).select(*kept, F.explode_outer("_g").alias("gram"))
     parts = [seen.join(F.broadcast(index.where(F.pmod("gram", F.lit(blocks)) == b).select("name", "gram")), "gram")
              .where(F.contains("text", F.col("name"))) for b in range(blocks)]
     found = reduce(DataFrame.unionByName, parts)
