@@ -17,13 +17,28 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+_held: list = []
+
+
+def hold(cache) -> None:
+    """Make ``cache`` the one that this Python worker keeps.
+
+    Spark hands a worker on from stage to stage, so what every operator has
+    kept would add up: the one held before is told to ``forget`` its entries.
+    """
+    if _held and _held[0] is not cache:
+        _held.pop().forget()
+    if not _held:
+        _held.append(cache)
+
+
 class WordCache(dict):
     """Values of words in a Python worker, worked out when they are first asked for.
 
     Bounded in bytes (``limit``; an entry counts its word's length and
     ``entry``), in two halves: ``bound`` puts a full newer half in the place of
     the older one, and words of that which are met again move over, so frequent
-    words are never forgotten.
+    words are never forgotten while the worker holds this cache (``hold``).
     """
 
     def __init__(self, make, limit: int, entry: int):
@@ -39,7 +54,12 @@ class WordCache(dict):
         self.size += len(word) + self.entry
         return own
 
+    def forget(self) -> None:
+        self.clear()
+        self.older, self.size = {}, 0
+
     def bound(self) -> None:
+        hold(self)
         if 2 * self.size > self.limit:
             self.older = dict(self)
             self.clear()

@@ -31,7 +31,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codecorpus.llm.common import cut
+from codecorpus.llm.common import cut, hold
 
 SEQUENCE = 4096
 OPEN_WINDOWS = 8
@@ -44,6 +44,8 @@ END_ID = 2
 CACHE_BYTES, ENTRY_BYTES = 112 << 20, 160
 #: Texts whose new words are learned together.
 TOGETHER = 1024
+#: Words that the tokenizer gets at a time: what it returns takes many times their bytes.
+ENCODED = 4096
 _MARKS = b".,;:!?|#$%&*-"
 
 #: Letters, then perhaps marks: the tokenizer sees one or two pieces, each ending in a word-end id.
@@ -107,9 +109,14 @@ class Words:
     def _encode(self, words: list[bytes]):
         return self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
 
+    def forget(self) -> None:
+        self.cache, self.older, self.size = {}, {}, 0
+        _words.cache_clear()  # the tokenizer goes too and is read anew when it is next asked for
+
     def ids(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text (null: none)."""
         for at in range(0, len(texts), TOGETHER):
+            hold(self)
             split = [t.split() if t else [] for t in texts[at:at + TOGETHER]]
             if 2 * self.size > CACHE_BYTES:
                 self.cache, self.older, self.size = {}, self.cache, 0
@@ -118,8 +125,9 @@ class Words:
             met = self.older.keys() & new
             self.cache.update((w, self.older[w]) for w in met)
             new -= met
-            if new:
-                self.learn(list(new))
+            learned = list(new)
+            for i in range(0, len(learned), ENCODED):
+                self.learn(learned[i:i + ENCODED])
             for words in split:
                 yield b"".join(map(self.cache.__getitem__, words))
 
