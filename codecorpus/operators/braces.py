@@ -13,8 +13,10 @@ contains what is left to the interval join (``intervals``).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codecorpus import constants as K
 from codecorpus.operators import intervals
@@ -39,14 +41,18 @@ _SOLIDITY_FUNCTION = r"(?<![\w$])function\s+([A-Za-z_$][\w$]*)\s*\("
 TYPE_KINDS = ("class", "enum", "record", "anonymous", "constant")
 
 
+def _pieces(text: str) -> Column:
+    """Length and, of a delimiter or parenthesis, the character of every token."""
+    tokens = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
+    return F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), F.when(t.isin("{", "}", ";", "(", ")"), t).alias("mark")))
+
+
 def delimiters(files: DataFrame, keys: list[str], text: str = "source_code") -> DataFrame:
     """``keys, at, mark, depth, before`` of every ``{``, ``}`` and ``;`` outside
     comments and literals: offset, character, depth of the braces (of a pair the
     same), and where its head begins: behind the last delimiter, or opening
     parenthesis, that stands in the same parentheses."""
-    tokens = F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))
-    pieces = F.transform(tokens, lambda t: F.struct(F.length(t).alias("n"), F.when(t.isin("{", "}", ";", "(", ")"), t).alias("mark")))
-    rows = files.select(*keys, F.posexplode_outer(pieces).alias("i", "p")).select(*keys, "i", "p.n", "p.mark")
+    rows = files.select(*keys, F.posexplode_outer(_pieces(text)).alias("i", "p")).select(*keys, "i", "p.n", "p.mark")
     w = Window.partitionBy(*keys).orderBy("i")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     step = F.when(F.col("mark") == "{", 1).when(F.col("mark") == "}", -1).otherwise(0)
@@ -89,6 +95,114 @@ def heads(files: DataFrame, keys: list[str], text: str = "source_code", marks: D
     return cuts.withColumn("head", F.when(F.length(raw) > 0, _blanked(raw)).otherwise("")).drop("_raw")
 
 
+PAIRS = T.ArrayType(T.StructType([T.StructField(c, T.IntegerType()) for c in ("start", "end", "depth", "head_start")]))
+
+
+@F.pandas_udf(PAIRS)
+def _paired_on_row(lengths: pd.Series, marks: pd.Series) -> pd.Series:
+    """``delimiters`` and ``brace_pairs`` of one file from its tokens in order:
+    the same running sums of lengths, braces and parentheses, and a brace
+    closes with the next one of its depth."""
+    def pairs(ns, ms):
+        if ns is None:
+            return None
+        end = depth = inner = 0
+        behind, opened, out = {}, {}, []  # end of the last delimiter by parentheses; opening brace by depth
+        for n, m in zip(ns, ms):
+            end += n
+            if m is None:
+                continue
+            if m == ")":
+                inner -= 1
+                continue
+            inner += m == "("
+            depth += m == "{"
+            before = behind.get(inner, 0)
+            behind[inner] = end
+            if m == "{":
+                opened[depth] = (end - 1, before)
+            elif m == "}":
+                first = opened.pop(depth, None)
+                if first:
+                    out.append({"start": first[0], "end": end, "depth": depth, "head_start": first[1]})
+                depth -= 1
+        return out
+
+    return pd.Series([pairs(n, m) for n, m in zip(lengths, marks)], dtype="object")
+
+
+def heads_on_row(files: DataFrame, text: str = "source_code") -> DataFrame:
+    """Files with ``_heads``, what ``heads`` gives for files whose keys no other
+    file has, as an array: everything is worked out on the file's own row."""
+    from codecorpus.session import ship_library
+    ship_library(files.sparkSession)
+    df = files.withColumn("_p", _pieces(text))
+    df = df.withColumn("_pairs", _paired_on_row(F.col("_p.n"), F.col("_p.mark"))).drop("_p")
+    return df.withColumn("_heads", F.transform("_pairs", lambda p: F.struct(
+        p["start"].alias("start"), p["end"].alias("end"), p["depth"].alias("depth"), p["head_start"].alias("head_start"),
+        F.when(p["head_start"] < p["start"], _blanked(cut(F.col(text), p["head_start"], p["start"]))).otherwise("").alias("head")))).drop("_pairs")
+
+
+def _samples_on_row(files: DataFrame, keys: list[str], kind: str, member_of: tuple[str, ...], outermost: str, text: str) -> DataFrame:
+    """``intervals.method_samples`` for files that carry their ``_braces``."""
+    df = files.withColumn("_around", intervals.enclosing_on_row(
+        F.col("_braces.start"), F.col("_braces.end"), F.transform("_braces", lambda x: x["kind"] == outermost)))
+    at = lambda i: F.try_element_at("_braces", i + 1)
+    found = F.zip_with("_braces", "_around", lambda x, y: F.struct(x.alias("x"), at(y["outermost"]).alias("c"), at(y["innermost"])["kind"].alias("inside")))
+    found = F.filter(found, lambda m: (m["x"]["kind"] == kind) & F.coalesce(m["inside"], F.lit("")).isin(*member_of))
+    df = df.withColumn("_methods", F.transform(found, lambda m: F.struct(
+        m["x"]["start"].alias("ord"), m["c"]["name"].alias("class_name"), m["x"]["name"].alias("func_name"),
+        (m["x"]["start"] + 1).alias("_a"), (m["x"]["end"] - 1).alias("_b"), m["c"]["kw_start"].alias("_c_start"), m["c"]["end"].alias("_c_end"))))
+    return intervals.cut_samples(df.select(*keys, text, "_methods"), keys, text)
+
+
+def _kind_java(head: Column, type_kind: Column, plain: Column, result: Column, name: Column) -> tuple[Column, Column]:
+    """Kind of a pair of braces, and whether it is a method, from its head and
+    what was cut from that."""
+    typed = F.regexp_replace(result, _MODIFIER, " ").rlike(r"\S")
+    is_method = (name != "") & ~name.isin(*_NOT_A_NAME) & typed & ~result.rlike(_NOT_A_TYPE)
+    kind = (F.when(type_kind != "", type_kind).when(head.rlike(_ANONYMOUS), F.lit("anonymous"))
+            .when(is_method, F.lit("method")).when(plain.rlike(_CONSTANT), F.lit("constant")).otherwise(F.lit("block")))
+    return kind, is_method
+
+
+def nested_samples_on_row(files: DataFrame, keys: list[str], text: str = "source_code") -> DataFrame:
+    """What ``nested_samples`` gives for files whose keys no other file has:
+    every step on the file's own row, without a join or a window."""
+    df = heads_on_row(files, text)
+    # a step a column: lambdas do not share what they work out
+    df = df.withColumn("_heads", F.transform("_heads", lambda h: F.struct(h.alias("h"), F.trim(F.regexp_replace(h["head"], _ANNOTATION, " ")).alias("plain"))))
+    df = df.withColumn("_heads", F.transform("_heads", lambda x: F.struct(
+        x["h"].alias("h"), x["plain"].alias("plain"), F.regexp_extract(x["h"]["head"], _TYPE, 1).alias("type_kind"), F.regexp_extract(x["h"]["head"], _TYPE, 2).alias("type_name"),
+        F.regexp_extract(x["plain"], _METHOD, 1).alias("result"), F.regexp_extract(x["plain"], _METHOD, 2).alias("name"))))
+
+    def brace(x):
+        h, typed = x["h"], x["type_kind"] != ""
+        kind, _ = _kind_java(h["head"], x["type_kind"], x["plain"], x["result"], x["name"])
+        return F.struct(h["start"].alias("start"), h["end"].alias("end"), kind.alias("kind"), F.when(typed, x["type_name"]).otherwise(x["name"]).alias("name"),
+                        F.when(typed, h["head_start"] + F.regexp_instr(h["head"], F.lit(_TYPE)) - 1).cast("int").alias("kw_start"))
+
+    return _samples_on_row(df.withColumn("_braces", F.transform("_heads", brace)), keys, "method", TYPE_KINDS, "class", text)
+
+
+def solidity_functions_on_row(files: DataFrame, keys: list[str], text: str = "source_code") -> DataFrame:
+    """What ``solidity_functions`` gives for files whose keys no other file has:
+    every step on the file's own row, without a join or a window."""
+    df = heads_on_row(files, text)
+    df = df.withColumn("_heads", F.transform("_heads", lambda h: F.struct(
+        h.alias("h"), F.regexp_extract(h["head"], _SOLIDITY_TYPE, 1).alias("kind"), F.regexp_extract(h["head"], _SOLIDITY_TYPE, 2).alias("name"),
+        F.regexp_extract(h["head"], _SOLIDITY_FUNCTION, 1).alias("function"))))
+
+    def brace(x):
+        h, typed, function = x["h"], x["kind"] != "", x["function"]
+        kind = F.when(typed, x["kind"]).when(function != "", F.lit("function")).otherwise(F.lit("block"))
+        return F.struct(h["start"].alias("start"), h["end"].alias("end"), kind.alias("kind"), F.when(typed, x["name"]).otherwise(function).alias("name"),
+                        F.when(typed, h["head_start"] + F.regexp_instr(h["head"], F.lit(_SOLIDITY_TYPE)) - 1).cast("int").alias("kw_start"))
+
+    found = _samples_on_row(df.withColumn("_braces", F.transform("_heads", brace)), keys, "function", ("contract",), "contract", text)
+    return found.select(*keys, F.col("class_name").alias("contract_name"), "func_name", "func_body", F.col("masked_class").alias("masked_contract"))
+
+
 def classified(files: DataFrame, keys: list[str], text: str = "source_code") -> DataFrame:
     """``keys, start, end, depth, kind, name, kw_start`` of every pair of
     braces of Java files.  ``kind``: class, interface, enum, record, anonymous, method,
@@ -100,10 +214,7 @@ def classified(files: DataFrame, keys: list[str], text: str = "source_code") ->
     head, p = F.col("head"), F.col("_plain")
     type_kind, type_name = F.regexp_extract(head, _TYPE, 1), F.regexp_extract(head, _TYPE, 2)
     result, name = F.regexp_extract(p, _METHOD, 1), F.regexp_extract(p, _METHOD, 2)
-    typed = F.regexp_replace(result, _MODIFIER, " ").rlike(r"\S")
-    is_method = (name != "") & ~name.isin(*_NOT_A_NAME) & typed & ~result.rlike(_NOT_A_TYPE)
-    kind = (F.when(type_kind != "", type_kind).when(head.rlike(_ANONYMOUS), F.lit("anonymous"))
-            .when(is_method, F.lit("method")).when(p.rlike(_CONSTANT), F.lit("constant")).otherwise(F.lit("block")))
+    kind, is_method = _kind_java(head, type_kind, p, result, name)
     return known.select(*keys, "start", "end", "depth", kind.alias("kind"), F.when(type_kind != "", type_name).when(is_method, name).alias("name"),
                         F.when(type_kind != "", F.col("head_start") + F.regexp_instr(head, F.lit(_TYPE)) - 1).cast("int").alias("kw_start"))
 
